@@ -211,8 +211,8 @@ def _support() -> Column:
 
 def _canonical_together(rows: DataFrame, keys: list[str]) -> DataFrame:
     year = W.partitionBy(*keys, "period_fiscal_year")
-    support = rows.withColumn(
-        "_support", _support().over(year.partitionBy(*keys, "period_fiscal_year", "period_end")))
+    ending = W.partitionBy(*keys, "period_fiscal_year", "period_end")
+    support = rows.withColumn("_support", _support().over(ending))
     top = F.max(F.struct("_support", "period_end")).over(year)
     return support.withColumn(
         "canonical_period_end", F.when(top["_support"] > 0, top["period_end"])).drop("_support")
