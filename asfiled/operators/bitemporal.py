@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from .ranking import number_rows
-from .volume import ROW_LIMIT, heavy_keys, part_by_volume, same_key
+from .volume import ROW_LIMIT, heavy_keys, match, part_by_volume
 
 _NO_START = F.lit("9999-12-31").cast("date")
 
@@ -81,7 +81,7 @@ def anchor_to_annual(rows: DataFrame, keys: list[str]) -> DataFrame:
     instants = rows.filter("period_type = 'instant'")
     on = [*keys, "accession", "period_end"]
     return rows.filter("period_type = 'annual'").unionByName(
-        instants.join(year_ends, same_key(instants, year_ends, on), "left_semi"))
+        match(instants, year_ends, on, "left_semi"))
 
 
 # -- one value per filing --------------------------------------------------------------------
@@ -185,10 +185,8 @@ def _trace_apart(rows: DataFrame, keys: list[str]) -> DataFrame:
     ).select(*series, F.col("_last.source_tag").alias("latest_tag"), "n_distinct_tags",
              *[f"_last.{s}" for s in stats])
 
-    traced = rows.join(per_series, same_key(rows, per_series, series)).select(
-        *[rows[c] for c in rows.columns],
-        *[per_series[c] for c in ("latest_tag", "n_distinct_tags", *stats)],
-    ).withColumn("in_lineage", F.col("source_tag") == F.col("latest_tag"))
+    traced = match(rows, per_series, series, "inner").withColumn(
+        "in_lineage", F.col("source_tag") == F.col("latest_tag"))
     numbered = number_rows(traced, [*series, "in_lineage"], _oldest_first())
     return _only_in_lineage(numbered.withColumnRenamed("row_number", "report_version")
                             .drop("group_rows"))
@@ -225,8 +223,7 @@ def _canonical_apart(rows: DataFrame, keys: list[str]) -> DataFrame:
                  .filter("_support > 0").groupBy(*year)
                  .agg(F.max(F.struct("_support", "period_end")).alias("_top"))
                  .select(*year, F.col("_top.period_end").alias("canonical_period_end")))
-    return rows.join(canonical, same_key(rows, canonical, year), "left").select(
-        *[rows[c] for c in rows.columns], canonical["canonical_period_end"])
+    return match(rows, canonical, year, "left")
 
 
 # -- restatement measures --------------------------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..durable import materialise
-from .volume import same_key
+from .volume import match
 
 _SLICE_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
 
@@ -41,11 +41,9 @@ def number_rows(df: DataFrame, group: list[str], order: list[Column]) -> DataFra
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_rows").over(within).alias("group_rows"))
 
-    joined = placed.join(offsets, same_key(placed, offsets, ["_slice", *group]))
-    return joined.select(
-        *[placed[c] for c in df.columns],
-        (placed["_slot"] - offsets["_first"] + offsets["_before"] + 1).alias("row_number"),
-        offsets["group_rows"])
+    return match(placed, offsets, ["_slice", *group], "inner").select(
+        *df.columns, (F.col("_slot") - F.col("_first") + F.col("_before") + 1)
+        .alias("row_number"), "group_rows")
 
 
 def ntile_of(tiles: int) -> Column:

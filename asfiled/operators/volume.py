@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import materialise
@@ -26,12 +26,13 @@ def heavy_keys(df: DataFrame, keys: list[str], row_limit: int = ROW_LIMIT) -> Da
     return None if heavy.isEmpty() else materialise(heavy, "heavy_keys")
 
 
-def same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on every key (still a hash-joinable equi condition)."""
-    return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
+def match(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on null-safe equality of ``keys`` (a hash-joinable condition); keys appear once."""
+    twins = {k: f"_same_{k}" for k in keys}
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(t)) for k, t in twins.items()))
+    return left.join(right.withColumnsRenamed(twins), on, how).drop(*twins.values())
 
 
 def part_by_volume(df: DataFrame, heavy: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows of ordinary keys, rows of heavy keys); together they are exactly ``df``."""
-    on = same_key(df, heavy, keys)
-    return df.join(heavy, on, "left_anti"), df.join(heavy, on, "left_semi")
+    return match(df, heavy, keys, "left_anti"), match(df, heavy, keys, "left_semi")

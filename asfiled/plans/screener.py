@@ -276,8 +276,8 @@ def restatement_board(pit: DataFrame) -> DataFrame:
 
 def leading_digits(staged: DataFrame) -> DataFrame:
     """First-digit counts of reported values against the logarithmic law, and chi-square terms."""
-    # Exponent form shows the first digit whatever the magnitude: 1.234500E+05.
-    digit = F.substring(F.format_string("%.15e", F.abs("value")), 1, 1).cast("int")
+    # The shortest decimal form of a number shows its first significant digit.
+    digit = F.regexp_extract(F.col("value").cast("string"), "[1-9]", 0).cast("int")
     counted = (staged.filter(F.col("value") != 0).groupBy(digit.alias("digit"))
                .agg(F.count(F.lit(1)).alias("n")))
     total = F.sum("n").over(W.partitionBy())  # nine rows
