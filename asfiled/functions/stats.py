@@ -5,8 +5,9 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided_p(t: pd.Series) -> pd.Series:
     return t.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)), na_action="ignore")

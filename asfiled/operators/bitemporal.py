@@ -23,8 +23,6 @@ from .. import fixed
 from .ranking import number_rows
 from .volume import ROW_LIMIT, heavy_keys, match, part_by_volume
 
-_NO_START = F.lit("9999-12-31").cast("date")
-
 PIT_COLUMNS = (
     "entity_id", "ticker", "company_name", "concept", "source_tag", "period_start",
     "period_end", "period_fiscal_year", "filed_date", "filing_lag_days", "form", "accession",
@@ -106,8 +104,8 @@ def one_value_per_filing(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     best = F.min(F.struct(
         "tag_priority", (-F.col("value")).alias("_down"),
-        F.coalesce("period_start", _NO_START).alias("_start"), "unit", "source_tag",
-        "filed_date", "form", "ticker", "company_name", "sign_was_negative", "period_start",
+        F.col("period_start").isNull().alias("_undated"), "period_start", "unit", "source_tag",
+        "filed_date", "form", "ticker", "company_name", "sign_was_negative",
         "period_fiscal_year", "filing_lag_days", "restatement_eligible", "combine_mode",
         "value"))
     merged = distinct.groupBy(*filing).agg(

@@ -14,15 +14,13 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 
-_EPOCH = F.lit("1970-01-01").cast("date")
-
 
 def fold_prices(prices: DataFrame, days: int = fixed.PRICE_TOLERANCE_DAYS + 1) -> DataFrame:
     """(ticker, bucket, closes): ``closes[i]`` is the close of the bucket's day ``i``, or null.
 
     Of several closes for one ticker and day the highest is kept.
     """
-    number = F.datediff(F.col("price_date"), _EPOCH)
+    number = F.unix_date("price_date")
     placed = prices.select("ticker", "close", F.floor(number / days).alias("bucket"),
                            F.pmod(number, F.lit(days)).alias("_day"))
     daily = [F.max(F.when(F.col("_day") == d, F.col("close"))).alias(f"_c{d}")
@@ -41,7 +39,7 @@ def with_close(left: DataFrame, folded: DataFrame, day: Column, direction: str,
     ``tolerance + 1`` days.
     """
     width = tolerance + 1
-    start = F.datediff(day, _EPOCH) - (tolerance if direction == "backward" else 0)
+    start = F.unix_date(day) - (tolerance if direction == "backward" else 0)
     probe = left.withColumn("_start", start).withColumn(
         "_bucket", F.floor(F.col("_start") / width))
     here = folded.select(F.col("ticker").alias("_t0"), F.col("bucket").alias("_b0"),
@@ -65,5 +63,5 @@ def with_close(left: DataFrame, folded: DataFrame, day: Column, direction: str,
     pick = F.array_max(dated) if direction == "backward" else F.array_min(dated)
     return found.withColumn("_hit", pick).select(
         *left.columns,
-        F.date_add(_EPOCH, F.col("_hit.day")).alias(date_name),
+        F.date_from_unix_date(F.col("_hit.day")).alias(date_name),
         F.col("_hit.close").alias(close_name))

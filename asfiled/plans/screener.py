@@ -10,7 +10,10 @@ from .. import fixed
 from ..operators.ranking import number_rows
 
 FLAGS = ("m_score_flag", "z_score_flag", "f_score_flag")
-_FLAGGED = F.col("red_flag_count") > 0
+
+
+def _flagged() -> Column:
+    return F.col("red_flag_count") > 0
 
 
 def screener(scored: DataFrame, sectors: DataFrame, case_studies: DataFrame) -> DataFrame:
@@ -106,9 +109,9 @@ def fleet_figures(table: DataFrame) -> DataFrame:
     return table.agg(
         F.countDistinct("entity_id").alias("companies_screened"),
         F.count(F.lit(1)).alias("company_years"),
-        _share(_FLAGGED).alias("red_flag_rate"),
+        _share(_flagged()).alias("red_flag_rate"),
         F.avg("red_flag_count").alias("avg_red_flags"),
-        F.countDistinct(F.when(_FLAGGED, F.col("entity_id"))).alias("companies_flagged"))
+        F.countDistinct(F.when(_flagged(), F.col("entity_id"))).alias("companies_flagged"))
 
 
 def model_flag_rates(table: DataFrame) -> DataFrame:
@@ -137,7 +140,7 @@ def sector_figures(table: DataFrame) -> DataFrame:
     return table.groupBy(_sector()).agg(
         F.count(F.lit(1)).alias("company_years"), F.avg("m_score").alias("avg_m_score"),
         F.avg("z_score").alias("avg_z_score"), F.avg("red_flag_count").alias("avg_red_flags"),
-        _share(_FLAGGED).alias("red_flag_rate"))
+        _share(_flagged()).alias("red_flag_rate"))
 
 
 def sector_year_matrix(table: DataFrame, years: list[int]) -> DataFrame:
@@ -148,13 +151,13 @@ def sector_year_matrix(table: DataFrame, years: list[int]) -> DataFrame:
 
 
 def case_study_flags(table: DataFrame) -> DataFrame:
-    return table.filter(F.col("is_case_study") & _FLAGGED).agg(
+    return table.filter(F.col("is_case_study") & _flagged()).agg(
         F.count(F.lit(1)).alias("case_study_red_flags"))
 
 
 def span_and_share_labels(table: DataFrame) -> DataFrame:
     span = F.format_string("FY %d–%d", F.min("period_fiscal_year"), F.max("period_fiscal_year"))
-    hit = F.countDistinct(F.when(_FLAGGED, F.col("entity_id")))
+    hit = F.countDistinct(F.when(_flagged(), F.col("entity_id")))
     share = F.round(F.try_divide(hit, F.countDistinct("entity_id")) * 100, 0).cast("int")
     return table.agg(span.alias("universe_span"),
                      F.format_string("%d%% of screened fleet", share).alias("any_flag_share"))
@@ -179,7 +182,7 @@ def flag_rank(table: DataFrame) -> DataFrame:
 
 def yearly_change(table: DataFrame) -> DataFrame:
     """Flag rate per fiscal year, the year before, and the change (null after a gap)."""
-    rates = table.groupBy("period_fiscal_year").agg(_share(_FLAGGED).alias("red_flag_rate"))
+    rates = table.groupBy("period_fiscal_year").agg(_share(_flagged()).alias("red_flag_rate"))
     earlier = rates.select((F.col("period_fiscal_year") + 1).alias("period_fiscal_year"),
                            F.col("red_flag_rate").alias("previous_rate"))
     return rates.join(earlier, "period_fiscal_year", "left").withColumn(
@@ -233,7 +236,7 @@ def spotlight(table: DataFrame, events: DataFrame) -> DataFrame:
                     F.concat("company_name", F.lit(" ("), "ticker", F.lit(") — flagged "),
                              F.date_format("as_of_date", "MMM d, yyyy"), F.lit(", "), told)
                     .alias("title"),
-                    _FLAGGED.cast("int").alias("is_flagged_year")))
+                    _flagged().cast("int").alias("is_flagged_year")))
 
 
 def drill_through(table: DataFrame, detail: DataFrame) -> DataFrame:

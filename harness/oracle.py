@@ -99,7 +99,7 @@ told_once{mark} as (
   from kept{mark} where combine_mode = 'best'
   qualify row_number() over (partition by {world}, concept, period_end, accession
     order by tag_priority, value desc, coalesce(period_start, date '9999-12-31'), unit,
-      source_tag, sign_was_negative) = 1
+      source_tag, filed_date, form, sign_was_negative) = 1
   union all
   select {world}, max(ticker), max(company_name), concept,
     array_to_string(list_sort(list_distinct(list(source_tag))), '+'), max(period_start),
@@ -185,7 +185,9 @@ abroad{mark} as (
 
 
 def _scores(world: str, mark: str = "", shares: str = "shares") -> str:
-    on = " and ".join(f"a.{k} = b.{k}" for k in world.split(", "))
+    def same(other: str) -> str:
+        return " and ".join(f"a.{k} = {other}.{k}" for k in world.split(", "))
+
     return f"""
 quoted{mark} as (
   select {world}, period_end, arg_max(price_date, (price_date, close)) as price_date,
@@ -232,9 +234,9 @@ rated{mark} as (
     cast(a.revenue / nullif(a.total_assets, 0) > b.revenue / nullif(b.total_assets, 0)
       as integer) as signal_turnover_improved
   from years{mark} a
-  left join years{mark} b on {on} and b.period_fiscal_year = a.period_fiscal_year - 1
-  left join quoted{mark} q using ({world}, period_end)
-  left join abroad{mark} f using ({world})),
+  left join years{mark} b on {same('b')} and b.period_fiscal_year = a.period_fiscal_year - 1
+  left join quoted{mark} q on {same('q')} and q.period_end = a.period_end
+  left join abroad{mark} f on {same('f')}),
 scored{mark} as (
   select *,
     round(-4.84 + 0.920 * dsri + 0.528 * gmi + 0.404 * aqi + 0.892 * sgi + 0.115 * depi
