@@ -16,7 +16,6 @@ Two plans give the same rows:
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -49,12 +48,9 @@ def financials_pit(staged: DataFrame, keys: tuple[str, ...] = ("entity_id",),
 
 
 def _together(staged: DataFrame, keys: list[str]) -> DataFrame:
+    """One exchange on the company, then two sorts whose prefixes serve every window."""
     rows = staged.filter(_annual_or_instant()).repartition(*keys)
-    filing_day = W.partitionBy(*keys, "accession", "period_end")
-    has_year = F.max((F.col("period_type") == "annual").cast("int")).over(filing_day) == 1
-    rows = (rows.withColumn("_anchored", has_year & F.col("accession").isNotNull())
-            .filter("(period_type = 'annual' or _anchored)").drop("_anchored"))
-    traced = _trace_together(one_value_per_filing(rows, keys), keys)
+    traced = _trace_together(_pick_together(rows, keys), keys)
     return _finish(_canonical_together(traced, keys), keys)
 
 
@@ -124,6 +120,52 @@ def one_value_per_filing(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.when(summed, F.col("_total")).otherwise(F.col("_best.value")).alias("value"))
 
 
+def _pick_together(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Anchoring and :func:`one_value_per_filing` as windows over a single sort.
+
+    The sort is (company, filing, period end, concept, component, preference); anchoring needs
+    its first three parts, the component sum its first four, the pick all of it.
+    """
+    filing_day = ", ".join([*keys, "accession", "period_end"])
+    best_first = ("tag_priority, value desc, undated, period_start, unit, source_tag, "
+                  "filed_date, form, ticker, company_name, sign_was_negative")
+    component = ("named_struct('p', tag_priority, 't', source_tag, 'u', unit, 'n', undated, "
+                 "'s', period_start, 'd', filed_date, 'f', form, 'k', ticker, 'c', company_name)")
+    ordered = (rows.withColumn("undated", F.expr("period_start is null"))
+               .withColumn("_part", F.expr(f"case when combine_mode = 'sum' then {component} end"))
+               .sortWithinPartitions(*[F.expr(e) for e in (*keys, "accession", "period_end",
+                                                           "concept", "_part")],
+                                     *_order(best_first)))
+    anchored = ordered.withColumn("_full_year", F.expr(
+        f"bool_or(period_type = 'annual') over (partition by {filing_day})")).filter(
+        F.expr("(period_type = 'annual' or (_full_year and accession is not null))")
+        & F.col("unit").isin(*fixed.UNITS))
+
+    told = f"{filing_day}, concept"
+    single = anchored.selectExpr(
+        "*", f"bool_or(sign_was_negative) over (partition by {told}) as _any_negative",
+        f"array_join(array_sort(collect_set(if(_part is null, null, source_tag)) "
+        f"over (partition by {told})), '+') as _tags",
+    ).withColumn("_nth", F.expr(
+        f"row_number() over (partition by {told}, _part order by {best_first})")
+    ).filter("_nth = 1")
+    summed = single.selectExpr(
+        "*", f"sum(if(_part is null, 0, value)) over (partition by {told}) as _total",
+        f"min(_part) over (partition by {told}) as _first").filter("_part <=> _first")
+    return summed.selectExpr(
+        *keys, "concept", "period_end", "accession", "ticker", "company_name",
+        "if(_part is null, source_tag, _tags) as source_tag", "period_start",
+        "period_fiscal_year", "filed_date", "filing_lag_days", "form", "restatement_eligible",
+        "if(_part is null, sign_was_negative, _any_negative) as sign_was_negative",
+        "if(_part is null, value, _total) as value")
+
+
+def _order(text: str) -> list[Column]:
+    """Sort columns of an ``order by`` list."""
+    return [F.col(name[0]).desc() if name[1:] else F.col(name[0])
+            for name in (part.split() for part in text.split(","))]
+
+
 # -- tag lineage and report versions ---------------------------------------------------------
 
 def _oldest_first() -> list[Column]:
@@ -141,29 +183,26 @@ def _age() -> Column:
 
 
 def _trace_together(rows: DataFrame, keys: list[str]) -> DataFrame:
-    series = W.partitionBy(*keys, "concept", "period_end")
-    told = series.orderBy(*_oldest_first())
-    upto = told.rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = told.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-
-    tagged = rows.withColumns({
-        "latest_tag": F.max(F.struct(_recency().alias("_at"), "source_tag"))
-        .over(whole)["source_tag"],
-        "n_distinct_tags": F.size(F.collect_set("source_tag").over(whole)).cast("long"),
-    }).withColumn("in_lineage", F.col("source_tag") == F.col("latest_tag"))
-
-    inside = F.col("in_lineage")
-    stats = tagged.withColumns({
-        "report_version": F.sum(inside.cast("long")).over(upto),
-        "n_reports": F.sum(inside.cast("long")).over(whole),
-        "first_reported_value": F.first(F.when(inside, F.col("value")), ignorenulls=True)
-        .over(whole),
-        "latest_reported_value": F.last(F.when(inside, F.col("value")), ignorenulls=True)
-        .over(whole),
-        "first_filed_date": F.min(F.when(inside, F.col("filed_date"))).over(whole),
-        "latest_filed_date": F.max(F.when(inside, F.col("filed_date"))).over(whole),
-    })
-    return _only_in_lineage(stats)
+    # The fiscal year follows from the period end; naming it here makes this sort a refinement
+    # of the one the canonical period needs.
+    told = (f"partition by {', '.join(keys)}, period_fiscal_year, period_end, concept "
+            "order by filed_date nulls last, accession nulls last")
+    whole = f"({told} rows between unbounded preceding and unbounded following)"
+    newest = "struct(filed_date, accession is not null, accession, source_tag as tag)"
+    tagged = rows.selectExpr(
+        "*", f"max({newest}) over {whole}.tag as latest_tag",
+        f"cast(size(collect_set(source_tag) over {whole}) as bigint) as n_distinct_tags",
+    ).withColumn("in_lineage", F.expr("source_tag = latest_tag"))
+    inside = "case when in_lineage then {} end"
+    value, filed = inside.format("value"), inside.format("filed_date")
+    upto = f"({told} rows between unbounded preceding and current row)"
+    return _only_in_lineage(tagged.selectExpr(
+        "*", f"count_if(in_lineage) over {upto} as report_version",
+        f"count_if(in_lineage) over {whole} as n_reports",
+        f"first({value}, true) over {whole} as first_reported_value",
+        f"last({value}, true) over {whole} as latest_reported_value",
+        f"min({filed}) over {whole} as first_filed_date",
+        f"max({filed}) over {whole} as latest_filed_date"))
 
 
 def _trace_apart(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -192,32 +231,32 @@ def _trace_apart(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def _only_in_lineage(stats: DataFrame) -> DataFrame:
     """Rows outside the lineage, and rows without an accession, carry no comparison."""
-    counted = F.col("in_lineage") & F.col("accession").isNotNull()
     names = ("report_version", "n_reports", "first_reported_value", "latest_reported_value",
              "first_filed_date", "latest_filed_date")
-    return stats.withColumns({name: F.when(counted, F.col(name)) for name in names})
+    kept = [c for c in stats.columns if c not in names]
+    return stats.selectExpr(*kept, *[
+        f"case when in_lineage and accession is not null then {n} end as {n}" for n in names])
 
 
 # -- canonical period ------------------------------------------------------------------------
-
-def _support() -> Column:
-    """A period end is supported by every concept first reported against it."""
-    return F.count(F.when(F.col("report_version") == 1, 1))
-
+# A period end is supported by every concept first reported against it; the best supported one,
+# the later on a tie, stands for its fiscal year.
 
 def _canonical_together(rows: DataFrame, keys: list[str]) -> DataFrame:
-    year = W.partitionBy(*keys, "period_fiscal_year")
-    ending = W.partitionBy(*keys, "period_fiscal_year", "period_end")
-    support = rows.withColumn("_support", _support().over(ending))
-    top = F.max(F.struct("_support", "period_end")).over(year)
-    return support.withColumn(
-        "canonical_period_end", F.when(top["_support"] > 0, top["period_end"])).drop("_support")
+    year = f"partition by {', '.join(keys)}, period_fiscal_year"
+    return rows.selectExpr(
+        "*", f"count_if(report_version = 1) over ({year}, period_end) as _support",
+    ).selectExpr(
+        "*", f"max(struct(_support, period_end)) over ({year}) as _top",
+    ).selectExpr(
+        *rows.columns, "case when _top._support > 0 then _top.period_end end "
+        "as canonical_period_end")
 
 
 def _canonical_apart(rows: DataFrame, keys: list[str]) -> DataFrame:
     year = [*keys, "period_fiscal_year"]
     # One row per period end, then one per fiscal year: bounded by the days of a year.
-    canonical = (rows.groupBy(*year, "period_end").agg(_support().alias("_support"))
+    canonical = (rows.groupBy(*year, "period_end").agg(F.count_if(F.col("report_version") == 1).alias("_support"))
                  .filter("_support > 0").groupBy(*year)
                  .agg(F.max(F.struct("_support", "period_end")).alias("_top"))
                  .select(*year, F.col("_top.period_end").alias("canonical_period_end")))
@@ -227,13 +266,13 @@ def _canonical_apart(rows: DataFrame, keys: list[str]) -> DataFrame:
 # -- restatement measures --------------------------------------------------------------------
 
 def _finish(rows: DataFrame, keys: list[str]) -> DataFrame:
-    first, last = F.col("first_reported_value"), F.col("latest_reported_value")
-    moved = F.try_divide(last - first, F.abs(first))
-    return rows.withColumns({
-        "tag_switch_detected": F.col("n_distinct_tags") > 1,
-        "is_first_report": ((F.col("report_version") == 1)
-                            & (F.col("period_end") == F.col("canonical_period_end"))),
-        "is_latest_report": F.col("filed_date") == F.col("latest_filed_date"),
-        "restatement_pct": moved,
-        "was_restated": F.coalesce(F.abs(moved) > fixed.RESTATEMENT_TOLERANCE, F.lit(False)),
-    }).select(*[k for k in keys if k not in PIT_COLUMNS], *PIT_COLUMNS)
+    moved = rows.withColumn("restatement_pct", F.expr(
+        "try_divide(latest_reported_value - first_reported_value, abs(first_reported_value))"))
+    made = {
+        "tag_switch_detected": "n_distinct_tags > 1",
+        "is_first_report": "report_version = 1 and period_end = canonical_period_end",
+        "is_latest_report": "filed_date = latest_filed_date",
+        "was_restated": f"coalesce(abs(restatement_pct) > {fixed.RESTATEMENT_TOLERANCE}D, false)",
+    }
+    columns = [*[k for k in keys if k not in PIT_COLUMNS], *PIT_COLUMNS]
+    return moved.selectExpr(*[f"{made[c]} as {c}" if c in made else c for c in columns])
