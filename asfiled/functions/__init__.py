@@ -1,5 +1,3 @@
-from .columns import (filing_lag, fiscal_year_of, fold, missing_names, period_class,
-                      period_length, ratio)
+from .columns import filing_lag, fiscal_year_of, period_class, period_length, ratio
 
-__all__ = ["filing_lag", "fiscal_year_of", "fold", "missing_names", "period_class",
-           "period_length", "ratio"]
+__all__ = ["filing_lag", "fiscal_year_of", "period_class", "period_length", "ratio"]

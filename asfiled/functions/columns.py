@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,15 +33,3 @@ def period_class(days: Column) -> Column:
     for name, shortest, longest in fixed.PERIOD_CLASSES:
         named = named.when(days.between(shortest, longest), name)
     return named.otherwise("other")
-
-
-def missing_names(columns: dict[str, Column]) -> Column:
-    """Array with the names of the columns that are null, in the given order."""
-    return F.array_compact(
-        F.array(*[F.when(column.isNull(), F.lit(name)) for name, column in columns.items()])
-    )
-
-
-def fold(terms: Iterable[Column]) -> Column:
-    """Sum from left to right; null as soon as one term is null."""
-    return reduce(lambda total, term: total + term, terms)

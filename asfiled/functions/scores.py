@@ -1,102 +1,111 @@
-"""The three published scores as column expressions over one wide company-year row.
+"""The three published scores as SQL expressions over one wide company-year row.
 
-``now`` and ``before`` turn a concept name into the column of this and of the previous fiscal
-year, so one definition serves every table layout.
+A row holds this fiscal year's figures as plain columns and the year before as the struct
+``previous``. Every expression is null when one of its inputs is missing or a divisor is zero.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .. import fixed
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from .. import fixed
-from .columns import fold, ratio
+def ratio(top: str, bottom: str) -> str:
+    return f"try_divide({top}, {bottom})"
+
+
+def before(name: str) -> str:
+    return f"previous.{name}"
 
-Reader = Callable[[str], Column]
 
+def _now(name: str) -> str:
+    return name
 
-def _part_of(read: Reader, item: str, whole: str) -> Column:
-    return ratio(read(item), read(whole))
 
+def _share(year, item: str, whole: str) -> str:
+    return ratio(year(item), year(whole))
 
-def _soft_assets(read: Reader) -> Column:
-    return 1 - ratio(read("current_assets") + read("ppe_net"), read("total_assets"))
 
+def _soft_assets(year) -> str:
+    hard = f"{year('current_assets')} + {year('ppe_net')}"
+    return f"1 - {ratio(hard, year('total_assets'))}"
 
-def _depreciation_rate(read: Reader) -> Column:
-    spent = read("depreciation_amortisation")
-    return ratio(spent, spent + read("ppe_net"))
 
+def _depreciation_rate(year) -> str:
+    spent = year("depreciation_amortisation")
+    return ratio(spent, f"{spent} + {year('ppe_net')}")
 
-def beneish_indices(now: Reader, before: Reader) -> dict[str, Column]:
-    def change(item: str, whole: str) -> Column:
-        return ratio(_part_of(now, item, whole), _part_of(before, item, whole))
 
+def _change(item: str, whole: str) -> str:
+    return ratio(_share(_now, item, whole), _share(before, item, whole))
+
+
+def beneish_indices() -> dict[str, str]:
     return {
-        "dsri": change("receivables", "revenue"),
-        "gmi": ratio(_part_of(before, "gross_profit", "revenue"),
-                     _part_of(now, "gross_profit", "revenue")),
-        "aqi": ratio(_soft_assets(now), _soft_assets(before)),
-        "sgi": ratio(now("revenue"), before("revenue")),
-        "depi": ratio(_depreciation_rate(before), _depreciation_rate(now)),
-        "sgai": change("sga", "revenue"),
-        "tata": ratio(now("net_income") - now("cfo"), now("total_assets")),
-        "lvgi": change("total_liabilities", "total_assets"),
+        "dsri": _change("receivables", "revenue"),
+        "gmi": ratio(_share(before, "gross_profit", "revenue"),
+                     _share(_now, "gross_profit", "revenue")),
+        "aqi": ratio(_soft_assets(_now), _soft_assets(before)),
+        "sgi": ratio("revenue", before("revenue")),
+        "depi": ratio(_depreciation_rate(before), _depreciation_rate(_now)),
+        "sgai": _change("sga", "revenue"),
+        "tata": ratio("net_income - cfo", "total_assets"),
+        "lvgi": _change("total_liabilities", "total_assets"),
     }
 
 
-def m_score(index: Reader) -> Column:
-    weighted = [weight * index(name) for name, weight in fixed.BENEISH_WEIGHTS]
-    return F.round(fold([F.lit(fixed.BENEISH_INTERCEPT), *weighted]), 3)
+def m_score() -> str:
+    """Weighted sum, left to right, rounded to three places."""
+    terms = [f"{weight}D * {name}" for name, weight in fixed.BENEISH_WEIGHTS]
+    return f"round({' + '.join([f'{fixed.BENEISH_INTERCEPT}D', *terms])}, 3)"
 
 
-def altman_factors(now: Reader, market_value: Column) -> dict[str, Column]:
-    assets = now("total_assets")
+def altman_factors() -> dict[str, str]:
     return {
-        "x1": ratio(now("current_assets") - now("current_liabilities"), assets),
-        "x2": ratio(now("retained_earnings"), assets),
-        "x3": ratio(now("operating_income"), assets),
-        "x4": ratio(market_value, now("total_liabilities")),
-        "x5": ratio(now("revenue"), assets),
+        "x1": ratio("current_assets - current_liabilities", "total_assets"),
+        "x2": ratio("retained_earnings", "total_assets"),
+        "x3": ratio("operating_income", "total_assets"),
+        "x4": ratio("market_value_of_equity", "total_liabilities"),
+        "x5": ratio("revenue", "total_assets"),
     }
 
 
-def altman_sum(factor: Reader) -> Column:
-    return fold(weight * factor(name) for name, weight in fixed.ALTMAN_WEIGHTS)
+def altman_sum() -> str:
+    return " + ".join(f"{weight}D * {name}" for name, weight in fixed.ALTMAN_WEIGHTS)
 
 
-def altman_zone(total: Column) -> Column:
+def altman_zone(total: str) -> str:
     """Zone from the unrounded sum; null stays null."""
-    return (F.when(total.isNull(), None)
-            .when(total > fixed.ALTMAN_SAFE_ABOVE, "safe")
-            .when(total >= fixed.ALTMAN_GREY_FROM, "grey")
-            .otherwise("distress"))
+    return (f"case when {total} > {fixed.ALTMAN_SAFE_ABOVE}D then 'safe' "
+            f"when {total} >= {fixed.ALTMAN_GREY_FROM}D then 'grey' "
+            f"when {total} is not null then 'distress' end")
 
 
-def piotroski_signals(now: Reader, before: Reader, shares: str = "shares") -> dict[str, Column]:
+def piotroski_signals(shares: str = "shares") -> dict[str, str]:
     """Nine 0/1 signals; a comparison with a null side casts to null, never to 0."""
-    def rises(item: str, whole: str) -> Column:
-        return _part_of(now, item, whole) > _part_of(before, item, whole)
+    def moved(item: str, whole: str, sign: str = ">") -> str:
+        return f"{_share(_now, item, whole)} {sign} {_share(before, item, whole)}"
 
     tests = {
-        "positive_roa": now("net_income") > 0,
-        "positive_cfo": now("cfo") > 0,
-        "roa_improved": rises("net_income", "total_assets"),
-        "earnings_quality": now("cfo") > now("net_income"),
-        "leverage_decreased": (_part_of(now, "long_term_debt", "total_assets")
-                               < _part_of(before, "long_term_debt", "total_assets")),
-        "liquidity_improved": rises("current_assets", "current_liabilities"),
-        "no_dilution": now(shares) <= before(shares),
-        "margin_improved": rises("gross_profit", "revenue"),
-        "turnover_improved": rises("revenue", "total_assets"),
+        "positive_roa": "net_income > 0",
+        "positive_cfo": "cfo > 0",
+        "roa_improved": moved("net_income", "total_assets"),
+        "earnings_quality": "cfo > net_income",
+        "leverage_decreased": moved("long_term_debt", "total_assets", "<"),
+        "liquidity_improved": moved("current_assets", "current_liabilities"),
+        "no_dilution": f"{shares} <= {before(shares)}",
+        "margin_improved": moved("gross_profit", "revenue"),
+        "turnover_improved": moved("revenue", "total_assets"),
     }
-    return {name: test.cast("int") for name, test in tests.items()}
+    return {name: f"cast({test} as int)" for name, test in tests.items()}
+
+
+def piotroski_band(score: str) -> str:
+    return (f"case when {score} >= {fixed.PIOTROSKI_STRONG_FROM} then 'strong' "
+            f"when {score} <= {fixed.PIOTROSKI_WEAK_TO} then 'weak' "
+            f"when {score} is not null then 'neutral' end")
 
 
-def piotroski_band(score: Column) -> Column:
-    return (F.when(score.isNull(), None)
-            .when(score >= fixed.PIOTROSKI_STRONG_FROM, "strong")
-            .when(score <= fixed.PIOTROSKI_WEAK_TO, "weak")
-            .otherwise("neutral"))
+def missing(names: tuple[str, ...], prefix: str = "") -> str:
+    """Array with the names of the columns that are null, in the given order."""
+    marks = ", ".join(f"if({prefix}{n} is null, '{n}', null)" for n in names)
+    return f"array_compact(array({marks}))"

@@ -20,13 +20,13 @@ def fold_prices(prices: DataFrame, days: int = fixed.PRICE_TOLERANCE_DAYS + 1) -
 
     Of several closes for one ticker and day the highest is kept.
     """
-    number = F.unix_date("price_date")
-    placed = prices.select("ticker", "close", F.floor(number / days).alias("bucket"),
-                           F.pmod(number, F.lit(days)).alias("_day"))
-    daily = [F.max(F.when(F.col("_day") == d, F.col("close"))).alias(f"_c{d}")
-             for d in range(days)]
-    return placed.groupBy("ticker", "bucket").agg(*daily).select(
-        "ticker", "bucket", F.array(*[f"_c{d}" for d in range(days)]).alias("closes"))
+    placed = prices.selectExpr(
+        "ticker", "close", f"floor(unix_date(price_date) / {days}) as bucket",
+        f"pmod(unix_date(price_date), {days}) as _day")
+    daily = [F.expr(f"max(if(_day = {d}, close, null)) as _c{d}") for d in range(days)]
+    closes = ", ".join(f"_c{d}" for d in range(days))
+    return placed.groupBy("ticker", "bucket").agg(*daily).selectExpr(
+        "ticker", "bucket", f"array({closes}) as closes")
 
 
 def with_close(left: DataFrame, folded: DataFrame, day: Column, direction: str,
@@ -41,27 +41,18 @@ def with_close(left: DataFrame, folded: DataFrame, day: Column, direction: str,
     width = tolerance + 1
     start = F.unix_date(day) - (tolerance if direction == "backward" else 0)
     probe = left.withColumn("_start", start).withColumn(
-        "_bucket", F.floor(F.col("_start") / width))
-    here = folded.select(F.col("ticker").alias("_t0"), F.col("bucket").alias("_b0"),
-                         F.col("closes").alias("_closes0"))
-    following = folded.select(F.col("ticker").alias("_t1"), F.col("bucket").alias("_b1"),
-                              F.col("closes").alias("_closes1"))
-    found = (probe
-             .join(here, (F.col("ticker") == F.col("_t0")) & (F.col("_bucket") == F.col("_b0")),
-                   "left")
-             .join(following,
-                   (F.col("ticker") == F.col("_t1")) & (F.col("_bucket") + 1 == F.col("_b1")),
-                   "left"))
-
-    blank = F.array_repeat(F.lit(None).cast("double"), width)
-    both = F.concat(F.coalesce("_closes0", blank), F.coalesce("_closes1", blank))
-    first = F.col("_start") - F.col("_bucket") * width
-    window = F.slice(both, (first + 1).cast("int"), width)
-    dated = F.transform(window, lambda close, i: F.when(
-        close.isNotNull(),
-        F.struct((F.col("_start") + i).cast("int").alias("day"), close.alias("close"))))
-    pick = F.array_max(dated) if direction == "backward" else F.array_min(dated)
-    return found.withColumn("_hit", pick).select(
-        *left.columns,
-        F.date_from_unix_date(F.col("_hit.day")).alias(date_name),
-        F.col("_hit.close").alias(close_name))
+        "_bucket", F.expr(f"floor(_start / {width})"))
+    here = folded.selectExpr("ticker as _t0", "bucket as _b0", "closes as _closes0")
+    following = folded.selectExpr("ticker as _t1", "bucket as _b1", "closes as _closes1")
+    found = (probe.join(here, F.expr("ticker = _t0 and _bucket = _b0"), "left")
+             .join(following, F.expr("ticker = _t1 and _bucket + 1 = _b1"), "left"))
+
+    blank = f"array_repeat(cast(null as double), {width})"
+    both = f"concat(coalesce(_closes0, {blank}), coalesce(_closes1, {blank}))"
+    window = f"slice({both}, cast(_start - _bucket * {width} + 1 as int), {width})"
+    dated = (f"transform({window}, (close, i) -> if(close is null, null, "
+             "struct(cast(_start + i as int) as day, close)))")
+    pick = "array_max" if direction == "backward" else "array_min"
+    return found.withColumn("_hit", F.expr(f"{pick}({dated})")).selectExpr(
+        *left.columns, f"date_from_unix_date(_hit.day) as {date_name}",
+        f"_hit.close as {close_name}")

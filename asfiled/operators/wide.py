@@ -14,6 +14,8 @@ CONCEPTS = (
     "ppe_net", "depreciation_amortisation", "sga", "current_liabilities", "long_term_debt",
     "total_liabilities", "net_income", "cfo", "retained_earnings", "operating_income",
 )
+# Concepts with a second derivation when a filer does not report them.
+_DERIVABLE = ("gross_profit", "total_liabilities")
 # Concepts whose filing makes the accrual of a year computable.
 ACCRUAL_CONCEPTS = ("net_income", "cfo", "total_assets")
 
@@ -28,34 +30,29 @@ def company_years(pit: DataFrame, keys: tuple[str, ...] = ("entity_id",),
     one row per period end, so the window that spreads the foreign mark is bounded by days.
     """
     keys = list(keys)
-    seen = F.coalesce(F.col("is_first_report") if visible is None else visible, F.lit(False))
-    rows = pit.withColumn("_seen", seen)
+    seen = F.col("is_first_report") if visible is None else visible
+    rows = pit.withColumn("_seen", F.coalesce(seen, F.lit(False)))
 
-    def figure(concept: str, column: str = "value") -> Column:
-        return F.max(F.when(F.col("_seen") & (F.col("concept") == concept), F.col(column)))
+    def figure(concept: str, name: str, column: str = "value") -> str:
+        return f"max(if(_seen and concept = '{concept}', {column}, null)) as {name}"
 
-    def label(column: str) -> Column:
-        return F.max(F.when(F.col("_seen"), F.col(column))).alias(column)
+    known = ", ".join(f"'{c}'" for c in ACCRUAL_CONCEPTS)
+    foreign = ", ".join(f"'{f}'" for f in fixed.FOREIGN_FORMS)
+    pivoted = rows.groupBy(*keys, "period_end", "period_fiscal_year").agg(*map(F.expr, [
+        *[f"max(if(_seen, {label}, null)) as {label}"
+          for label in ("ticker", "company_name", "form")],
+        *[figure(c, f"{c}_reported" if c in _DERIVABLE else c) for c in CONCEPTS],
+        figure("shares_diluted", "shares"),
+        figure("shares_diluted", "shares_current_basis", "latest_reported_value"),
+        f"max(if(_seen and concept in ({known}), first_filed_date, null)) as accrual_known_date",
+        f"max(form in ({foreign})) as _foreign", "max(_seen) as _kept"]))
 
-    pivoted = rows.groupBy(*keys, "period_end", "period_fiscal_year").agg(
-        label("ticker"), label("company_name"), label("form"),
-        *[figure(c).alias(c) for c in CONCEPTS],
-        figure("shares_diluted").alias("shares"),
-        figure("shares_diluted", "latest_reported_value").alias("shares_current_basis"),
-        F.max(F.when(F.col("_seen") & F.col("concept").isin(*ACCRUAL_CONCEPTS),
-                     F.col("first_filed_date"))).alias("accrual_known_date"),
-        F.max(F.col("form").isin(*fixed.FOREIGN_FORMS)).alias("_foreign"),
-        F.max("_seen").alias("_kept"))
-
-    company = W.partitionBy(*keys)
-    whole = pivoted.withColumn("is_foreign_filer", F.max("_foreign").over(company))
-    return whole.filter("_kept").drop("_foreign", "_kept").withColumns({
-        "gross_profit_reported": F.col("gross_profit"),
-        "total_liabilities_reported": F.col("total_liabilities"),
-        "gross_profit": F.coalesce("gross_profit", F.col("revenue") - F.col("cogs")),
-        "total_liabilities": F.coalesce(
-            "total_liabilities", F.col("current_liabilities") + F.col("long_term_debt")),
-    })
+    whole = pivoted.withColumn("is_foreign_filer", F.expr(
+        f"max(_foreign) over (partition by {', '.join(keys)})"))
+    return whole.filter("_kept").drop("_foreign", "_kept").selectExpr(
+        "*", "coalesce(gross_profit_reported, revenue - cogs) as gross_profit",
+        "coalesce(total_liabilities_reported, current_liabilities + long_term_debt) "
+        "as total_liabilities")
 
 
 def with_previous_year(years: DataFrame, columns: tuple[str, ...],

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fold, missing_names
 from ..functions import scores as S
 from ..operators.pricing import fold_prices, with_close
 from ..operators.wide import company_years, with_previous_year
@@ -35,29 +34,26 @@ def score_years(years: DataFrame, prices: DataFrame, keys: tuple[str, ...] = ("e
     priced = with_close(paired, fold_prices(prices), F.col("period_end"), "backward",
                         "price_date", "price_at_period_end")
 
-    now, before = F.col, lambda name: F.col(f"previous.{name}")
-    valued = priced.withColumn(
-        "market_value_of_equity",
-        F.when(~F.col("is_foreign_filer"),
-               F.col("price_at_period_end") * F.col("shares_current_basis")))
-    signals = S.piotroski_signals(now, before, share_basis)
-    parts = valued.withColumns({
-        **S.beneish_indices(now, before),
-        **S.altman_factors(now, F.col("market_value_of_equity")),
-        **{f"signal_{name}": test for name, test in signals.items()},
-    })
-    z_sum = S.altman_sum(F.col)
-    f_sum = fold(F.col(c) for c in SIGNAL_COLUMNS)
-    return parts.withColumns({
-        "m_missing_inputs": missing_names({n: F.col(n) for n in INDICES}),
-        "m_score": S.m_score(F.col),
-        "z_missing_inputs": missing_names({n: F.col(n) for n in FACTORS}),
-        "z_score": F.round(z_sum, 3),
-        "zone": S.altman_zone(z_sum),
-        "missing_signals": missing_names({n: F.col(f"signal_{n}") for n in SIGNALS}),
-        "f_score": f_sum,
-        "band": S.piotroski_band(f_sum),
-    }).drop("previous")
+    valued = priced.withColumn("market_value_of_equity", F.expr(
+        "case when not is_foreign_filer then price_at_period_end * shares_current_basis end"))
+    signals = {f"signal_{n}": test for n, test in S.piotroski_signals(share_basis).items()}
+    parts = valued.selectExpr("*", *_named(S.beneish_indices()), *_named(S.altman_factors()),
+                              *_named(signals))
+    sums = parts.selectExpr("*", f"{S.altman_sum()} as _z",
+                            f"{' + '.join(SIGNAL_COLUMNS)} as f_score")
+    return sums.selectExpr("*", *_named({
+        "m_missing_inputs": S.missing(INDICES),
+        "m_score": S.m_score(),
+        "z_missing_inputs": S.missing(FACTORS),
+        "z_score": "round(_z, 3)",
+        "zone": S.altman_zone("_z"),
+        "missing_signals": S.missing(SIGNALS, "signal_"),
+        "band": S.piotroski_band("f_score"),
+    })).drop("previous", "_z")
+
+
+def _named(columns: dict[str, str]) -> list[str]:
+    return [f"{made} as {name}" for name, made in columns.items()]
 
 
 def scored_company_years(pit: DataFrame, prices: DataFrame) -> DataFrame:

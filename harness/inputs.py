@@ -34,19 +34,19 @@ def build_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "accession": F.concat(F.lit("A"), "s", F.lit("-"), F.col("y") + F.col("v")),
         "form": F.when(F.col("s") % 19 == 0, "20-F").otherwise("10-K"),
     })
-    rows = F.array(*[
-        F.when(_sql(r.when), F.struct(
-            F.lit(r.concept).alias("concept"), F.lit(r.tag).alias("source_tag"),
-            F.lit(r.priority).alias("tag_priority"), F.lit(r.unit).alias("unit"),
-            _sql(r.start).alias("period_start"), _sql(r.end).alias("period_end"),
-            _sql(r.form).alias("form"), _sql(r.accession).cast("string").alias("accession"),
-            _sql(r.amount).cast("double").alias("value")))
-        for r in rules.RULES])
+    rows = _sql("array_compact(array(" + ", ".join(
+        f"case when {r.when} then named_struct('concept', '{r.concept}', 'source_tag', "
+        f"'{r.tag}', 'tag_priority', {r.priority}, 'unit', '{r.unit}', 'period_start', "
+        f"{r.start}, 'period_end', {r.end}, 'form', cast({r.form} as string), 'accession', "
+        f"cast({r.accession} as string), 'value', cast({r.amount} as double)) end"
+        for r in rules.RULES) + "))")
+    # Few narrow rows become many wide ones here, so spread them first.
+    filing = filing.repartition(spark.sparkContext.defaultParallelism, "s", "y", "v")
     named = filing.join(supplier, F.col("s") == F.col("s_suppkey")).select(
         "s", F.lpad(F.col("s").cast("string"), 10, "0").alias("entity_id"),
         F.concat(F.lit("T"), "s").alias("ticker"), F.col("s_name").alias("company_name"),
         (F.col("y") + F.col("v")).cast("int").alias("fiscal_year"),
-        _sql(rules.FILED).alias("filed_date"), F.explode(F.array_compact(rows)).alias("f"))
+        _sql(rules.FILED).alias("filed_date"), F.explode(rows).alias("f"))
     return named.select(
         "entity_id", "ticker", "company_name", "f.concept", "f.source_tag", "f.tag_priority",
         "f.unit", "f.period_start", "f.period_end", "fiscal_year",
