@@ -50,8 +50,8 @@ def financials_pit(staged: DataFrame, keys: tuple[str, ...] = ("entity_id",),
 def _together(staged: DataFrame, keys: list[str]) -> DataFrame:
     """One exchange on the company, then two sorts whose prefixes serve every window."""
     rows = staged.filter(_annual_or_instant()).repartition(*keys)
-    traced = _trace_together(_pick_together(rows, keys), keys)
-    return _finish(_canonical_together(traced, keys), keys)
+    traced = _canonical_together(_trace_together(_pick_together(rows, keys), keys), keys)
+    return _finish(traced.select("*", "_rest.*").drop("_rest"), keys)
 
 
 def _apart(staged: DataFrame, keys: list[str]) -> DataFrame:
@@ -123,47 +123,46 @@ def one_value_per_filing(rows: DataFrame, keys: list[str]) -> DataFrame:
 def _pick_together(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Anchoring and :func:`one_value_per_filing` as windows over a single sort.
 
-    The sort is (company, filing, period end, concept, component, preference); anchoring needs
-    its first three parts, the component sum its first four, the pick all of it.
+    The sort is (company, filing, period end, concept, component, told); anchoring needs its
+    first three parts, the component sum its first four, the pick all of it. ``_told`` packs the
+    fact so that it compares in order of preference and moves through the windows as one value.
     """
     filing_day = ", ".join([*keys, "accession", "period_end"])
-    best_first = ("tag_priority, value desc, undated, period_start, unit, source_tag, "
-                  "filed_date, form, ticker, company_name, sign_was_negative")
-    component = ("named_struct('p', tag_priority, 't', source_tag, 'u', unit, 'n', undated, "
-                 "'s', period_start, 'd', filed_date, 'f', form, 'k', ticker, 'c', company_name)")
-    ordered = (rows.withColumn("undated", F.expr("period_start is null"))
-               .withColumn("_part", F.expr(f"case when combine_mode = 'sum' then {component} end"))
-               .sortWithinPartitions(*[F.expr(e) for e in (*keys, "accession", "period_end",
-                                                           "concept", "_part")],
-                                     *_order(best_first)))
-    anchored = ordered.withColumn("_full_year", F.expr(
-        f"bool_or(period_type = 'annual') over (partition by {filing_day})")).filter(
-        F.expr("(period_type = 'annual' or (_full_year and accession is not null))")
-        & F.col("unit").isin(*fixed.UNITS))
-
-    told = f"{filing_day}, concept"
-    single = anchored.selectExpr(
-        "*", f"bool_or(sign_was_negative) over (partition by {told}) as _any_negative",
-        f"array_join(array_sort(collect_set(if(_part is null, null, source_tag)) "
-        f"over (partition by {told})), '+') as _tags",
-    ).withColumn("_nth", F.expr(
-        f"row_number() over (partition by {told}, _part order by {best_first})")
-    ).filter("_nth = 1")
-    summed = single.selectExpr(
-        "*", f"sum(if(_part is null, 0, value)) over (partition by {told}) as _total",
-        f"min(_part) over (partition by {told}) as _first").filter("_part <=> _first")
+    concept = f"{filing_day}, concept"
+    component = ("struct(tag_priority, source_tag, unit, period_start, filed_date, form, ticker, "
+                 "company_name)")
+    packed = rows.selectExpr(
+        *keys, "accession", "period_end", "concept", "period_type = 'annual' as _annual",
+        f"case when combine_mode = 'sum' then {component} end as _part",
+        "struct(tag_priority, -value as _down, period_start is null as undated, period_start, "
+        "unit, source_tag, filed_date, form, ticker, company_name, sign_was_negative, "
+        "period_fiscal_year, filing_lag_days, restatement_eligible, value) as _told")
+    ordered = packed.sortWithinPartitions(
+        *keys, "accession", "period_end", "concept", "_part", "_told")
+
+    units = ", ".join(f"'{u}'" for u in fixed.UNITS)
+    anchored = ordered.selectExpr(
+        "*", f"bool_or(_annual) over (partition by {filing_day}) as _full_year").filter(
+        f"(_annual or (_full_year and accession is not null)) and _told.unit in ({units})"
+    ).drop("_annual", "_full_year")
+    first = anchored.selectExpr(
+        "*", f"bool_or(_told.sign_was_negative) over (partition by {concept}) as _any_negative",
+        f"row_number() over (partition by {concept}, _part order by _told) as _nth",
+    ).filter("_nth = 1").drop("_nth")
+    summed = first.selectExpr(
+        "*", f"sum(if(_part is null, 0, _told.value)) over (partition by {concept}) as _total",
+        f"collect_set(if(_part is null, null, _told.source_tag)) over (partition by {concept}) "
+        "as _tags", f"min(_part) over (partition by {concept}) as _first",
+    ).filter("_part <=> _first")
+    plain = ("ticker", "company_name", "period_start", "filing_lag_days", "form",
+             "restatement_eligible")
     return summed.selectExpr(
-        *keys, "concept", "period_end", "accession", "ticker", "company_name",
-        "if(_part is null, source_tag, _tags) as source_tag", "period_start",
-        "period_fiscal_year", "filed_date", "filing_lag_days", "form", "restatement_eligible",
-        "if(_part is null, sign_was_negative, _any_negative) as sign_was_negative",
-        "if(_part is null, value, _total) as value")
-
-
-def _order(text: str) -> list[Column]:
-    """Sort columns of an ``order by`` list."""
-    return [F.col(name[0]).desc() if name[1:] else F.col(name[0])
-            for name in (part.split() for part in text.split(","))]
+        *keys, "_told.period_fiscal_year", "period_end", "concept", "_told.filed_date",
+        "accession",
+        "if(_part is null, _told.source_tag, array_join(array_sort(_tags), '+')) as source_tag",
+        "if(_part is null, _told.value, _total) as value",
+        f"struct({', '.join(f'_told.{c}' for c in plain)}, if(_part is null, "
+        "_told.sign_was_negative, _any_negative) as sign_was_negative) as _rest")
 
 
 # -- tag lineage and report versions ---------------------------------------------------------
