@@ -37,13 +37,15 @@ def financials_pit(staged: DataFrame, keys: tuple[str, ...] = ("entity_id",),
     """Build the bitemporal table from staged facts.
 
     ``keys`` is the company key, optionally preceded by columns that make separate worlds (a
-    backtest event, for instance). ``counted`` may name a cheaper table to count keys on.
+    backtest event, for instance). Rows are counted per company on ``counted``, by default the
+    staged facts themselves; any table with at least those rows of a company will do, such as the
+    fact table, of which the count then scans one column.
     """
-    keys = list(keys)
-    heavy = heavy_keys(staged if counted is None else counted, keys, row_limit)
+    keys, company = list(keys), ["entity_id"]
+    heavy = heavy_keys(staged if counted is None else counted, company, row_limit)
     if heavy is None:
         return _together(staged, keys)
-    light_rows, heavy_rows = part_by_volume(staged, heavy, keys)
+    light_rows, heavy_rows = part_by_volume(staged, heavy, company)
     return _together(light_rows, keys).unionByName(_apart(heavy_rows, keys))
 
 

@@ -21,7 +21,8 @@ _WORLD = (*EVENT_KEYS, "entity_id")
 
 
 def _events(events: DataFrame) -> DataFrame:
-    return events.select(F.col("ticker").alias("event_ticker"), *EVENT_KEYS[1:])
+    """Events by key, each once: a company then has no more rows per event than facts."""
+    return events.select(F.col("ticker").alias("event_ticker"), *EVENT_KEYS[1:]).distinct()
 
 
 def visible_years(pit: DataFrame, events: DataFrame) -> DataFrame:
@@ -36,16 +37,18 @@ def visible_years(pit: DataFrame, events: DataFrame) -> DataFrame:
     return company_years(rows, _WORLD, public)
 
 
-def strict_pit(staged: DataFrame, events: DataFrame, row_limit: int = ROW_LIMIT) -> DataFrame:
+def strict_pit(staged: DataFrame, events: DataFrame, row_limit: int = ROW_LIMIT,
+               counted: DataFrame | None = None) -> DataFrame:
     """The bitemporal table rebuilt for every event from facts filed by its as-of date."""
     named = _events(events)
     known = staged.join(named, (staged["ticker"] == named["event_ticker"])
                         & (staged["filed_date"] <= named["as_of_date"]))
-    return financials_pit(known, _WORLD, row_limit)
+    return financials_pit(known, _WORLD, row_limit, staged if counted is None else counted)
 
 
-def strict_years(staged: DataFrame, events: DataFrame, row_limit: int = ROW_LIMIT) -> DataFrame:
-    return company_years(strict_pit(staged, events, row_limit), _WORLD)
+def strict_years(staged: DataFrame, events: DataFrame, row_limit: int = ROW_LIMIT,
+                 counted: DataFrame | None = None) -> DataFrame:
+    return company_years(strict_pit(staged, events, row_limit, counted), _WORLD)
 
 
 def panel(years: DataFrame) -> DataFrame:

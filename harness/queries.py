@@ -724,7 +724,7 @@ def _(x: Inputs) -> DataFrame:
 @register("strict_financials_as_of",
           after("strict_years", sql=f"select {_PANEL_COLUMNS} from years_strict"))
 def _(x: Inputs) -> DataFrame:
-    return backtest.panel(backtest.strict_years(x.staged, x.events))
+    return backtest.panel(backtest.strict_years(x.staged, x.events, counted=x.facts))
 
 
 @register("strict_scores_as_of",
