@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed, schemas
 from ..operators.staging import tag_table
@@ -39,7 +40,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 def read_screener(spark: SparkSession, path: str) -> DataFrame:
     """An exported screener CSV with its columns coerced: empty is null, True/False boolean."""
-    return _csv(spark, path, schemas.SCREENER.add("detail_key", "string"))
+    return _csv(spark, path, T.StructType([*schemas.SCREENER, T.StructField("detail_key", T.StringType())]))
 
 
 # -- nested documents ------------------------------------------------------------------------
