@@ -10,10 +10,39 @@ from pyspark.sql import functions as F
 from .. import fixed
 
 
-def null_violations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, n_null) for every listed column that holds a null; one pass over the table."""
+# Columns every mart must fill.
+REQUIRED = {
+    "pit": ("entity_id", "concept", "period_end", "value", "source_tag",
+            "restatement_eligible", "was_restated", "tag_switch_detected"),
+    "beneish": ("entity_id", "period_fiscal_year"),
+    "altman": ("entity_id", "period_fiscal_year"),
+    "piotroski": ("entity_id", "period_fiscal_year"),
+    "financials_as_of": ("entity_id", "event_label", "as_of_date"),
+    "scores_as_of": ("event_ticker", "period_fiscal_year"),
+    "accrual_returns": ("entity_id", "period_fiscal_year"),
+    "screener": ("entity_id", "ticker", "period_fiscal_year", "red_flag_count",
+                 "models_scored"),
+    "concepts": ("concept", "restatement_eligible"),
+    "case_studies": ("ticker", "case_study_note"),
+    "backtest_events": ("ticker", "as_of_date"),
+}
+
+
+def null_counts(df: DataFrame, columns: list[str] | tuple[str, ...]) -> DataFrame:
+    """(column, n_null) for every listed column, from one pass over the table."""
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-    return counts.unpivot([], columns, "column", "n_null").filter("n_null > 0")
+    return counts.unpivot([], list(columns), "column", "n_null")
+
+
+def null_violations(df: DataFrame, columns: list[str] | tuple[str, ...]) -> DataFrame:
+    return null_counts(df, columns).filter("n_null > 0")
+
+
+def required_columns(marts: dict[str, DataFrame]) -> DataFrame:
+    """(mart, column, n_null) for the required columns of the given marts."""
+    parts = [null_counts(df, REQUIRED[name]).select(F.lit(name).alias("mart"), "column", "n_null")
+             for name, df in marts.items()]
+    return reduce(DataFrame.union, parts)
 
 
 def repeated(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -803,6 +803,37 @@ def _(x: Inputs) -> DataFrame:
     return quality.null_violations(x.facts, ["accession", "period_start", "value", "form"])
 
 
+_MART_SQL = {"pit": "pit", "beneish": "scored", "altman": "scored", "piotroski": "scored",
+             "financials_as_of": "years_asof", "scores_as_of": "scored_asof",
+             "accrual_returns": "accruals", "screener": "screener", "case_studies": "cases",
+             "backtest_events": "events"}
+
+
+@register("required_columns", after("asof", "accruals", "screener", sql=" union all ".join(
+    f"select '{mart}' as mart, '{c}' as \"column\", count(*) - count({c}) as n_null "
+    f"from {table}" for mart, table in _MART_SQL.items() for c in quality.REQUIRED[mart])))
+def _(x: Inputs) -> DataFrame:
+    return quality.required_columns({
+        "pit": x.pit, "beneish": scoring.beneish(x.scored), "altman": scoring.altman(x.scored),
+        "piotroski": scoring.piotroski(x.scored),
+        "financials_as_of": backtest.panel(x.visible_years),
+        "scores_as_of": backtest.scores_as_of(x.visible_years, x.prices),
+        "accrual_returns": x.accrual_returns, "screener": x.screener,
+        "case_studies": x.case_studies, "backtest_events": x.events})
+
+
+@register("pit_by_fiscal_year", after("pit", sql="""
+select concept, count(*) as n, count(*) filter (where is_first_report) as n_first from pit
+where period_fiscal_year = 2013 group by 1"""))
+def _(x: Inputs) -> DataFrame:
+    """Written by fiscal year and read back with a year filter, which prunes directories."""
+    path = fresh_path(x.spark, "pit")
+    writers.write_pit(x.pit, path)
+    kept = x.spark.read.schema(x.pit.schema).parquet(path).filter("period_fiscal_year = 2013")
+    return kept.groupBy("concept").agg(F.count(F.lit(1)).alias("n"),
+                                       F.count_if("is_first_report").alias("n_first"))
+
+
 @register("repeated_facts", after("facts", sql="""
 select entity_id, concept, source_tag, unit, period_end, accession, count(*) as n from facts
 group by all having count(*) > 1"""))
