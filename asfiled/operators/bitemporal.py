@@ -147,22 +147,26 @@ def _pick_together(rows: DataFrame, keys: list[str]) -> DataFrame:
         "*", f"bool_or(_annual) over (partition by {filing_day}) as _full_year").filter(
         f"(_annual or (_full_year and accession is not null)) and _told.unit in ({units})"
     ).drop("_annual", "_full_year")
-    first = anchored.selectExpr(
-        "*", f"bool_or(_told.sign_was_negative) over (partition by {concept}) as _any_negative",
-        f"row_number() over (partition by {concept}, _part order by _told) as _nth",
-    ).filter("_nth = 1").drop("_nth")
-    summed = first.selectExpr(
-        "*", f"sum(if(_part is null, 0, _told.value)) over (partition by {concept}) as _total",
-        f"collect_set(if(_part is null, null, _told.source_tag)) over (partition by {concept}) "
-        "as _tags", f"min(_part) over (partition by {concept}) as _first",
-    ).filter("_part <=> _first")
+    # One pass: the preferred row, and for components the parts to add. Parts stay in the task
+    # anyway, and a company here is below the row bound.
+    ranked = f"partition by {concept} order by _part, _told"
+    whole = f"({ranked} rows between unbounded preceding and unbounded following)"
+    picked = anchored.selectExpr(
+        "*", f"row_number() over ({ranked}) as _nth",
+        f"bool_or(_told.sign_was_negative) over {whole} as _any_negative",
+        f"collect_list(if(_part is null, null, struct(_part, _told.value))) over {whole} as _parts",
+    ).filter("_nth = 1")
+    tags = "array_distinct(transform(_parts, x -> x._part.source_tag))"
+    largest = "array_max(transform(filter(_parts, x -> x._part <=> p), x -> x.value))"
+    total = (f"aggregate(array_distinct(transform(_parts, x -> x._part)), 0D, "
+             f"(sum, p) -> sum + {largest})")
     plain = ("ticker", "company_name", "period_start", "filing_lag_days", "form",
              "restatement_eligible")
-    return summed.selectExpr(
+    return picked.selectExpr(
         *keys, "_told.period_fiscal_year", "period_end", "concept", "_told.filed_date",
         "accession",
-        "if(_part is null, _told.source_tag, array_join(array_sort(_tags), '+')) as source_tag",
-        "if(_part is null, _told.value, _total) as value",
+        f"if(_part is null, _told.source_tag, array_join(array_sort({tags}), '+')) as source_tag",
+        f"if(_part is null, _told.value, {total}) as value",
         f"struct({', '.join(f'_told.{c}' for c in plain)}, if(_part is null, "
         "_told.sign_was_negative, _any_negative) as sign_was_negative) as _rest")
 
