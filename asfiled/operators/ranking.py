@@ -59,7 +59,8 @@ def ntile_of(tiles: int) -> Column:
 def exact_medians(df: DataFrame, group: list[str], value: str, ties: list[str],
                   name: str) -> DataFrame:
     """Exact median of ``value`` per group: mean of the one or two middle rows."""
-    numbered = number_rows(df.filter(F.col(value).isNotNull()), group,
+    known = df.filter(F.col(value).isNotNull()).select(*group, value, *ties)
+    numbered = number_rows(known, group,
                            [F.col(value), *(F.col(t) for t in ties)])
     n = F.col("group_rows")
     middle = F.col("row_number").isin(F.floor((n + 1) / 2), F.floor((n + 2) / 2))

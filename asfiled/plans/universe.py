@@ -13,14 +13,16 @@ LISTS = {"baseline": fixed.BASELINE_TICKERS, "cases": _CASES,
          "pilot": fixed.BASELINE_TICKERS + _CASES}
 
 
-def named_universe(spark: SparkSession, name: str, folder: str | None = None) -> DataFrame:
-    """(position, ticker) of a named list, of ``full``, or of ``<folder>/<name>.csv``."""
+def named_universe(spark: SparkSession, name: str, folder: str | None = None,
+                   index: str = "sp500") -> DataFrame:
+    """(position, ticker) of a named list, of ``<folder>/<name>.csv``, or of ``full``: the
+    constituents in ``<folder>/<index>.csv`` and the case studies."""
     if name in LISTS:
         return _listed(spark, LISTS[name])
     if folder is None:
         raise ValueError(f"unknown universe {name!r}; give the folder of its CSV file")
     if name == "full":
-        return union_universe(_from_csv(spark, f"{folder}/sp500.csv"), _listed(spark, _CASES))
+        return union_universe(_from_csv(spark, f"{folder}/{index}.csv"), _listed(spark, _CASES))
     return _from_csv(spark, f"{folder}/{name}.csv")
 
 
