@@ -6,6 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
+from .decontaminate import contamination
+from .quality_rules import BASE_RULES, quality_verdicts
 from .rows import table
 from .token_counts import prefix_token_counts
 
@@ -18,8 +21,27 @@ def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("n_tokens") > 512).alias("over_limit"), "chars_within_512")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        "contaminated")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    figures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = quality_verdicts(docs, report=figures, always=BASE_RULES)
+    return judged.select("doc_id", *figures, "base_failed", "kept")
+
+
 QUERIES = {
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_quality_rules": op5_quality_rules,
     "op6_prefix_token_counts": op6_prefix_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_benchmark_decontamination": oracle.DECONTAMINATION,
+    "op5_quality_rules": oracle.QUALITY_RULES,
+}
