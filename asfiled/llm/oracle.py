@@ -70,3 +70,35 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
 """
+
+JACCARD_JOIN = rf"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+sets AS (
+  SELECT rid, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5
+    THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(ws) - 4),
+         lambda i: array_to_string(ws[i : i + 4], ' '))) END AS s FROM w),
+same AS (SELECT rid, doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS set_id, s
+         FROM sets),
+one AS (SELECT set_id, any_value(n) AS n, any_value(s) AS s FROM same WHERE n > 0 GROUP BY set_id),
+tokens AS (SELECT set_id, n, unnest(s) AS t FROM one),
+common AS (
+  SELECT a.set_id AS u, b.set_id AS v, a.n AS n_u, b.n AS n_v, count(*) AS c
+  FROM tokens a JOIN tokens b ON a.t = b.t AND a.set_id < b.set_id
+   AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY ALL),
+links AS (SELECT u, v FROM common WHERE 100 * c >= 80 * (n_u + n_v - c)),
+ways AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach AS (
+  SELECT set_id AS start, set_id AS spot FROM one
+  UNION SELECT start, v FROM reach JOIN ways ON spot = u),
+least_id AS (
+  SELECT start AS set_id, min(doc_id) AS component_id
+  FROM reach JOIN same ON same.set_id = spot AND n > 0 GROUP BY start)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles,
+       CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id
+FROM same LEFT JOIN least_id USING (set_id)
+"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import oracle
 from .decontaminate import contamination
+from .jaccard_join import jaccard_components
 from .quality_rules import BASE_RULES, quality_verdicts
 from .rows import table
 from .token_counts import prefix_token_counts
@@ -35,13 +36,19 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *figures, "base_failed", "kept")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op9_jaccard_join": op9_jaccard_join,
     "op6_prefix_token_counts": op6_prefix_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_benchmark_decontamination": oracle.DECONTAMINATION,
+    "op9_jaccard_join": oracle.JACCARD_JOIN,
     "op5_quality_rules": oracle.QUALITY_RULES,
 }
