@@ -102,3 +102,43 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_shingles,
        CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id
 FROM same LEFT JOIN least_id USING (set_id)
 """
+
+MIX_SOURCES = r"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, text,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+drawn AS (
+  SELECT doc_id, source, size,
+    1 - pow((CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12)
+             AS BIGINT) + 0.5) / pow(2.0, 48),
+        1 / coalesce(1 / (1 + 7 * least(1.0, CAST(length(regexp_replace(text, '[^#*$%&|<>!]', '', 'g'))
+            AS DOUBLE) / greatest(size, 1))), 1.0)) AS key
+  FROM sized),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM drawn GROUP BY source),
+filling AS (
+  SELECT 0 AS round, source, source_size, weight, false AS capped FROM sources
+  UNION ALL
+  SELECT round + 1, source, source_size, weight,
+    capped OR 2.0 * source_size <= weight
+      * (1.5 * sum(source_size) OVER () - coalesce(sum(CASE WHEN capped THEN 2.0 * source_size END) OVER (), 0))
+      / nullif(sum(CASE WHEN capped THEN 0 ELSE weight END) OVER (), 0)
+  FROM filling WHERE round < 60),
+goal AS (
+  SELECT source, source_size, CAST(CASE WHEN capped THEN 2.0 * source_size ELSE weight
+      * (1.5 * sum(source_size) OVER () - coalesce(sum(CASE WHEN capped THEN 2.0 * source_size END) OVER (), 0))
+      / sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () END AS DOUBLE) AS target
+  FROM filling WHERE round = 60),
+line AS (
+  SELECT doc_id, size, source_size, target,
+    CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
+    sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size
+                    ROWS UNBOUNDED PRECEDING) AS upto
+  FROM drawn JOIN goal ON drawn.source IS NOT DISTINCT FROM goal.source)
+SELECT doc_id, size, source_size, target, CAST(size * e AS BIGINT) AS taken, CAST(e AS INTEGER) AS epochs
+FROM (SELECT *, whole + CASE WHEN upto - size / 2.0 <= target - whole * source_size
+                        THEN 1 ELSE 0 END AS e FROM line)
+"""

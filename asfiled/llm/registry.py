@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import oracle
 from .decontaminate import contamination
 from .jaccard_join import jaccard_components
+from .mixing import mix
 from .quality_rules import BASE_RULES, quality_verdicts
 from .rows import table
 from .token_counts import prefix_token_counts
@@ -22,6 +23,10 @@ def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("n_tokens") > 512).alias("over_limit"), "chars_within_512")
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -41,6 +46,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_mix_sources": op3_mix_sources,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op9_jaccard_join": op9_jaccard_join,
@@ -48,6 +54,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_mix_sources": oracle.MIX_SOURCES,
     "op4_benchmark_decontamination": oracle.DECONTAMINATION,
     "op9_jaccard_join": oracle.JACCARD_JOIN,
     "op5_quality_rules": oracle.QUALITY_RULES,
