@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from . import oracle
 from .decontaminate import contamination
 from .jaccard_join import jaccard_components
+from .labelled import held_out
 from .mixing import mix
+from .quality_classifier import fit_quality, score_quality
 from .quality_rules import BASE_RULES, quality_verdicts
 from .rows import table
 from .token_counts import prefix_token_counts
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +44,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *figures, "base_failed", "kept")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 4, 2)
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), ~out)
+    return (score_quality(docs, model)
+            .select("doc_id", out.alias("held_out"), "score", "predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 5, 0)
+    weights = fit_toxicity(docs, table(spark, sf_dir, "labels"), ~out)
+    return (score_toxicity(docs, weights)
+            .select("doc_id", out.alias("held_out"), "score", "predicted"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -49,6 +68,8 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op6_prefix_token_counts": op6_prefix_token_counts,
 }
