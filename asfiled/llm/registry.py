@@ -11,6 +11,7 @@ from .decontaminate import contamination
 from .jaccard_join import jaccard_components
 from .labelled import held_out
 from .mixing import mix
+from .pii import replace_entities
 from .quality_classifier import fit_quality, score_quality
 from .quality_rules import BASE_RULES, quality_verdicts
 from .rows import table
@@ -26,6 +27,15 @@ def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("n_tokens") > 512).alias("over_limit"), "chars_within_512")
 
 
+#: Whoever knows the key can tell whether a guessed entity lies behind a surrogate.
+SURROGATE_KEY = "change-me-per-release"
+
+
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_entities(docs, SURROGATE_KEY, count="n_entities")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -65,6 +75,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_surrogates": op2_surrogates,
     "op3_mix_sources": op3_mix_sources,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_quality_rules": op5_quality_rules,
