@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..durable import materialise
 from .components import components
 from .rows import bounded_batches
-from .shingles import WordHashes, shingle_set
+from .shingles import shingle_set
 from .signature_tree import (
     SignatureTree, bitmap, bitmap_bytes, dual_traversal, folded, least_overlap, may_link,
     size_class,
@@ -46,14 +46,11 @@ _FILTER_BITS = 1 << 23
 def frequency_levels(docs: DataFrame, size: int, text: str) -> np.ndarray:
     """About eight steps per doubling of the number of documents that hold a shingle's counter."""
     def count(batches):
-        counts, memory = np.zeros(_COUNTERS, np.uint32), WordHashes()
+        counts = np.zeros(_COUNTERS, np.uint32)
         for batch in bounded_batches(batches):
             for value in batch.column(0).to_pylist():
-                at = shingle_set(value, size, memory) & np.uint64(_COUNTERS - 1)
-                counts += np.bincount(at.astype(np.int64), minlength=_COUNTERS).astype(
-                    np.uint32) if len(at) > _COUNTERS // 64 else 0
-                if len(at) <= _COUNTERS // 64:
-                    np.add.at(counts, at.astype(np.int64), 1)
+                at = shingle_set(value, size) & np.uint64(_COUNTERS - 1)
+                np.add.at(counts, at.astype(np.int64), 1)
         if counts.any():
             parts = [p.astype(np.uint64).tobytes() for p in np.split(counts, _PARTS)]
             salt = int(counts.sum()) % 64
@@ -92,11 +89,11 @@ def _signatures(docs: DataFrame, levels, size: int, percent: int, doc_id: str,
     kind = dict(source.dtypes)["doc_id"]
 
     def run(batches):
-        rank, memory = levels.value, WordHashes()
+        rank = levels.value
         for batch in bounded_batches(batches):
             sets, sizes, keys, bits = [], [], [], []
             for value in batch.column(2).to_pylist():
-                tokens = shingle_set(value, size, memory)
+                tokens = shingle_set(value, size)
                 n = len(tokens)
                 prefix = n - -(-percent * n // 100) + 1 if n else 0
                 order = (rank[(tokens & np.uint64(_COUNTERS - 1)).astype(np.int64)]
@@ -156,13 +153,13 @@ def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, perce
     bits = docs.sparkSession.sparkContext.broadcast(_filter_of(needed))
 
     def tokens(batches):
-        wanted, memory = bits.value, WordHashes()
+        wanted = bits.value
         for batch in bounded_batches(batches):
             at = batch.column(0).to_numpy() % _FILTER_BITS
             batch = batch.filter(pa.array((wanted[at >> 3] >> (at & 7)) & 1 == 1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(
-                    [shingle_set(t, size, memory).tobytes()
+                    [shingle_set(t, size).tobytes()
                      for t in batch.column(1).to_pylist()], pa.binary())],
                 names=["text_hash", "tokens"])
 

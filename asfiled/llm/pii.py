@@ -44,8 +44,11 @@ PATTERN = "|".join((
     _FREE + r"\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}])",
     _FREE + rf"(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'’-]++(?: \p{{Lu}}[\p{{L}}'’-]++){{0,2}}(?![\p{{L}}\p{{N}}])",
 ))
-#: Without one of these a text holds no entity.
-_HINT = rf"[@0-9]|(?:{TITLES})\.? \p{{Lu}}|(?i:token|secret|passw|api[_-]?key)"
+#: Without one of these a text holds no entity; cheap looks before the long pattern.
+_HINT_WORDS = ("token", "secret", "passw", "api", "TOKEN", "SECRET", "PASSW", "API", "Token",
+               "Secret", "Passw", "Api")
+_HINT_TITLE = (rf"(?=[{''.join(sorted({t[0] for t in MALE + FEMALE + EITHER}))}])"
+               rf"(?:{TITLES})\.? \p{{Lu}}")
 
 _SCRIPTS = {  # letters by script, and syllables for names
     "[а-яё]": ("абвгдежзиклмнопрстуфхцчшэюя", "бо ва ди ка ле ми но ра се ту", "ов", "ова"),
@@ -62,6 +65,11 @@ def _any_of(titles) -> str:
     return _quoted(rf"^(?:{'|'.join(titles)})\.? ")
 
 
+def hinted(text: str) -> str:
+    words = " or ".join(f"contains({text}, '{w}')" for w in _HINT_WORDS)
+    return f"({text} rlike '[@0-9]' or {words} or {text} rlike {_quoted(_HINT_TITLE)})"
+
+
 def kind_of(m: str) -> str:
     """SQL for the kind of an occurrence ``m``."""
     return f"""case when contains({m}, '@') then 'email'
@@ -204,7 +212,7 @@ def replace_entities(docs: DataFrame, key: str, doc_id: str = "doc_id", text: st
     kept = [c for c in docs.columns if count is None or c.lower() != count.lower()]
     pattern = _quoted(PATTERN)
     found = docs.withColumn("_found", F.expr(
-        f"if(`{text}` rlike {_quoted(_HINT)}, regexp_extract_all(`{text}`, {pattern}, 0), "
+        f"if({hinted(f'`{text}`')}, regexp_extract_all(`{text}`, {pattern}, 0), "
         "cast(array() as array<string>))"))
     occurrences = found.filter("size(_found) > 0").select(
         F.col(doc_id).alias("_doc"), text_key(doc_id, text).alias("_key"),

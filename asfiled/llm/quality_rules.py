@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import SPACED_WORDS, append, bounded_batches, schema_of, without
+from .rows import append, bounded_batches, schema_of, without
 
 SYMBOLS = "#*$%&|<>"
 _NOT_CAPITAL = bytes(b for b in range(256) if not 65 <= b <= 90)
@@ -32,8 +32,9 @@ class Measures:
         self.text = text or ""
 
     @cached_property
-    def words(self) -> list[str]:
-        return SPACED_WORDS.findall(self.text)
+    def words(self) -> list[bytes]:
+        """Runs of anything but ASCII white space, which is what bytes are split at."""
+        return self.text.encode().split()
 
     @cached_property
     def n_words(self) -> int:
@@ -71,7 +72,7 @@ class Measures:
     @cached_property
     def numbered(self) -> np.ndarray:
         """Each word as the number of its first appearance."""
-        seen: dict[str, int] = {}
+        seen: dict[bytes, int] = {}
         return np.array([seen.setdefault(w, len(seen)) for w in self.words], np.int64)
 
     @cached_property

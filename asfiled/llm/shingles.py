@@ -1,15 +1,23 @@
-"""Distinct word shingles of a text as 56-bit hashes, in numpy."""
+"""Distinct word shingles of a text as 56-bit hashes, in numpy on its bytes.
 
-from __future__ import annotations
+Nothing here makes a Python object per word. With ``T`` a random number per byte value and ``K``
+an odd number, the bytes of a text are summed up as ``T[byte] * K**position`` modulo 2**64; the
+difference of two such sums, shifted back to position zero, hashes the word between them.
+"""
 
-from hashlib import blake2b
+from __future__ import annotations
 
 import numpy as np
 
-from .rows import SPACED_WORDS, TO_LOWER
+#: Lower case for A-Z, as a table over bytes.
+LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+_rng = np.random.default_rng(20)
+_BYTE = _rng.integers(0, 1 << 64, 256, np.uint64)
+_K = int(_rng.integers(0, 1 << 64, dtype=np.uint64)) | 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_REMEMBERED = 400_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -19,25 +27,44 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = made = int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little")
-        return made
+class _Powers:
+    """Powers of a number modulo 2**64, as many as the longest text so far has needed."""
+
+    def __init__(self, base: int):
+        self.base, self.known = np.uint64(base), np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        while len(self.known) < n:
+            step = self.known[-1:] * self.base
+            self.known = np.concatenate([self.known, self.known * step])
+        return self.known[:n]
 
-    def of(self, words: list[str]) -> np.ndarray:
-        if len(self) > _REMEMBERED:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+_UP, _BACK = _Powers(_K), _Powers(pow(_K, -1, 1 << 64))
+
+
+def word_hashes(data: bytes, inside: np.ndarray | None = None) -> np.ndarray:
+    """A hash for each word; words are runs of anything but ASCII white space, or of the byte
+    values that the table ``inside`` marks."""
+    at = np.frombuffer(data, np.uint8)
+    if not len(at):
+        return np.empty(0, np.uint64)
+    member = np.zeros(len(at) + 2, np.int8)
+    member[1:-1] = ~_SPACE[at] if inside is None else inside[at]
+    edges = np.flatnonzero(np.diff(member))
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(at) + 1, np.uint64)
+    np.cumsum(_BYTE[at] * _UP.upto(len(at)), out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * _BACK.upto(len(at))[starts])
 
 
-def shingle_set(text: str | None, size: int, memory: WordHashes) -> np.ndarray:
+def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct hashes; a text of fewer than ``size`` words has one, without words none."""
-    words = SPACED_WORDS.findall(text.translate(TO_LOWER)) if text else []
-    if not words:
+    hashes = word_hashes(text.encode().translate(LOWER_BYTES)) if text else ()
+    if not len(hashes):
         return np.empty(0, np.uint64)
-    hashes = memory.of(words)
-    width = min(size, len(words))
-    rolled = np.full(len(words) - width + 1, np.uint64(width))
+    width = min(size, len(hashes))
+    rolled = np.full(len(hashes) - width + 1, np.uint64(width))
     for i in range(width):
-        rolled = rolled * _ODD + hashes[i:len(words) - width + 1 + i]
+        rolled = rolled * _ODD + hashes[i:len(hashes) - width + 1 + i]
     return np.unique(mixed(rolled) >> np.uint64(8))

@@ -8,8 +8,6 @@ broadcast for scoring is the list of weights that are left.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,18 +15,18 @@ from pyspark.sql import functions as F
 
 from .labelled import training_sample
 from .rows import append, bounded_batches, schema_of, without
-from .shingles import WordHashes, mixed
+from .shingles import mixed, word_hashes
 
-_WORDS = re.compile(r"\w+")
+#: Bytes of words: letters, digits and all bytes of characters beyond ASCII.
+_IN_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 #: Places in the table of weights; the last one is the constant.
 DIMENSIONS = 1 << 20
 _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def features(text: str | None, memory: WordHashes) -> np.ndarray:
+def features(text: str | None) -> np.ndarray:
     """Places of all features of a text, repeats included."""
-    words = _WORDS.findall(text.lower()) if text else []
-    h = memory.of(words)
+    h = word_hashes(text.lower().encode() if text else b"", _IN_WORD)
     rolled = np.concatenate([h, h[:-1] * _PAIR + h[1:], h[:-2] * _SKIP + (h[2:] ^ _PAIR)])
     return (mixed(rolled) % np.uint64(DIMENSIONS - 1)).astype(np.int32)
 
@@ -68,10 +66,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable, rows: int = 20_000,
     sample = training_sample(docs, labels, label, usable, rows, text)
 
     def run(batches):
-        memory, seen = WordHashes(), []
+        seen = []
         for batch in bounded_batches(batches):
             for value, answer in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                present = np.unique(features(value, memory))
+                present = np.unique(features(value))
                 seen.append((np.append(present, DIMENSIONS - 1), answer))
         model = Ftrl(alpha, beta, l1, l2)
         for _ in range(epochs):
@@ -100,14 +98,14 @@ def score_toxicity(docs: DataFrame, weights: dict[int, float], threshold: float
         (np.array(list(weights), np.int64), np.array(list(weights.values()), float)))
 
     def run(batches):
-        table, memory = np.zeros(DIMENSIONS), WordHashes()
+        table = np.zeros(DIMENSIONS)
         places, values = shared.value
         table[places] = values
         known = table != 0
         for batch in bounded_batches(batches):
             sums = []
             for value in batch.column(batch.schema.get_field_index(text)).to_pylist():
-                at = features(value, memory)
+                at = features(value)
                 sums.append(table[np.unique(at[known[at]])].sum() + table[-1])
             score = sigmoid(np.array(sums))
             yield append(batch, keep, {
