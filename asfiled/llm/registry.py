@@ -10,6 +10,8 @@ from . import oracle
 from .decontaminate import contamination
 from .jaccard_join import jaccard_components
 from .labelled import held_out
+from .licenses import scan_licenses
+from .lm_scoring import fit_network, score_documents
 from .mixing import mix
 from .pii import replace_entities
 from .quality_classifier import fit_quality, score_quality
@@ -27,6 +29,11 @@ def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("n_tokens") > 512).alias("over_limit"), "chars_within_512")
 
 
+def op1_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_documents(docs, *fit_network(docs)).drop("text")
+
+
 #: Whoever knows the key can tell whether a guessed entity lies behind a surrogate.
 SURROGATE_KEY = "change-me-per-release"
 
@@ -74,7 +81,14 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan_licenses(docs).drop("text")
+
+
 QUERIES = {
+    "op1_masked_pseudo_likelihood": op1_masked_pseudo_likelihood,
+    "op10_license_scan": op10_license_scan,
     "op2_surrogates": op2_surrogates,
     "op3_mix_sources": op3_mix_sources,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
