@@ -244,17 +244,8 @@ def _tree_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, percent:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id",
-                       text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of ``docs``.
-
-    Two documents link when ``100 * common >= percent * all`` distinct shingles of ``size``
-    words, A-Z lower-cased; ``component_id`` is the smallest id reachable by links. A text of
-    fewer words is one shingle. A document without words or text has none, links with nothing
-    and is its own component. A row without an id can link others; a component without any id
-    has none. Repeated rows each keep a row. Texts count whole; other columns are not looked at.
-    Shingles are told apart by 56-bit and sets by 64-bit hashes.
-    """
+def _placed(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text_hash, n, component_id), a row for each row of ``docs``."""
     spark: SparkSession = docs.sparkSession
     levels = spark.sparkContext.broadcast(frequency_levels(docs, size, text))
     signatures = materialise(_signatures(docs, levels, size, percent, doc_id, text), "signatures")
@@ -287,11 +278,52 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id
     found = materialise(_linked(more, docs, sets, size, percent, text), "links")
     labels = materialise(components(links.union(found)), "labels")
 
-    placed = (signatures.select("doc_id", "set_id", "n")
+    placed = (signatures.select("doc_id", "text_hash", "set_id", "n")
               .join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
               .withColumn("component", F.coalesce("component", "set_id")))
     named = (placed.filter("n > 0").groupBy("component")
              .agg(F.min("doc_id").alias("component_id")))
     return (placed.filter("n > 0").join(named, "component")
-            .select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")
-            .union(placed.filter("n = 0").select("doc_id", "n", "doc_id")))
+            .select("doc_id", "text_hash", "n", "component_id")
+            .union(placed.filter("n = 0").select("doc_id", "text_hash", "n", "doc_id")))
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id",
+                       text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each row of ``docs``.
+
+    Two documents link when ``100 * common >= percent * all`` distinct shingles of ``size``
+    words, A-Z lower-cased; ``component_id`` is the smallest id reachable by links. A text of
+    fewer words is one shingle. A document without words or text has none, links with nothing
+    and is its own component. A row without an id can link others; a component without any id
+    has none. Repeated rows each keep a row. Texts count whole; other columns are not looked at.
+    Shingles are told apart by 56-bit and sets by 64-bit hashes.
+    """
+    return _placed(docs, size, percent, doc_id, text).select(
+        F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_per_component(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id",
+                      text: str = "text") -> DataFrame:
+    """``docs`` with one row per component, the one of the smallest id; columns stay.
+
+    Rows without words stay, and so do those of a component without any id. Of rows equal in id
+    and text one stays; rows of one id with different texts are told apart by the text.
+    """
+    placed = materialise(_placed(docs, size, percent, doc_id, text), "placed")
+    copies = (placed.filter("component_id is not null and not doc_id <=> component_id")
+              .select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct())
+
+    def same(frame: DataFrame, other: DataFrame):
+        return (frame[doc_id].eqNullSafe(other["_doc"])
+                & (F.xxhash64(frame[text]) == other["_hash"]))
+
+    kept = docs.join(copies, same(docs, copies), "left_anti")
+    repeats = materialise(placed.groupBy(F.col("doc_id").alias("_doc"),
+                                         F.col("text_hash").alias("_hash"))
+                          .count().filter("count > 1").drop("count"), "repeats")
+    if repeats.isEmpty():
+        return kept
+    again = kept.join(repeats, same(kept, repeats), "left_semi")
+    return (kept.join(repeats, same(kept, repeats), "left_anti")
+            .unionByName(again.dropDuplicates([doc_id, text])))

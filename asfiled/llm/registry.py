@@ -86,7 +86,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(docs).drop("text")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+    return run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_masked_pseudo_likelihood": op1_masked_pseudo_likelihood,
     "op10_license_scan": op10_license_scan,
     "op2_surrogates": op2_surrogates,
