@@ -2,17 +2,14 @@ import random
 
 import pytest
 
+from llm_samples import prose
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that operators make themselves, as columns of an input.
 CLASHES = ("n_words", "KEPT", "score", "predicted", "n_tokens", "taken", "license", "spans",
            "component_id", "text_key", "key", "n_entities", "size", "coverage", "_found", "n", "u")
 
 
-def prose(rng, n, words=400):
-    return " ".join(rng.choice(["the", "of", "and"]) if rng.random() < 0.2
-                    else f"w{rng.randrange(words)}q" for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls in any column, empty, blank and very long texts, ties, repeated rows, clashes."""
