@@ -82,6 +82,16 @@ def anchor_to_annual(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 # -- one value per filing --------------------------------------------------------------------
 
+# What a filing's value is told with. An alternative tells it with the columns of the row it picks;
+# a sum with the largest entry of each column over its parts, whatever their order.
+_TOLD = ("ticker", "company_name", "period_start", "period_fiscal_year", "filed_date",
+         "filing_lag_days", "form", "restatement_eligible")
+
+
+def _most(column: str, at: str) -> str:
+    return f"{'bool_and' if column == 'restatement_eligible' else 'max'}({at})"
+
+
 def one_value_per_filing(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Reduce alternative tags to the best one and component tags to their sum.
 
@@ -109,28 +119,31 @@ def one_value_per_filing(rows: DataFrame, keys: list[str]) -> DataFrame:
     merged = distinct.groupBy(*filing).agg(
         best.alias("_best"), F.sum("value").alias("_total"),
         F.array_join(F.array_sort(F.collect_set("source_tag")), "+").alias("_tags"),
-        F.max("sign_was_negative").alias("_any_negative"))
+        F.max("sign_was_negative").alias("_any_negative"),
+        *[F.expr(_most(c, c)).alias(f"_most_{c}") for c in _TOLD])
 
     summed = F.col("_best.combine_mode") == "sum"
+    told = [F.when(summed, F.col(f"_most_{c}")).otherwise(F.col(f"_best.{c}")).alias(c)
+            for c in _TOLD]
     return merged.select(
-        *filing, "_best.ticker", "_best.company_name",
+        *filing,
         F.when(summed, F.col("_tags")).otherwise(F.col("_best.source_tag")).alias("source_tag"),
-        "_best.period_start", "_best.period_fiscal_year", "_best.filed_date",
-        "_best.filing_lag_days", "_best.form", "_best.restatement_eligible",
+        *told,
         F.when(summed, F.col("_any_negative")).otherwise(F.col("_best.sign_was_negative"))
         .alias("sign_was_negative"),
         F.when(summed, F.col("_total")).otherwise(F.col("_best.value")).alias("value"))
 
 
 def _pick_together(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Anchoring and :func:`one_value_per_filing` as windows over a single sort.
+    """Anchoring and :func:`one_value_per_filing` over a single sort.
 
-    The sort is (company, filing, period end, concept, component, told); anchoring needs its
-    first three parts, the component sum its first four, the pick all of it. ``_told`` packs the
-    fact so that it compares in order of preference and moves through the windows as one value.
+    The sort is (company, filing, period end, concept, part): anchoring is a window over its first
+    three columns; repeats of a part, then the parts of a value, are folded by aggregates that
+    find their rows side by side. ``_told`` packs the fact so that it compares in order of
+    preference.
     """
     filing_day = ", ".join([*keys, "accession", "period_end"])
-    concept = f"{filing_day}, concept"
+    value = [*keys, "accession", "period_end", "concept"]
     component = ("struct(tag_priority, source_tag, unit, period_start, filed_date, form, ticker, "
                  "company_name)")
     packed = rows.selectExpr(
@@ -139,36 +152,30 @@ def _pick_together(rows: DataFrame, keys: list[str]) -> DataFrame:
         "struct(tag_priority, -value as _down, period_start is null as undated, period_start, "
         "unit, source_tag, filed_date, form, ticker, company_name, sign_was_negative, "
         "period_fiscal_year, filing_lag_days, restatement_eligible, value) as _told")
-    ordered = packed.sortWithinPartitions(
-        *keys, "accession", "period_end", "concept", "_part", "_told")
+    ordered = packed.sortWithinPartitions(*value, "_part")
 
     units = ", ".join(f"'{u}'" for u in fixed.UNITS)
     anchored = ordered.selectExpr(
         "*", f"bool_or(_annual) over (partition by {filing_day}) as _full_year").filter(
-        f"(_annual or (_full_year and accession is not null)) and _told.unit in ({units})"
-    ).drop("_annual", "_full_year")
-    # One pass: the preferred row, and for components the parts to add. Parts stay in the task
-    # anyway, and a company here is below the row bound.
-    ranked = f"partition by {concept} order by _part, _told"
-    whole = f"({ranked} rows between unbounded preceding and unbounded following)"
-    picked = anchored.selectExpr(
-        "*", f"row_number() over ({ranked}) as _nth",
-        f"bool_or(_told.sign_was_negative) over {whole} as _any_negative",
-        f"collect_list(if(_part is null, null, struct(_part, _told.value))) over {whole} as _parts",
-    ).filter("_nth = 1")
-    tags = "array_distinct(transform(_parts, x -> x._part.source_tag))"
-    largest = "array_max(transform(filter(_parts, x -> x._part <=> p), x -> x.value))"
-    total = (f"aggregate(array_distinct(transform(_parts, x -> x._part)), 0D, "
-             f"(sum, p) -> sum + {largest})")
-    plain = ("ticker", "company_name", "period_start", "filing_lag_days", "form",
-             "restatement_eligible")
-    return picked.selectExpr(
-        *keys, "_told.period_fiscal_year", "period_end", "concept", "_told.filed_date",
-        "accession",
-        f"if(_part is null, _told.source_tag, array_join(array_sort({tags}), '+')) as source_tag",
-        f"if(_part is null, _told.value, {total}) as value",
-        f"struct({', '.join(f'_told.{c}' for c in plain)}, if(_part is null, "
-        "_told.sign_was_negative, _any_negative) as sign_was_negative) as _rest")
+        f"(_annual or (_full_year and accession is not null)) and _told.unit in ({units})")
+    parts = anchored.groupBy(*value, "_part").agg(
+        F.min("_told").alias("_best"), F.max("_told.value").alias("_largest"),
+        F.max("_told.sign_was_negative").alias("_negative"))
+    whole = parts.groupBy(*value).agg(
+        F.max(F.col("_part").isNotNull()).alias("_summed"), F.min("_best").alias("_best"),
+        F.sum("_largest").alias("_total"), F.max("_negative").alias("_any_negative"),
+        F.array_join(F.array_sort(F.collect_set("_best.source_tag")), "+").alias("_tags"),
+        *[F.expr(_most(c, f"_best.{c}")).alias(f"_most_{c}") for c in _TOLD])
+    told = {c: f"if(_summed, _most_{c}, _best.{c})" for c in _TOLD}
+    rest = [f"{told.pop(c)} as {c}" for c in
+            ("ticker", "company_name", "period_start", "filing_lag_days", "form",
+             "restatement_eligible")]
+    return whole.selectExpr(
+        *value, *[f"{e} as {c}" for c, e in told.items()],
+        "if(_summed, _tags, _best.source_tag) as source_tag",
+        "if(_summed, _total, _best.value) as value",
+        f"struct({', '.join(rest)}, if(_summed, _any_negative, _best.sign_was_negative) "
+        "as sign_was_negative) as _rest")
 
 
 # -- tag lineage and report versions ---------------------------------------------------------
