@@ -1,13 +1,23 @@
-"""Two-sided normal p-value. Spark has no error function, so this is the one pandas UDF of the
-library; it is applied to aggregated results of a single row."""
+"""Two-sided normal p-value as a column expression.
 
-import math
+Spark has no error function. The area under the normal density between zero and |t| is summed by
+Simpson's rule over a fixed number of steps, which leaves an error far below 1e-9 up to |t| = 8;
+beyond that the p-value is below 1e-14 and taken as zero.
+"""
 
-import pandas as pd
+from __future__ import annotations
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+STEPS = 400
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_two_sided_p(t: pd.Series) -> pd.Series:
-    return t.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)), na_action="ignore")
+def normal_two_sided_p(t: str) -> Column:
+    """p-value of the column ``t``; null stays null and NaN stays NaN."""
+    weight = f"if(i in (0, {STEPS}), 1, if(i % 2 = 1, 4, 2))"
+    height = f"exp(-pow(abs({t}) * i / {STEPS}, 2) / 2)"
+    area = (f"aggregate(sequence(0, {STEPS}), 0D, (s, i) -> s + {weight} * {height}) "
+            f"* abs({t}) / {STEPS} / 3 / sqrt(2 * pi())")
+    return F.expr(f"case when isnan({t}) then {t} when abs({t}) > 8 then 0D "
+                  f"else greatest(0D, 1 - 2 * {area}) end")

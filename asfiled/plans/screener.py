@@ -150,6 +150,12 @@ def sector_year_matrix(table: DataFrame, years: list[int]) -> DataFrame:
         for y in years])
 
 
+def sector_years(table: DataFrame) -> DataFrame:
+    """Average flags by sector and fiscal year, for the years that are there."""
+    return table.groupBy(_sector(), "period_fiscal_year").agg(
+        F.avg("red_flag_count").alias("avg_flags"), F.count(F.lit(1)).alias("n"))
+
+
 def case_study_flags(table: DataFrame) -> DataFrame:
     return table.filter(F.col("is_case_study") & _flagged()).agg(
         F.count(F.lit(1)).alias("case_study_red_flags"))

@@ -46,10 +46,14 @@ def union_universe(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def select_companies(companies: DataFrame, tickers: DataFrame) -> DataFrame:
-    """Requested companies, one row per entity after matching, so every ticker can match."""
+    """Requested companies, one row per entity after matching, so every ticker can match.
+
+    Of an entity's requested tickers the one that stands first in the company map stays.
+    """
     asked = companies.join(tickers.select("ticker").distinct(), "ticker", "left_semi")
-    first = asked.groupBy("entity_id").agg(F.min(F.struct("ticker", "company_name")).alias("_c"))
-    return first.select("entity_id", "_c.ticker", "_c.company_name")
+    first = asked.groupBy("entity_id").agg(
+        F.min(F.struct("position", "ticker", "company_name")).alias("_c"))
+    return first.select("entity_id", "_c.ticker", "_c.company_name", "_c.position")
 
 
 def missing_tickers(companies: DataFrame, tickers: DataFrame) -> DataFrame:

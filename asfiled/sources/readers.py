@@ -56,7 +56,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def flatten_filings(documents: DataFrame, min_fiscal_year: int = fixed.MIN_FISCAL_YEAR) -> DataFrame:
     """(entity_id, payload) to one row per reported fact of a mapped tag.
 
-    Nested maps are filtered before they are exploded, so unmapped tags never become rows.
+    What can't be read gives no row here; :func:`rejected_documents` lists the documents.
     """
     spark = documents.sparkSession
     parsed = documents.select("entity_id", F.from_json("payload", schemas.FILING_DOCUMENT)
@@ -77,15 +77,39 @@ def flatten_filings(documents: DataFrame, min_fiscal_year: int = fixed.MIN_FISCA
         F.col("o.val").alias("value"))
 
 
+def rejected_documents(documents: DataFrame) -> DataFrame:
+    """(entity_id, reason) of documents that give no facts, or not all of them.
+
+    ``empty``: no payload. ``malformed``: not such a document at all. ``partly readable``: some
+    entries have another type than the schema, such as an amount told as text, or the document
+    ends early; the readable facts are used. ``no facts``: nothing under the taxonomy. ``no mapped
+    tags``: facts, but none of a concept.
+    """
+    schema = schemas.FILING_DOCUMENT.removesuffix(">") + ", _bad: string>"
+    mapped = F.broadcast(tag_table(documents.sparkSession).agg(
+        F.collect_set("source_tag").alias("_mapped")))
+    read = documents.select("entity_id", "payload", F.from_json(
+        "payload", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("d")).join(mapped)
+    tags = F.map_keys(F.col("d.facts").getItem(fixed.TAXONOMY))
+    known = F.arrays_overlap(tags, F.col("_mapped"))
+    reason = (F.when(F.coalesce(F.trim("payload"), F.lit("")) == "", "empty")
+              .when(F.col("d._bad").isNotNull() & F.coalesce(known, F.lit(False)), "partly readable")
+              .when(F.col("d").isNull() | F.col("d._bad").isNotNull(), "malformed")
+              .when(F.coalesce(F.size(tags), F.lit(0)) < 1, "no facts")
+              .when(~known, "no mapped tags"))
+    return read.select("entity_id", reason.alias("reason")).filter("reason is not null")
+
+
 def companies_from_map(documents: DataFrame) -> DataFrame:
-    """Company-map JSON (column ``payload``) to (entity_id, ticker, company_name).
+    """Company-map JSON (column ``payload``) to (position, entity_id, ticker, company_name).
 
-    Not unique per entity: classes of one company's shares keep a row each.
+    ``position`` is the place in the map. Not unique per entity: classes of one company's shares
+    keep a row each.
     """
-    each = documents.select(F.explode(F.from_json("payload", schemas.COMPANY_MAP))
-                            .alias("_nth", "company"))
+    each = documents.select(F.posexplode(F.from_json("payload", schemas.COMPANY_MAP))
+                            .alias("position", "_name", "company"))
     return each.select(
-        F.lpad(F.col("company.cik_str").cast("string"), 10, "0").alias("entity_id"),
+        "position", F.lpad(F.col("company.cik_str").cast("string"), 10, "0").alias("entity_id"),
         F.col("company.ticker").alias("ticker"), F.col("company.title").alias("company_name"))
 
 

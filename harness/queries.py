@@ -119,12 +119,59 @@ def _(x: Inputs) -> DataFrame:
     return readers.flatten_filings(x.facts.select("entity_id", document.alias("payload")))
 
 
-@register("company_map_json",
-          after("facts", sql=f"select {_WHO} from company"))
+@register("company_map_json", after("facts", sql="""
+select entity_id, ticker || suffix as ticker, company_name, position
+from company, (values ('-B', 0), ('', 1)) t(suffix, position)"""))
 def _(x: Inputs) -> DataFrame:
-    entry = F.struct(F.col("s").alias("cik_str"), "ticker", F.col("company_name").alias("title"))
-    return readers.companies_from_map(x.companies.select(
-        F.to_json(F.create_map(F.lit("0"), entry)).alias("payload")))
+    """Maps of two share classes; the one that comes first in the map is the later by name."""
+    def entry(ticker: F.Column) -> F.Column:
+        return F.struct(F.col("s").alias("cik_str"), ticker.alias("ticker"),
+                        F.col("company_name").alias("title"))
+
+    return readers.companies_from_map(x.companies.select(F.to_json(F.create_map(
+        F.lit("0"), entry(F.concat("ticker", F.lit("-B"))), F.lit("1"), entry(F.col("ticker")))
+    ).alias("payload")))
+
+
+@register("rejected_filings", after("facts", sql="""
+select entity_id, case s % 6 when 0 then 'malformed' when 1 then 'no facts' when 2 then 'empty'
+  when 3 then 'no mapped tags' else 'partly readable' end as reason
+from company where s % 6 < 5"""))
+def _(x: Inputs) -> DataFrame:
+    """One document of each kind of damage, and whole ones, over all companies."""
+    one = '{"facts": {"us-gaap": {"%s": {"units": {"USD": [{"end": "2015-12-31", "val": %s}]}}}}}'
+    payload = (F.when(F.col("s") % 6 == 0, '["no document"')
+               .when(F.col("s") % 6 == 1, '{"facts": {"us-gaap": {}}}')
+               .when(F.col("s") % 6 == 2, F.lit("  ")).when(F.col("s") % 6 == 3, one % ("Odd", 1))
+               .when(F.col("s") % 6 == 4, one % ("Revenues", '"much"'))
+               .otherwise(one % ("Revenues", 1)))
+    return readers.rejected_documents(x.companies.select("entity_id", payload.alias("payload")))
+
+
+@register("filings_to_facts", after("facts", sql=f"select {FACT_COLUMNS} from facts"))
+def _(x: Inputs) -> DataFrame:
+    """Documents of many tags, units and observations, through flattening, names, write and read."""
+    told = F.struct(
+        F.col("period_start").cast("string").alias("start"),
+        F.col("period_end").cast("string").alias("end"), F.col("value").alias("val"),
+        F.col("accession").alias("accn"), F.col("fiscal_year").alias("fy"),
+        F.col("fiscal_period").alias("fp"), "form",
+        F.col("filed_date").cast("string").alias("filed"), "frame")
+
+    def folded(df: DataFrame, by: list[str], key: str, value: F.Column, name: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.map_from_entries(
+            F.collect_list(F.struct(key, value))).alias(name))
+
+    units = x.facts.groupBy("entity_id", "source_tag", "unit").agg(
+        F.collect_list(told).alias("observations"))
+    tags = folded(units, ["entity_id", "source_tag"], "unit", F.col("observations"), "units")
+    documents = folded(tags, ["entity_id"], "source_tag", F.struct("units"), "tags").select(
+        "entity_id", F.to_json(F.struct(F.create_map(F.lit("us-gaap"), "tags").alias("facts")))
+        .alias("payload"))
+    path = fresh_path(x.spark, "facts")
+    writers.write_facts(readers.flatten_filings(documents),
+                        x.companies.select("entity_id", "ticker", "company_name"), path)
+    return readers.read_facts(x.spark, path)
 
 
 @register("event_properties_json", """
@@ -354,23 +401,31 @@ def _(x: Inputs) -> DataFrame:
 
 
 def _asked(x: Inputs) -> DataFrame:
-    """Tickers requested of the ingest: every sector member, and as many names nobody has."""
-    return x.sectors.select(F.explode(F.array(
-        "ticker", F.concat("ticker", F.lit("X")))).alias("ticker"))
+    """Tickers requested of the ingest: every sector member, the other share class of every
+    second company, and as many names nobody has."""
+    other = F.when(F.substring("ticker", -1, 1).cast("int") % 2 == 0, F.concat("ticker", F.lit("-B")))
+    return x.sectors.select(F.explode(F.array_compact(F.array(
+        "ticker", F.concat("ticker", F.lit("X")), other))).alias("ticker"))
 
 
 def _classes(x: Inputs) -> DataFrame:
-    """Company map with a second share class for every company."""
-    return x.companies.select("entity_id", F.explode(F.array(
-        "ticker", F.concat("ticker", F.lit("-B")))).alias("ticker"), "company_name")
+    """Company map in which a second share class stands before the first one."""
+    return x.companies.select("entity_id", F.posexplode(F.array(
+        F.concat("ticker", F.lit("-B")), F.col("ticker"))).alias("_place", "ticker"),
+        "company_name", "s").select(
+        "entity_id", "ticker", "company_name", (F.col("s") * 2 + F.col("_place")).alias("position"))
 
 
-@register("selected_companies", after("facts", sql=f"select {_WHO} from company"))
+@register("selected_companies", after("facts", sql="""
+select entity_id, ticker || if(s % 2 = 0, '-B', '') as ticker, company_name,
+  s * 2 + s % 2 as position from company"""))
 def _(x: Inputs) -> DataFrame:
     return universe.select_companies(_classes(x), _asked(x))
 
 
-@register("missing_tickers", after("facts", sql="select ticker || 'X' as ticker from sectors"))
+@register("missing_tickers", after("facts", sql="""
+select ticker || 'X' as ticker from company
+union all select ticker from company where s % 2 = 0"""))
 def _(x: Inputs) -> DataFrame:
     return universe.missing_tickers(_classes(x), _asked(x))
 
@@ -571,6 +626,13 @@ def _(x: Inputs) -> DataFrame:
     return rounded(screen.sector_year_matrix(x.screener, years), *[f"fy{y}" for y in years])
 
 
+@register("sector_years", after("screener", sql="""
+select coalesce(gics_sector, '(no sector data)') as gics_sector, period_fiscal_year,
+  round(avg(red_flag_count), 6) as avg_flags, count(*) as n from screener group by 1, 2"""))
+def _(x: Inputs) -> DataFrame:
+    return rounded(screen.sector_years(x.screener), "avg_flags")
+
+
 @register("case_study_flags", after("screener", sql="""
 select count(*) as case_study_red_flags from screener where is_case_study and red_flag_count > 0
 """))
@@ -783,12 +845,38 @@ def _(x: Inputs) -> DataFrame:
     return rounded(test, "hedge_return", "median_hedge_return", "t_stat")
 
 
-@register("hedge_p_value", None)
+_TEST_SQL = after("accruals", sql="""
+, ends as (
+  select a.mean_return - z.mean_return as hedge, a.median_return - z.median_return as median_hedge,
+    hedge / sqrt(a.std_return * a.std_return / a.n + z.std_return * z.std_return / z.n) as t_stat,
+    (select count(distinct period_fiscal_year) from accruals where accrual_quintile is not null)
+      as n_years
+  from quintiles a, quintiles z where a.accrual_quintile = 1 and z.accrual_quintile = 5),
+test as (
+  select *, if(abs(t_stat) > 8, 0, greatest(0, 1 - 2 * abs(t_stat) / 1200 / sqrt(2 * pi())
+    * list_sum(list_transform(range(0, 401), lambda i:
+        if(i in (0, 400), 1, if(i % 2 = 1, 4, 2)) * exp(-pow(abs(t_stat) * i / 400, 2) / 2)))
+  )) as p_value from ends)
+""")
+
+
+@register("hedge_p_value", _TEST_SQL + "select round(t_stat, 6) as t_stat, "
+          "round(p_value, 6) as p_value from test")
 def _(x: Inputs) -> DataFrame:
-    return accruals.hedge_test(x.quintiles, x.accrual_returns).select("t_stat", "p_value")
+    return rounded(accruals.hedge_test(x.quintiles, x.accrual_returns).select("t_stat", "p_value"),
+                   "t_stat", "p_value")
 
 
-@register("accrual_report", None)
+@register("accrual_report", _TEST_SQL + """
+select 1 as line_no, printf('Accruals and later returns: %d fiscal years, quintiles by TATA',
+    n_years) as line from test
+union all select 2, ' Q       n   mean TATA   mean return   median return       std'
+union all select accrual_quintile + 2, printf('%2d  %6d  %10.4f  %11.4f%%  %13.4f%%  %8.4f',
+    accrual_quintile, n, mean_tata, mean_return * 100, median_return * 100, std_return)
+  from quintiles
+union all select 8, printf('Hedge return, means: %.4f%%  Welch t=%.3f  p=%.4f', hedge * 100,
+    t_stat, p_value) from test
+union all select 9, printf('Hedge return, medians: %.4f%%', median_hedge * 100) from test""")
 def _(x: Inputs) -> DataFrame:
     return accruals.report_lines(x.quintiles,
                                  accruals.hedge_test(x.quintiles, x.accrual_returns))
@@ -1004,7 +1092,24 @@ def _(x: Inputs) -> DataFrame:
     return x.facts.select("entity_id").limit(0) if found is None else found
 
 
-@register("quality_summary", None)
+@register("quality_summary", after("scored", "screener", "pit", sql="""
+select 'facts without entity' as "check", count(*) as violations from facts where entity_id is null
+union all select 'negative magnitudes', count(*) from staged
+  where sign_convention = 'always_positive' and value < 0
+union all select 'repeated first reports', count(*) from (
+  select 1 from pit where is_first_report group by entity_id, concept, period_fiscal_year
+  having count(*) > 1)
+union all select 'unanchored instants', count(*) from pit p where period_start is null and not exists (
+  select 1 from staged s where s.entity_id = p.entity_id and s.accession = p.accession
+    and s.period_end = p.period_end and s.period_type = 'annual'
+    and s.form in ('10-K', '10-K/A', '20-F', '20-F/A'))
+union all select 'priced foreign filers', count(*) from scored join abroad using (entity_id)
+  where market_value_of_equity is not null or z_score is not null
+""" + "".join(f"union all select '{name}', count(*) from scored where {c} < {low} or {c} > {high}\n"
+              for name, c, (low, high) in (("implausible M", "m_score", fixed.PLAUSIBLE["m_score"]),
+                                           ("implausible Z", "z_score", fixed.PLAUSIBLE["z_score"])))
+    + """union all select 'inconsistent flag counts', count(*) from screener
+  where red_flag_count > models_scored or red_flag_count < 0 or models_scored > 3"""))
 def _(x: Inputs) -> DataFrame:
     """Violations per check, one row each."""
     checks = {
@@ -1023,3 +1128,105 @@ def _(x: Inputs) -> DataFrame:
     for df in counted[1:]:
         total = total.union(df)
     return total
+
+
+# -- the same checks on inputs with planted violations -----------------------------------------
+
+@register("planted_negative_magnitudes", after("staged", sql=f"""
+select {_STAGED_SQL} from (select * replace (-abs(value) - 1 as value) from staged
+  where period_fiscal_year = 2012) where sign_convention = 'always_positive' and value < 0"""))
+def _(x: Inputs) -> DataFrame:
+    bad = x.staged.filter("period_fiscal_year = 2012").withColumn("value", F.expr("-abs(value) - 1"))
+    return quality.negative_magnitudes(
+        x.staged.filter("period_fiscal_year <> 2012").unionByName(bad))
+
+
+@register("planted_repeated_first_reports", after("pit", sql="""
+select entity_id, concept, period_fiscal_year, 2 * count(*) as n from pit
+where is_first_report and period_fiscal_year = 2013 group by all"""))
+def _(x: Inputs) -> DataFrame:
+    return quality.repeated_first_reports(
+        x.pit.union(x.pit.filter("period_fiscal_year = 2013")))
+
+
+@register("planted_unanchored_instants", after("pit", sql=f"""
+select {_PIT_SQL} from pit where period_start is null and period_fiscal_year = 2012"""))
+def _(x: Inputs) -> DataFrame:
+    """Without the annual rows of one fiscal year its balance-sheet rows stand unanchored."""
+    return quality.unanchored_instants(x.pit, x.staged.filter(
+        "not (period_type = 'annual' and period_fiscal_year = 2012)"))
+
+
+@register("planted_totals_beside_components", after("staged", sql="""
+select entity_id, concept, period_end, accession, count(*) as totals, count(*) as components
+from staged where combine_mode = 'sum' and period_type = 'annual' and period_fiscal_year = 2014
+group by all"""))
+def _(x: Inputs) -> DataFrame:
+    """A total is told beside every component of one fiscal year."""
+    only = x.staged.filter("combine_mode = 'sum' and period_fiscal_year = 2014").filter(
+        ~F.col("source_tag").isin("CostOfGoodsAndServicesSold", "CostOfRevenue"))
+    return quality.totals_beside_components(
+        only.unionByName(only.withColumn("source_tag", F.lit("CostOfRevenue"))))
+
+
+@register("planted_priced_foreign_filers", after("scored", sql="""
+select entity_id, period_fiscal_year, 1.0 as market_value_of_equity from scored
+join abroad using (entity_id)"""))
+def _(x: Inputs) -> DataFrame:
+    priced = scoring.altman(x.scored).withColumn("market_value_of_equity", F.lit(1.0))
+    return quality.priced_foreign_filers(priced, x.pit).select(
+        "entity_id", "period_fiscal_year", "market_value_of_equity")
+
+
+def _planted_implausible(column: str) -> tuple[Build, str]:
+    low, high = fixed.PLAUSIBLE[column]
+    part = "accruals" if column == "fwd_return_12m" else "scored"
+    sql = after(part, sql=f"select entity_id, period_fiscal_year, {column} * 1000 as {column} "
+                          f"from {part} where {column} * 1000 < {low} or {column} * 1000 > {high}")
+
+    def build(x: Inputs) -> DataFrame:
+        table = x.accrual_returns if part == "accruals" else x.scored
+        return quality.outside_range(table.withColumn(column, F.col(column) * 1000), column).select(
+            "entity_id", "period_fiscal_year", column)
+    return build, sql
+
+
+for _column in fixed.PLAUSIBLE:
+    REGISTRY[f"planted_implausible_{_column}"] = _planted_implausible(_column)
+
+
+@register("planted_inconsistent_flag_counts", after("screener", sql="""
+select entity_id, period_fiscal_year, red_flag_count, 0 as models_scored from screener
+where red_flag_count > 0"""))
+def _(x: Inputs) -> DataFrame:
+    return quality.inconsistent_flag_counts(x.screener.withColumn("models_scored", F.lit(0))).select(
+        "entity_id", "period_fiscal_year", "red_flag_count", "models_scored")
+
+
+@register("planted_unreconciled_scores", after("asof", "scored", sql="""
+select ticker, period_fiscal_year, a.f_score as asof_f, p.f_score + 1 as prod_f
+from (select * from scored_asof where event_label = 'full_history') a
+join scored p using (ticker, period_fiscal_year) where p.f_score is not null"""))
+def _(x: Inputs) -> DataFrame:
+    shifted = x.scored.withColumn("f_score", F.col("f_score") + 1)
+    return quality.unreconciled(backtest.scores_as_of(x.visible_years, x.prices), shifted).select(
+        "ticker", "period_fiscal_year", "asof_f", "prod_f")
+
+
+@register("planted_seed_violations", after("facts", sql="""
+select 'concept' as key, concept as value, 2 as n from (select distinct concept from facts)
+union all select 'ticker', ticker, 2 from cases
+union all select 'sign_convention', 'odd', count(distinct concept) from facts"""))
+def _(x: Inputs) -> DataFrame:
+    """Unique keys and accepted values of the seed tables, each row of which is planted twice."""
+    concepts = staging.concept_table(x.spark).join(
+        x.facts.select("concept").distinct(), "concept", "left_semi")
+    twice = quality.repeated(concepts.union(concepts), ["concept"]).select(
+        F.lit("concept").alias("key"), F.col("concept").alias("value"), "n")
+    cases = quality.repeated(x.case_studies.union(x.case_studies), ["ticker"]).select(
+        F.lit("ticker"), "ticker", "n")
+    odd = quality.outside_values(concepts.withColumn("sign_convention", F.lit("odd")),
+                                 "sign_convention", ["any", "always_positive"])
+    counted = odd.groupBy("sign_convention").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("sign_convention"), "sign_convention", "n")
+    return twice.union(cases).union(counted)

@@ -13,10 +13,10 @@ def spark(tmp_path_factory):
                .config("spark.sql.shuffle.partitions", "4")
                .config("spark.driver.memory", "4g")
                .config("spark.sql.codegen.cache.maxEntries", "2000")
-               .config("spark.sql.session.timeZone", "UTC"))
+               .config("spark.sql.session.timeZone", "UTC")
+               # Must be set at start; a running session refuses it.
+               .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))))
     session = builder.getOrCreate()
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
