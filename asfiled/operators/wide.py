@@ -21,13 +21,16 @@ ACCRUAL_CONCEPTS = ("net_income", "cfo", "total_assets")
 
 
 def company_years(pit: DataFrame, keys: tuple[str, ...] = ("entity_id",),
-                  visible: Column | None = None) -> DataFrame:
+                  visible: Column | None = None, foreign: DataFrame | None = None) -> DataFrame:
     """Pivot the bitemporal table to one row per ``keys`` and fiscal year.
 
     Only visible first reports feed the figures. Whether a company files foreign forms is a
     property of all its rows, so the pivot runs over all of them and keeps the years that have
     a visible first report; that costs no second scan and no join. After the pivot a company has
     one row per period end, so the window that spreads the foreign mark is bounded by days.
+
+    A caller that has left rows out before hands in ``foreign``, the result of
+    :func:`foreign_marks` over all of them.
     """
     keys = list(keys)
     seen = F.col("is_first_report") if visible is None else visible
@@ -37,7 +40,7 @@ def company_years(pit: DataFrame, keys: tuple[str, ...] = ("entity_id",),
         return f"max(if(_seen and concept = '{concept}', {column}, null)) as {name}"
 
     known = ", ".join(f"'{c}'" for c in ACCRUAL_CONCEPTS)
-    foreign = ", ".join(f"'{f}'" for f in fixed.FOREIGN_FORMS)
+    abroad = ", ".join(f"'{f}'" for f in fixed.FOREIGN_FORMS)
     pivoted = rows.groupBy(*keys, "period_end", "period_fiscal_year").agg(*map(F.expr, [
         *[f"max(if(_seen, {label}, null)) as {label}"
           for label in ("ticker", "company_name", "form")],
@@ -45,16 +48,25 @@ def company_years(pit: DataFrame, keys: tuple[str, ...] = ("entity_id",),
         figure("shares_diluted", "shares"),
         figure("shares_diluted", "shares_current_basis", "latest_reported_value"),
         f"max(if(_seen and concept in ({known}), first_filed_date, null)) as accrual_known_date",
-        f"max(form in ({foreign})) as _foreign", "max(_seen) as _kept"]))
+        f"max(form in ({abroad})) as _foreign", "max(_seen) as _kept"]))
 
-    whole = pivoted.withColumn("is_foreign_filer", F.expr(
-        f"max(_foreign) over (partition by {', '.join(keys)})"))
+    if foreign is None:
+        whole = pivoted.withColumn("is_foreign_filer", F.expr(
+            f"max(_foreign) over (partition by {', '.join(keys)})"))
+    else:
+        whole = pivoted.join(foreign, "entity_id").select(*pivoted.columns, "is_foreign_filer")
     return whole.filter("_kept").drop("_foreign", "_kept").selectExpr(
         "*", "coalesce(gross_profit_reported, revenue - cogs) as gross_profit",
         "coalesce(total_liabilities_reported, current_liabilities + long_term_debt) "
         "as total_liabilities")
 
 
+def foreign_marks(pit: DataFrame) -> DataFrame:
+    """(entity_id, is_foreign_filer): whether any row of the company has a foreign form."""
+    return pit.groupBy("entity_id").agg(
+        F.max(F.col("form").isin(*fixed.FOREIGN_FORMS)).alias("is_foreign_filer"))
+
+
 def with_previous_year(years: DataFrame, columns: tuple[str, ...],
                        keys: tuple[str, ...] = ("entity_id",),
                        name: str = "previous") -> DataFrame:

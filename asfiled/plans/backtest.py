@@ -12,43 +12,65 @@ from pyspark.sql import functions as F
 
 from ..operators.bitemporal import financials_pit
 from ..operators.volume import ROW_LIMIT
-from ..operators.wide import company_years
+from ..operators.wide import company_years, foreign_marks
 from .scoring import score_years
 
 EVENT_KEYS = ("event_ticker", "event_label", "as_of_date", "public_event_date",
               "event_description")
 _WORLD = (*EVENT_KEYS, "entity_id")
+_SHORT_WORLD = ("_event", "entity_id")
 
 
 def _events(events: DataFrame) -> DataFrame:
-    """Events by key, each once: a company then has no more rows per event than facts."""
-    return events.select(F.col("ticker").alias("event_ticker"), *EVENT_KEYS[1:]).distinct()
+    """Events, each once, with a short number that stands for them until the years are made."""
+    named = events.select(F.col("ticker").alias("event_ticker"), *EVENT_KEYS[1:]).distinct()
+    return named.withColumn("_event", F.xxhash64(*EVENT_KEYS))
+
+
+def _short(named: DataFrame) -> DataFrame:
+    return named.select("_event", "event_ticker", "as_of_date")
+
+
+def _told(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """The event columns in place of the event's number."""
+    kept = [c for c in rows.columns if c != "_event"]
+    return rows.join(named, "_event").select(*EVENT_KEYS, *kept)
 
 
 def visible_years(pit: DataFrame, events: DataFrame) -> DataFrame:
     """One row per (event, company, fiscal year) whose figures were public by the as-of date.
 
     The join is an equi-join on ticker; no hint, so Spark broadcasts the events only when their
-    measured size allows it. The date condition works inside the pivot.
+    measured size allows it. First reports are picked at the scan and dates compared in the join,
+    so only what is visible is shuffled, under the event's number.
     """
     named = _events(events)
-    rows = pit.join(named, pit["ticker"] == named["event_ticker"])
-    public = F.col("is_first_report") & (F.col("first_filed_date") <= F.col("as_of_date"))
-    return company_years(rows, _WORLD, public)
+    first, short = pit.filter("is_first_report"), _short(named)
+    rows = first.join(short, (first["ticker"] == short["event_ticker"])
+                      & (first["first_filed_date"] <= short["as_of_date"]))
+    years = company_years(rows, _SHORT_WORLD, foreign=foreign_marks(pit))
+    return _told(years, named)
 
 
 def strict_pit(staged: DataFrame, events: DataFrame, row_limit: int = ROW_LIMIT,
                counted: DataFrame | None = None) -> DataFrame:
     """The bitemporal table rebuilt for every event from facts filed by its as-of date."""
     named = _events(events)
-    known = staged.join(named, (staged["ticker"] == named["event_ticker"])
-                        & (staged["filed_date"] <= named["as_of_date"]))
-    return financials_pit(known, _WORLD, row_limit, staged if counted is None else counted)
+    return _told(_strict(staged, named, row_limit, counted), named)
+
+
+def _strict(staged: DataFrame, named: DataFrame, row_limit: int,
+            counted: DataFrame | None) -> DataFrame:
+    short = _short(named)
+    known = staged.join(short, (staged["ticker"] == short["event_ticker"])
+                        & (staged["filed_date"] <= short["as_of_date"]))
+    return financials_pit(known, _SHORT_WORLD, row_limit, staged if counted is None else counted)
 
 
 def strict_years(staged: DataFrame, events: DataFrame, row_limit: int = ROW_LIMIT,
                  counted: DataFrame | None = None) -> DataFrame:
-    return company_years(strict_pit(staged, events, row_limit, counted), _WORLD)
+    named = _events(events)
+    return _told(company_years(_strict(staged, named, row_limit, counted), _SHORT_WORLD), named)
 
 
 def panel(years: DataFrame) -> DataFrame:

@@ -894,7 +894,8 @@ def _(x: Inputs) -> DataFrame:
 _MART_SQL = {"pit": "pit", "beneish": "scored", "altman": "scored", "piotroski": "scored",
              "financials_as_of": "years_asof", "scores_as_of": "scored_asof",
              "accrual_returns": "accruals", "screener": "screener", "case_studies": "cases",
-             "backtest_events": "events"}
+             "backtest_events": "events",
+         "concepts": "(select distinct concept, true as restatement_eligible from facts)"}
 
 
 @register("required_columns", after("asof", "accruals", "screener", sql=" union all ".join(
@@ -907,7 +908,8 @@ def _(x: Inputs) -> DataFrame:
         "financials_as_of": backtest.panel(x.visible_years),
         "scores_as_of": backtest.scores_as_of(x.visible_years, x.prices),
         "accrual_returns": x.accrual_returns, "screener": x.screener,
-        "case_studies": x.case_studies, "backtest_events": x.events})
+        "case_studies": x.case_studies, "backtest_events": x.events,
+        "concepts": staging.concept_table(x.spark)})
 
 
 @register("pit_by_fiscal_year", after("pit", sql="""
