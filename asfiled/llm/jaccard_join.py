@@ -5,9 +5,9 @@
    out of the way.
 2. **Blocks.** Two sets of similarity 0.8 share one of the first fifth of their shingles in that
    order. Each such shingle makes a block of the sets that have it there.
-3. **Spine.** Each member of a block is compared with the block's first set, bitmaps first,
-   whole sets then. This is linear in the members and already joins groups of near copies,
-   however large, because their links meet in one set.
+3. **Spine.** Each member of a block is compared with one set of the block, bitmaps first, whole
+   sets then, and in blocks of several components again with another one. This is linear in the
+   members and joins most groups of near copies, however large.
 4. **Signature trees.** In blocks that still hold several components, trees over the members'
    bitmaps are traversed against each other; node pairs that cannot overlap enough, or lie in
    one component, are cut. What is left is compared set by set.
@@ -39,6 +39,9 @@ from .signature_tree import (
 _COUNTERS, _PARTS = 1 << 20, 16
 #: Members of a block that one tree may hold.
 CHUNK = 2000
+#: Rounds of comparing open blocks with drawn members before trees are built, and the number of
+#: different draws that blocks of the same members make in a round.
+SPINES, PIVOTS = 3, 4
 #: Bits of the filter that spares most documents the second look.
 _FILTER_BITS = 1 << 23
 
@@ -91,7 +94,7 @@ def _signatures(docs: DataFrame, levels, size: int, percent: int, doc_id: str,
     def run(batches):
         rank = levels.value
         for batch in bounded_batches(batches):
-            sets, sizes, keys, bits = [], [], [], []
+            sets, sizes, kinds, keys, bits = [], [], [], [], []
             for value in batch.column(2).to_pylist():
                 tokens = shingle_set(value, size)
                 n = len(tokens)
@@ -104,35 +107,45 @@ def _signatures(docs: DataFrame, levels, size: int, percent: int, doc_id: str,
                     blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True))
                 sizes.append(n)
                 keys.append(order.view(np.int64))
-                width = bitmap_bytes(size_class(n, percent), percent)
-                bits.append(bitmap(tokens, width) if n else b"")
+                kinds.append(size_class(n, percent))
+                bits.append(bitmap(tokens, bitmap_bytes(kinds[-1], percent)) if n else b"")
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sets, pa.int64()),
-                 pa.array(sizes, pa.int64()),
+                 pa.array(sizes, pa.int64()), pa.array(kinds, pa.int32()),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys))),
                  pa.array(bits, pa.binary())],
-                names=["doc_id", "text_hash", "set_id", "n", "keys", "bits"])
+                names=["doc_id", "text_hash", "set_id", "n", "size_class", "keys", "bits"])
 
     return source.mapInArrow(
-        run, f"doc_id {kind}, text_hash long, set_id long, n long, keys array<long>, bits binary")
+        run, f"doc_id {kind}, text_hash long, set_id long, n long, size_class int, "
+             "keys array<long>, bits binary")
 
 
 def _allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v, votes) whose bitmaps and sizes allow a link."""
-    left = sets.selectExpr("set_id as u", "n as n_u", "bits as bits_u")
-    right = sets.selectExpr("set_id as v", "n as n_v", "bits as bits_v")
-    both = pairs.join(left, "u").join(right, "v").filter(
-        f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)")
+    """Those of the pairs (u, v) whose sizes and bitmaps allow a link.
+
+    Sizes are compared first; bitmaps move for the pairs that are left.
+    """
+    sizes = sets.select("set_id", "n")
+    near = (pairs.join(sizes.selectExpr("set_id as u", "n as n_u"), "u")
+            .join(sizes.selectExpr("set_id as v", "n as n_v"), "v")
+            .filter(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)"))
+    near = materialise(near.select("u", "v", "n_u", "n_v"), "near")
+    named = near.select(F.col("u").alias("set_id")).union(near.select("v")).distinct()
+    bits = materialise(sets.select("set_id", "bits").join(named, "set_id", "left_semi"), "bits")
+    both = (near.join(bits.selectExpr("set_id as u", "bits as bits_u"), "u")
+            .join(bits.selectExpr("set_id as v", "bits as bits_v"), "v")
+            .select("u", "v", "n_u", "n_v", "bits_u", "bits_v"))
 
     def run(batches):
         for batch in bounded_batches(batches):
             c = batch.to_pydict()
             ok = [may_link(*row, percent) for row in
                   zip(c["bits_u"], c["n_u"], c["bits_v"], c["n_v"])]
-            yield batch.select(["u", "v", "votes"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "u long, v long, votes long")
+    return both.mapInArrow(run, "u long, v long")
 
 
 def _filter_of(hashes: DataFrame) -> np.ndarray:
@@ -183,23 +196,73 @@ def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, perce
     return both.mapInArrow(check, "u long, v long")
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` (key, set_id) with the component of each set."""
+    return (members.select("key", "set_id")
+            .join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+            .withColumn("component", F.coalesce("component", "set_id")))
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: the components so far are stars among which the links run."""
+    if links.isEmpty():
+        return labels
+    stars = labels.filter("node <> component").selectExpr("node as u", "component as v")
+    return materialise(components(stars.union(links)), "labels")
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of blocks that hold several components."""
+    labelled = _labelled(members, labels)
+    several = (labelled.groupBy("key").agg(
+        F.min("component").alias("_a"), F.max("component").alias("_b"))
+        .filter("_a <> _b").select("key"))
+    return materialise(labelled.join(several, "key"), "open")
+
+
+def _drawn(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (u, v) of members in other components than a set drawn from their block.
+
+    Blocks of one group of near copies share their members; ``PIVOTS`` draws, by the key, give
+    such a group as many different sets to meet in.
+    """
+    draw = F.xxhash64("set_id", F.pmod("key", F.lit(PIVOTS)), F.lit(turn))
+    pivots = members.groupBy("key").agg(
+        F.min_by(F.struct("set_id", "component"), draw).alias("pivot"))
+    return (members.join(pivots, "key").filter("component <> pivot.component").selectExpr(
+        "least(set_id, pivot.set_id) as u", "greatest(set_id, pivot.set_id) as v").distinct())
+
+
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (u, v, a, b) whose ends lie in different components a < b."""
+    return (pairs.join(labels.selectExpr("node as u", "component as c_u"), "u", "left")
+            .join(labels.selectExpr("node as v", "component as c_v"), "v", "left")
+            .selectExpr("u", "v", "coalesce(c_u, u) as c_u", "coalesce(c_v, v) as c_v")
+            .filter("c_u <> c_v")
+            .selectExpr("u", "v", "least(c_u, c_v) as a", "greatest(c_u, c_v) as b"))
+
+
 def _tree_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) from blocks with several components, by dual traversal of signature trees."""
-    placed = (members.select("key", "set_id")
-              .join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
-              .withColumn("component", F.coalesce("component", "set_id")))
-    open_keys = (placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-                 .filter("a <> b").select("key"))
-    classes = F.udf(lambda n: size_class(n, percent), "int")
-    sized = (placed.join(open_keys, "key")
-             .join(sets.select("set_id", "n", "bits", classes("n").alias("own")), "set_id"))
     # A set stands in the tree of its own size class and, as a partner, in that of the one below.
-    rows = sized.withColumn("below", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
-        "tree", F.col("own") - F.col("below"))
-    counted = rows.groupBy("key", "tree").agg(
-        F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"),
-        F.count_if(F.col("below") == 0).alias("owners")).filter("owners > 0")
-    spread = (rows.join(counted, ["key", "tree"])
+    rows = (_labelled(members, labels)
+            .join(sets.select("set_id", "n", F.col("size_class").alias("own")), "set_id")
+            .withColumn("below", F.explode(F.array(F.lit(0), F.lit(1))))
+            .withColumn("tree", F.col("own") - F.col("below")))
+    # Trees of one set, of one component or without owners hold no pair; of several blocks with
+    # the same members one tree is enough. All this is settled before bitmaps move.
+    trees_of = rows.groupBy("key", "tree").agg(
+        F.count(F.lit(1)).alias("held"), F.min("set_id").alias("lo"), F.max("set_id").alias("hi"),
+        F.bit_xor(F.xxhash64("set_id", "below")).alias("mark"),
+        F.count_if(F.col("below") == 0).alias("owners"),
+        F.min("component").alias("a"), F.max("component").alias("b")
+    ).filter("held > 1 and owners > 0 and a <> b")
+    once = trees_of.groupBy("tree", "held", "lo", "hi", "mark").agg(F.min("key").alias("key"))
+    chosen = once.select("key", "tree", F.ceil(F.col("held") / CHUNK).cast("int").alias("chunks"))
+    narrow = materialise(rows.join(chosen, ["key", "tree"]), "trees")
+    wide = sets.select("set_id", "bits").join(narrow.select("set_id").distinct(), "set_id",
+                                              "left_semi")
+    spread = (narrow.join(wide, "set_id")
               .withColumn("chunk", F.pmod(F.xxhash64("set_id"), "chunks").cast("int"))
               .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
               .selectExpr("key", "tree", "least(chunk, other) as i", "greatest(chunk, other) as j",
@@ -250,7 +313,8 @@ def _placed(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
     levels = spark.sparkContext.broadcast(frequency_levels(docs, size, text))
     signatures = materialise(_signatures(docs, levels, size, percent, doc_id, text), "signatures")
     sets = materialise(signatures.filter("n > 0").groupBy("set_id").agg(
-        F.max("n").alias("n"), F.min("text_hash").alias("text_hash"),
+        F.max("n").alias("n"), F.max("size_class").alias("size_class"),
+        F.min("text_hash").alias("text_hash"),
         F.max("bits").alias("bits")), "sets")
 
     keyed = signatures.filter("n > 0").select("set_id", F.explode("keys").alias("key"))
@@ -260,23 +324,35 @@ def _placed(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
     members = materialise(
         keyed.join(blocks.filter("rows > 2").select("key", "lo"), "key").distinct(), "members")
 
-    spine = (blocks.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-             .union(members.filter("lo <> set_id").select("lo", "set_id"))
-             .groupBy("u", "v").agg(F.count(F.lit(1)).alias("votes")))
-    allowed = materialise(_allowed(spine, sets, percent), "allowed")
-    # The most likely link of each set first; most others then lie within a component.
-    first = allowed.groupBy("v").agg(F.max_by("u", F.struct("votes", "u")).alias("u")).select("u", "v")
-    links = materialise(_linked(first, docs, sets, size, percent, text), "links")
-    labels = materialise(components(links), "labels")
-
-    rest = (allowed.select("u", "v").join(first, ["u", "v"], "left_anti")
-            .join(labels.selectExpr("node as u", "component as c_u"), "u", "left")
-            .join(labels.selectExpr("node as v", "component as c_v"), "v", "left")
-            .filter("coalesce(c_u, u) <> coalesce(c_v, v)").select("u", "v"))
-    more = materialise(rest.union(_tree_pairs(members, sets, labels, percent).select("u", "v"))
-                       .distinct().join(first, ["u", "v"], "left_anti"), "more")
-    found = materialise(_linked(more, docs, sets, size, percent, text), "links")
-    labels = materialise(components(links.union(found)), "labels")
+    spine = (blocks.selectExpr("lo as u", "hi as v")
+             .union(members.filter("lo <> set_id").select("lo", "set_id")).distinct())
+    tested = materialise(_allowed(spine, sets, percent), "tested")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return materialise(_linked(pairs, docs, sets, size, percent, text), "links")
+
+    labels = materialise(components(linked(tested)), "labels")
+    for turn in range(SPINES + 1):
+        members = _open(members, labels)
+        if members.isEmpty():
+            break
+        if turn < SPINES:
+            drawn = _drawn(members, turn)
+            fresh = materialise(_allowed(drawn.join(tested, ["u", "v"], "left_anti"), sets,
+                                         percent), "tested")
+            tested = tested.union(fresh)
+            labels = _merged(labels, linked(fresh))
+            continue
+        left = materialise(_tree_pairs(members, sets, labels, percent)
+                           .join(tested, ["u", "v"], "left_anti"), "left")
+        # One pair for every two components first; its links spare most of the others.
+        first = materialise(_across(left, labels).groupBy("a", "b").agg(
+            F.min(F.struct(F.xxhash64("u", "v").alias("draw"), "u", "v")).alias("p"))
+            .select("p.u", "p.v"), "first")
+        labels = _merged(labels, linked(first))
+        rest = materialise(_across(left.join(first, ["u", "v"], "left_anti"), labels)
+                           .select("u", "v"), "rest")
+        labels = _merged(labels, linked(rest))
 
     placed = (signatures.select("doc_id", "text_hash", "set_id", "n")
               .join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
