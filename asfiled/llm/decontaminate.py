@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rows import ascii_lower, text_key, without
+from .rows import ascii_lower, text_key
 
 #: Words after lower-casing A-Z, and the same words in a text as it stands.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

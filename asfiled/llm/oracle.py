@@ -135,7 +135,7 @@ goal AS (
 line AS (
   SELECT doc_id, size, source_size, target,
     CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
-    sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size
+    sum(size) OVER (PARTITION BY drawn.source ORDER BY key, doc_id, size
                     ROWS UNBOUNDED PRECEDING) AS upto
   FROM drawn JOIN goal ON drawn.source IS NOT DISTINCT FROM goal.source)
 SELECT doc_id, size, source_size, target, CAST(size * e AS BIGINT) AS taken, CAST(e AS INTEGER) AS epochs

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
-SPACED_WORDS = re.compile(SPACED_WORD)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-TO_LOWER = str.maketrans(UPPER, LOWER)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
