@@ -42,6 +42,8 @@ CHUNK = 2000
 #: Rounds of comparing open blocks with drawn members before trees are built, and the number of
 #: different draws that blocks of the same members make in a round.
 SPINES, PIVOTS = 3, 4
+#: Pairs a task remembers having told; beyond that it may repeat some.
+_TOLD = 300_000
 #: Bits of the filter that spares most documents the second look.
 _FILTER_BITS = 1 << 23
 
@@ -257,8 +259,9 @@ def _tree_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, percent:
         F.count_if(F.col("below") == 0).alias("owners"),
         F.min("component").alias("a"), F.max("component").alias("b")
     ).filter("held > 1 and owners > 0 and a <> b")
-    once = trees_of.groupBy("tree", "held", "lo", "hi", "mark").agg(F.min("key").alias("key"))
-    chosen = once.select("key", "tree", F.ceil(F.col("held") / CHUNK).cast("int").alias("chunks"))
+    once = trees_of.groupBy("tree", "held", "lo", "hi", "mark").agg(
+        F.min(F.struct("key", "a")).alias("one"))
+    chosen = once.select("one.key", "tree", F.col("one.a").alias("anchor"), F.ceil(F.col("held") / CHUNK).cast("int").alias("chunks"))
     narrow = materialise(rows.join(chosen, ["key", "tree"]), "trees")
     wide = sets.select("set_id", "bits").join(narrow.select("set_id").distinct(), "set_id",
                                               "left_semi")
@@ -266,9 +269,12 @@ def _tree_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, percent:
               .withColumn("chunk", F.pmod(F.xxhash64("set_id"), "chunks").cast("int"))
               .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
               .selectExpr("key", "tree", "least(chunk, other) as i", "greatest(chunk, other) as j",
-                          "chunk", "component", "n", "set_id", "below", "bits"))
+                          "anchor", "chunk", "component", "n", "set_id", "below", "bits"))
     group = ["key", "tree", "i", "j"]
-    dealt = spread.repartition(*group).sortWithinPartitions(*group, "chunk", "component", "n")
+    # Blocks of one group of copies mostly have the same first component. Their trees, by pairs of
+    # chunks, go to one task each, one after the other, so that a pair seen before is not told again.
+    dealt = spread.repartition("anchor", "tree", "i", "j").sortWithinPartitions(
+        "anchor", *group, "chunk", "component", "n")
 
     def trees(rows: list[dict]):
         width = bitmap_bytes(rows[0]["tree"], percent)
@@ -291,18 +297,24 @@ def _tree_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, percent:
 
     def run(batches):
         held: list[dict] = []
+        told: set[tuple[int, int]] = set()
         for batch in bounded_batches(batches):
             for row in batch.to_pylist():
                 if held and any(held[0][g] != row[g] for g in group):
-                    yield from pairs_of(held)
+                    yield from pairs_of(held, told)
                     held = []
                 held.append(row)
         if held:
-            yield from pairs_of(held)
+            yield from pairs_of(held, told)
 
-    def pairs_of(rows):
+    def pairs_of(rows, told):
         for u, v in trees(rows):
-            yield pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
+            fresh = [p for p in zip(u.tolist(), v.tolist()) if p not in told]
+            if len(told) > _TOLD:
+                told.clear()
+            told.update(fresh)
+            yield pa.RecordBatch.from_pydict({"u": pa.array([p[0] for p in fresh], pa.int64()),
+                                              "v": pa.array([p[1] for p in fresh], pa.int64())})
 
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
