@@ -93,14 +93,21 @@ class Network:
             h = h + self.e[o][around[:, o]]
         return h
 
+    def logits(self, h: np.ndarray) -> np.ndarray:
+        """Scores of all classes, none so large that its exponential overflows."""
+        z = np.column_stack([h, np.ones(len(h), np.float32)]) @ np.vstack([self.w, self.b])
+        reach = (np.sqrt((h * h).sum(axis=1).max(initial=0) * (self.w * self.w).sum(axis=0).max())
+                 + np.abs(self.b).max())
+        if not reach < 80:  # a bound on every score; only then is the maximum looked for
+            z -= z.max(axis=1, keepdims=True)
+        return z
+
     def log_probabilities(self, around: np.ndarray, center: np.ndarray) -> np.ndarray:
-        """Log probability of each center given its window."""
+        """Log probability of each center given its window, by blocks that stay in the cache."""
         out = np.empty(len(center))
-        for at in range(0, len(center), 4 * _BATCH):
-            part = slice(at, at + 4 * _BATCH)
-            z = self.hidden(around[part]) @ self.w
-            z += self.b
-            z -= z.max(axis=1, keepdims=True)
+        for at in range(0, len(center), _BATCH // 2):
+            part = slice(at, at + _BATCH // 2)
+            z = self.logits(self.hidden(around[part]))
             own = z[np.arange(len(z)), center[part]]
             out[part] = own - np.log(np.exp(z, out=z).sum(axis=1))
         return out
@@ -109,12 +116,10 @@ class Network:
         """One step on a batch; ``memory`` holds the sums of squared gradients."""
         n = np.arange(len(center))
         h = self.hidden(around)
-        z = h @ self.w + self.b
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        p[n, center] -= 1
-        p /= len(center)
+        p = self.logits(h)
+        np.exp(p, out=p)
+        p /= p.sum(axis=1, keepdims=True) * len(center)
+        p[n, center] -= 1 / len(center)
         back = p @ self.w.T
         grown = np.zeros_like(self.e)
         for o in range(len(OFFSETS)):
