@@ -41,7 +41,7 @@ _COUNTERS, _PARTS = 1 << 20, 16
 CHUNK = 2000
 #: Rounds of comparing open blocks with drawn members before trees are built, and the number of
 #: different draws that blocks of the same members make in a round.
-SPINES, PIVOTS = 3, 4
+SPINES, PIVOTS = 2, 4
 #: Pairs a task remembers having told; beyond that it may repeat some.
 _TOLD = 300_000
 #: Bits of the filter that spares most documents the second look.
