@@ -3,7 +3,10 @@
 Every word is hidden in turn and predicted from the words around it; the sum of the log
 probabilities of the words that stood there scores the document. The network adds up an embedding
 for each word and offset of the window and applies a softmax over word classes: the most frequent
-words of the corpus are classes of their own, all others share classes by their hash.
+words of the corpus are classes of their own, all others share classes by their hash. A word's
+probability is that of its class, times its share of the class. Shares come from the counts of all
+words: ``count / (N + s + 1)`` with the ``N`` occurrences in the class and its ``s`` words seen
+once; a word never seen has ``(s + 1) / (N + s + 1)`` divided by one more than all words counted.
 
 The corpus trains it where it lies. Words are counted over all documents. Then every task trains a
 copy of the network on the documents it holds, a word in ``stride`` of every document per round,
@@ -13,14 +16,15 @@ that the driver gets one network whatever the number of tasks.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import append, bounded_batches, schema_of, without
+from ..durable import materialise
+from .rows import append, bounded_batches, schema_of, text_key, without
 from .shingles import LOWER_BYTES, word_hashes
 
 OFFSETS = (-2, -1, 1, 2)
@@ -31,19 +35,42 @@ _BATCH, _PARTS, _SALTS = 1024, 16, 64
 class Vocabulary:
     frequent: np.ndarray  # sorted hashes of the words that are classes of their own
     shared: int           # classes of all other words
+    total: np.ndarray     # log(N + s + 1) of each shared class
+    unseen: np.ndarray    # log of what stands for the count of a word never seen, by shared class
+    common: np.ndarray    # sorted hashes of words that make up a known part of the corpus
+    logs: np.ndarray      # log counts of those
+    rare: DataFrame | None = None  # (word, count) of the other words; None if there are none
 
     @property
     def classes(self) -> int:
         return len(self.frequent) + self.shared
 
+    def hashes(self, text: str | None) -> np.ndarray:
+        return word_hashes(text.encode().translate(LOWER_BYTES)) if text else np.empty(0, np.uint64)
+
+    def classes_of(self, h: np.ndarray) -> np.ndarray:
+        at, own = _found(self.frequent, h)
+        return np.where(own, at, len(self.frequent) + (h % np.uint64(self.shared)).astype(np.int64))
+
     def of(self, text: str | None) -> np.ndarray:
         """The class of each word."""
-        h = word_hashes(text.encode().translate(LOWER_BYTES)) if text else np.empty(0, np.uint64)
-        rest = (len(self.frequent) + (h % np.uint64(self.shared)).astype(np.int64))
-        if not len(self.frequent):
-            return rest
-        at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
-        return np.where(self.frequent[at] == h, at, rest)
+        return self.classes_of(self.hashes(text))
+
+    def shares(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log shares of words in their classes, and which words only ``rare`` tells; those count
+        as never seen here."""
+        own, (at, common) = _found(self.frequent, h)[1], _found(self.common, h)
+        c = (h % np.uint64(self.shared)).astype(np.int64)
+        logs = np.where(common, self.logs[at] if len(self.logs) else 0.0, self.unseen[c]) - self.total[c]
+        return np.where(own, 0.0, logs), ~(own | common)
+
+
+def _found(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a sorted table, and whether it holds each value."""
+    if not len(table):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+    return at, table[at] == h
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -61,11 +88,60 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
             .groupBy("word").agg(F.sum("count").alias("count")))
 
 
-def vocabulary(docs: DataFrame, frequent: int = 384, shared: int = 128,
-               text: str = "text") -> Vocabulary:
-    top = (count_words(docs, text).orderBy(F.desc("count"), "word").limit(frequent)
-           .select("word").toArrow()["word"].to_numpy())
-    return Vocabulary(np.sort(top.astype(np.int64).view(np.uint64)), shared)
+def vocabulary(docs: DataFrame, frequent: int = 384, shared: int = 128, text: str = "text",
+               common: int = 1 << 16) -> Vocabulary:
+    """Classes and shares of all words of ``docs``.
+
+    Classes grow with the square root of the number of different words; ``frequent`` and
+    ``shared`` are the least numbers of both kinds. Words that make up at least one ``common``th
+    of the corpus, so at most ``common`` words, come to the driver; the others stay in a table.
+    """
+    counts = materialise(count_words(docs, text), "words")
+    # Octaves of counts, in sixteenths: from them follows what the most frequent words have at least.
+    steps = (counts.groupBy(F.floor(F.log2("count") * 16).alias("step"))
+             .agg(F.count(F.lit(1)).alias("words"), F.sum("count").alias("held"),
+                  F.min("count").alias("least")).orderBy(F.desc("step")).collect())
+    n_words, held = sum(r.words for r in steps), sum(r.held for r in steps)
+    frequent = max(frequent, int(1.5 * n_words ** 0.5))
+    shared = max(shared, int(0.5 * n_words ** 0.5))
+    least, above = 1, 0
+    for r in steps:
+        least, above = r.least, above + r.words
+        if above >= frequent:
+            break
+    top = _unsigned(counts.filter(F.col("count") >= least).orderBy(F.desc("count"), "word")
+                    .limit(frequent).select("word").toArrow()["word"])
+    words = Vocabulary(np.sort(top), shared, np.zeros(shared), np.zeros(shared),
+                       np.empty(0, np.uint64), np.empty(0))
+    known = counts.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        sums = np.zeros((2, shared), np.int64)
+        for batch in batches:
+            h, n = _unsigned(batch.column(0)), batch.column(1).to_numpy()
+            h, n = (x[~_found(known.value.frequent, h)[1]] for x in (h, n))
+            c = (h % np.uint64(shared)).astype(np.int64)
+            np.add.at(sums[0], c, n)
+            np.add.at(sums[1], c, n == 1)
+        at = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_pydict({"at": pa.array(at), "held": sums[0][at], "once": sums[1][at]})
+
+    for r in (counts.mapInArrow(run, "at long, held long, once long").groupBy("at")
+              .agg(F.sum("held").alias("held"), F.sum("once").alias("once")).collect()):
+        words.total[r["at"]], words.unseen[r["at"]] = np.log(r.held + r.once + 1), np.log(r.once + 1)
+    words.unseen -= np.log(n_words + 1)
+    border = F.col("count") >= max(1, -(-held // common))
+    told = counts.filter(border).toArrow()
+    order = np.argsort(_unsigned(told["word"]))
+    words.common = _unsigned(told["word"])[order]
+    words.logs = np.log(told["count"].to_numpy())[order]
+    if len(order) < n_words:
+        words.rare = counts.filter(~border)
+    return words
+
+
+def _unsigned(column) -> np.ndarray:
+    return column.to_numpy().astype(np.int64).view(np.uint64)
 
 
 class Network:
@@ -141,7 +217,7 @@ def _trained(docs: DataFrame, words: Vocabulary, network: Network, stride: int,
              rate: float, text: str) -> Network:
     """The average of the networks that all tasks make of ``network``."""
     start, width = network.flat(), network.w.shape[0]
-    shared = docs.sparkSession.sparkContext.broadcast((words, start))
+    shared = docs.sparkSession.sparkContext.broadcast((replace(words, rare=None), start))
 
     def train(batches):
         vocabulary, flat = shared.value
@@ -212,30 +288,65 @@ def fit_network(docs: DataFrame, frequent: int = 384, shared: int = 128, width:
     return words, network
 
 
+def _rare_shares(source: DataFrame, words: Vocabulary, shared, text: str) -> DataFrame:
+    """(_key, _check, _more) for rows with words that only ``words.rare`` tells: what their counts
+    add to the sum of logs."""
+    def run(batches):
+        vocabulary = shared.value[0]
+        for batch in bounded_batches(batches, 4 << 20):
+            rows = []
+            for key, check, value in zip(*(c.to_pylist() for c in batch.columns)):
+                h = vocabulary.hashes(value)
+                h, n = np.unique(h[vocabulary.shares(h)[1]], return_counts=True)
+                if len(h):
+                    rows.append((h, n, np.full((len(h), 3), (key, check, len(h)), np.int64)))
+            if rows:
+                h, n, same = (np.concatenate(c) for c in zip(*rows))
+                yield pa.RecordBatch.from_pydict({
+                    "_key": same[:, 0], "_check": same[:, 1], "_words": same[:, 2], "n": n,
+                    "word": h.view(np.int64),
+                    "unseen": vocabulary.unseen[(h % np.uint64(vocabulary.shared)).astype(np.int64)]})
+
+    # Of equal rows each sends its words: a key has ``_words`` rows for each of them.
+    return (source.select("_key", "_check", text)
+            .mapInArrow(run, "_key long, _check long, _words long, n long, word long, unseen double")
+            .join(words.rare, "word", "left").groupBy("_key", "_check")
+            .agg((F.sum(F.expr("n * coalesce(ln(count) - unseen, 0)")) * F.max("_words")
+                  / F.count(F.lit(1))).alias("_more")))
+
+
 def score_documents(docs: DataFrame, words: Vocabulary, network: Network,
-                    text: str = "text") -> DataFrame:
+                    text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with ``n_tokens``, ``pseudo_log_likelihood`` (the sum over all words, each given
     the two words on both sides) and ``per_token`` (its mean, null without words).
 
     A null, empty or blank text has no words and sum 0. Rows are scored one by one on the whole
-    text, repeated rows alike. Columns of ``docs`` with the new names are replaced.
+    text, repeated rows alike. Columns of ``docs`` with the new names are replaced. Shares of rare
+    words are joined by the word; rows are told by ``doc_id``, if there is one, and text.
     """
     made = {"n_tokens": "long", "pseudo_log_likelihood": "double", "per_token": "double"}
     keep = without(docs, list(made))
     source = docs.select(*keep) if text in keep else docs.select(*keep, text)
-    shared = docs.sparkSession.sparkContext.broadcast((words, network))
+    shared = docs.sparkSession.sparkContext.broadcast((replace(words, rare=None), network))
+    if words.rare is not None:
+        key = text_key(doc_id, text) if doc_id in source.columns else F.xxhash64(text)
+        source = source.withColumns({"_key": key, "_check": F.hash(text).cast("long")})
+        rare = _rare_shares(source, words, shared, text)
+        keep = [*keep, "_key", "_check"]
 
     def run(batches):
         vocabulary, net = shared.value
         for batch in bounded_batches(batches, 4 << 20):
-            ids = [vocabulary.of(t)
-                   for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            sizes = np.array([len(i) for i in ids], np.int64)
-            sums = np.zeros(len(ids))
+            hashes = [vocabulary.hashes(t)
+                      for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            sizes = np.array([len(h) for h in hashes], np.int64)
+            sums = np.zeros(len(hashes))
             if sizes.sum():
+                every = np.concatenate(hashes)
+                ids = np.split(vocabulary.classes_of(every), np.cumsum(sizes)[:-1])
                 logs = net.log_probabilities(
                     np.concatenate([windows(i, vocabulary.classes) for i in ids]),
-                    np.concatenate(ids))
+                    np.concatenate(ids)) + vocabulary.shares(every)[0]
                 ends = np.cumsum(np.concatenate([[0.0], logs]))[np.cumsum(np.append(0, sizes))]
                 sums = np.diff(ends)
             yield append(batch, keep, {
@@ -243,4 +354,11 @@ def score_documents(docs: DataFrame, words: Vocabulary, network: Network,
                 "per_token": pa.array(sums / np.maximum(sizes, 1), mask=sizes == 0)})
 
     ddl = ", ".join(f"{k} {v}" for k, v in made.items())
-    return source.mapInArrow(run, schema_of(source, keep, ddl))
+    scored = source.mapInArrow(run, schema_of(source, keep, ddl))
+    if words.rare is None:
+        return scored
+    total = F.col("pseudo_log_likelihood") + F.coalesce("_more", F.lit(0.0))
+    return (scored.join(rare, ["_key", "_check"], "left")
+            .withColumns({"pseudo_log_likelihood": total,
+                          "per_token": F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))})
+            .drop("_key", "_check", "_more"))
