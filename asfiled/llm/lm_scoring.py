@@ -9,7 +9,8 @@ words: ``count / (N + s + 1)`` with the ``N`` occurrences in the class and its `
 once; a word never seen has ``(s + 1) / (N + s + 1)`` divided by one more than all words counted.
 
 The corpus trains it where it lies. Words are counted over all documents. Then every task trains a
-copy of the network on the documents it holds, a word in ``stride`` of every document per round,
+copy of the network on the documents it holds, in each round on a word in ``stride`` of every
+document, so that ``stride`` rounds visit every word once,
 and the copies are averaged by the number of words they have seen, part by part on executors, so
 that the driver gets one network whatever the number of tasks.
 """
@@ -17,6 +18,7 @@ that the driver gets one network whatever the number of tasks.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -102,8 +104,8 @@ def vocabulary(docs: DataFrame, frequent: int = 384, shared: int = 128, text: st
              .agg(F.count(F.lit(1)).alias("words"), F.sum("count").alias("held"),
                   F.min("count").alias("least")).orderBy(F.desc("step")).collect())
     n_words, held = sum(r.words for r in steps), sum(r.held for r in steps)
-    frequent = max(frequent, int(1.5 * n_words ** 0.5))
-    shared = max(shared, int(0.5 * n_words ** 0.5))
+    frequent = max(frequent, int(n_words ** 0.5 / 4))
+    shared = max(shared, int(n_words ** 0.5 / 12))
     least, above = 1, 0
     for r in steps:
         least, above = r.least, above + r.words
@@ -235,7 +237,8 @@ def _trained(docs: DataFrame, words: Vocabulary, network: Network, stride: int,
         for batch in bounded_batches(batches):
             for value in batch.column(0).to_pylist():
                 ids = vocabulary.of(value)
-                pick = slice((phase + len(ids)) % stride, None, stride)
+                # An offset from the text itself: texts of few words take turns as well.
+                pick = slice((phase + crc32((value or "").encode())) % stride, None, stride)
                 held.append((windows(ids, vocabulary.classes)[pick], ids[pick]))
                 waiting += len(held[-1][1])
                 if waiting >= 16 * _BATCH:
@@ -275,11 +278,12 @@ def _trained(docs: DataFrame, words: Vocabulary, network: Network, stride: int,
 
 
 def fit_network(docs: DataFrame, frequent: int = 384, shared: int = 128, width: int = 16,
-                stride: int = 8, rounds: int = 2, rate: float = 0.3, seed: int = 1,
+                stride: int = 2, rounds: int = 2, rate: float = 0.3, seed: int = 1,
                 text: str = "text") -> tuple[Vocabulary, Network]:
     """Count all words and train on one word in ``stride`` of all documents in each round.
 
-    Words of ``docs`` decide everything; a corpus without words leaves the network untrained.
+    With as many rounds as ``stride`` every word of ``docs`` is a target once, in texts of any
+    length; fewer rounds are a sample. A corpus without words leaves the network untrained.
     """
     words = vocabulary(docs, frequent, shared, text)
     network = Network(words.classes, width, seed)
@@ -341,14 +345,10 @@ def score_documents(docs: DataFrame, words: Vocabulary, network: Network,
                       for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             sizes = np.array([len(h) for h in hashes], np.int64)
             sums = np.zeros(len(hashes))
-            if sizes.sum():
-                every = np.concatenate(hashes)
-                ids = np.split(vocabulary.classes_of(every), np.cumsum(sizes)[:-1])
-                logs = net.log_probabilities(
-                    np.concatenate([windows(i, vocabulary.classes) for i in ids]),
-                    np.concatenate(ids)) + vocabulary.shares(every)[0]
-                ends = np.cumsum(np.concatenate([[0.0], logs]))[np.cumsum(np.append(0, sizes))]
-                sums = np.diff(ends)
+            for i in np.flatnonzero(sizes):  # in blocks of its own, so that equal texts score alike
+                ids = vocabulary.classes_of(hashes[i])
+                sums[i] = (net.log_probabilities(windows(ids, vocabulary.classes), ids)
+                           + vocabulary.shares(hashes[i])[0]).sum()
             yield append(batch, keep, {
                 "n_tokens": pa.array(sizes), "pseudo_log_likelihood": pa.array(sums),
                 "per_token": pa.array(sums / np.maximum(sizes, 1), mask=sizes == 0)})

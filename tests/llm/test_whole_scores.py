@@ -48,4 +48,31 @@ def test_shares_follow_the_counts_of_all_words(spark, common):
 def test_classes_grow_with_the_words(spark):
     few, many = (lm_scoring.vocabulary(docs_of(spark, [(1, " ".join(f"v{i}" for i in range(n)))]), 4, 2)
                  for n in (9, 10_000))
-    assert (len(few.frequent), few.shared) == (4, 2) and (len(many.frequent), many.shared) == (150, 50)
+    assert (len(few.frequent), few.shared) == (4, 2) and (len(many.frequent), many.shared) == (25, 8)
+
+
+def test_every_word_is_a_target_once(spark, monkeypatch, tmp_path):
+    """Also in texts of one to a few words."""
+    rng = random.Random(4)
+    texts = [" ".join(f"t{i}w{k}" for k in range(rng.randrange(1, 8))) for i in range(40)]
+    docs = docs_of(spark, list(enumerate(texts))).coalesce(1)
+    folder = str(tmp_path)
+
+    def learn(self, around, center, memory, rate):
+        with open(f"{folder}/seen", "a") as out:
+            out.writelines(f"{c}\n" for c in center)
+    monkeypatch.setattr(lm_scoring.Network, "learn", learn)
+    # The patched class travels to the workers by value.
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(lm_scoring)
+    try:
+        words, _ = lm_scoring.fit_network(docs)
+    finally:
+        cloudpickle.unregister_pickle_by_value(lm_scoring)
+    seen = sorted(map(int, open(f"{folder}/seen").read().split()))
+    assert seen == sorted(int(c) for t in texts for c in words.of(t))
+
+
+def test_titles_of_one_word_train_the_network(spark):
+    words, net = lm_scoring.fit_network(docs_of(spark, [(i, f"title{i % 3}") for i in range(60)]))
+    assert not np.array_equal(net.flat(), lm_scoring.Network(words.classes, 16, 1).flat())
