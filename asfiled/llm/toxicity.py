@@ -8,6 +8,8 @@ broadcast for scoring is the list of weights that are left.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +19,8 @@ from .labelled import training_sample
 from .rows import append, bounded_batches, schema_of, without
 from .shingles import mixed, word_hashes
 
+#: Marks and spaces beyond ASCII; they become blanks before a text is taken as bytes.
+_APART = re.compile(r"[^\w\x00-\x7F]+")
 #: Bytes of words: letters, digits and all bytes of characters beyond ASCII.
 _IN_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 #: Places in the table of weights; the last one is the constant.
@@ -26,7 +30,10 @@ _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 def features(text: str | None) -> np.ndarray:
     """Places of all features of a text, repeats included."""
-    h = word_hashes(text.lower().encode() if text else b"", _IN_WORD)
+    text = text.lower() if text else ""
+    if not text.isascii():
+        text = _APART.sub(" ", text)
+    h = word_hashes(text.encode(), _IN_WORD)
     rolled = np.concatenate([h, h[:-1] * _PAIR + h[1:], h[:-2] * _SKIP + (h[2:] ^ _PAIR)])
     return (mixed(rolled) % np.uint64(DIMENSIONS - 1)).astype(np.int32)
 
