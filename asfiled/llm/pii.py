@@ -27,13 +27,18 @@ EITHER = ("Dr", "Prof")
 TITLES = "|".join(MALE + FEMALE + EITHER)
 
 _FREE = r"(?<![\p{L}\p{N}])"
+_EMAIL = r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
+#: Words that announce a secret, in any case, and a value without blanks up to the marks after it.
+_KEYS = r"(?i:token|secret|password|passwd|api[_-]?key)"
+_VALUE = r"(?=\S*?[\p{{L}}\p{{N}}])[^\s\x22']\S{{{},}}(?<![\x22'.,;:!?)\]}}>])"
 #: One alternative per kind of entity; an occurrence starts at the start of a token.
 PATTERN = "|".join((
-    r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    r"(?<=(?:token|secret|password|passwd|api[_-]?key)[\x22']?\s{0,3}[=:]\s{0,3}[\x22']?)"
-    r"[\p{L}\p{N}+/_-]{12,}+",
-    r"(?<=(?:TOKEN|SECRET|PASSWORD|PASSWD|API[_-]?KEY)[\x22']?\s{0,3}[=:]\s{0,3}[\x22']?)"
-    r"[\p{L}\p{N}+/_-]{12,}+",
+    r"(?<=[=:\x22'\s])(?<=[=:]\s{0,3}[\x22']?)(?:"
+    + "|".join(rf"(?<={_KEYS}[\x22']?\s{{0,3}}[=:]\s{{0,3}}{q})(?=[^{q}\r\n]*?[\p{{L}}\p{{N}}])[^{q}\r\n]++(?={q})"
+               for q in (r"\x22", "'"))
+    + r"|(?<=(?i:password|passwd)[\x22']?\s{0,3}[=:]\s{0,3}[\x22']?)" + _VALUE.format(0)
+    + rf"|(?<={_KEYS}[\x22']?\s{{0,3}}[=:]\s{{0,3}}[\x22']?)" + _VALUE.format(11) + ")",
+    r"(?<![\p{L}\p{N}._%+-])" + _EMAIL,
     _FREE + r"(?=[0-9]*+[a-fA-F])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
     _FREE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -45,8 +50,7 @@ PATTERN = "|".join((
     _FREE + rf"(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'’-]++(?: \p{{Lu}}[\p{{L}}'’-]++){{0,2}}(?![\p{{L}}\p{{N}}])",
 ))
 #: Without one of these a text holds no entity; cheap looks before the long pattern.
-_HINT_WORDS = ("token", "secret", "passw", "api", "TOKEN", "SECRET", "PASSW", "API", "Token",
-               "Secret", "Passw", "Api")
+_HINT_WORDS = "(?i)token|secret|passw|api"
 _HINT_TITLE = (rf"(?=[{''.join(sorted({t[0] for t in MALE + FEMALE + EITHER}))}])"
                rf"(?:{TITLES})\.? \p{{Lu}}")
 
@@ -66,20 +70,20 @@ def _any_of(titles) -> str:
 
 
 def hinted(text: str) -> str:
-    words = " or ".join(f"contains({text}, '{w}')" for w in _HINT_WORDS)
-    return f"({text} rlike '[@0-9]' or {words} or {text} rlike {_quoted(_HINT_TITLE)})"
+    return (f"({text} rlike '[@0-9]' or {text} rlike {_quoted(_HINT_WORDS)} "
+            f"or {text} rlike {_quoted(_HINT_TITLE)})")
 
 
 def kind_of(m: str) -> str:
     """SQL for the kind of an occurrence ``m``."""
-    return f"""case when contains({m}, '@') then 'email'
+    return f"""case when {m} rlike {_quoted(f"^{_EMAIL}$")} then 'email'
       when {m} rlike {_any_of(MALE + FEMALE + EITHER)} then 'name'
       when {m} rlike {_quoted(r"^[0-9]{1,3}([.][0-9]{1,3}){3}$")} then 'ip'
       when {m} rlike {_quoted("^[0-9]{3}-[0-9]{2}-[0-9]{4}$")} then 'ssn'
       when {m} rlike {_quoted("^[A-Z]{2}[0-9]{2}[ A-Z0-9]+$")} then 'iban'
       when {m} rlike {_quoted("^[0-9][0-9 -]*$")} and
         length(regexp_replace({m}, '[^0-9]', '')) between 13 and 19 then 'card'
-      when {m} rlike {_quoted("^[0-9 ().+-]+$")} then 'phone' else 'secret' end"""
+      when {m} rlike {_quoted("^(?=.*[0-9])[0-9 ().+-]+$")} then 'phone' else 'secret' end"""
 
 
 def parts_of(m: str) -> str:

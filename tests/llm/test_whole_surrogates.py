@@ -1,0 +1,28 @@
+"""Secrets in every spelling, and formats that are full."""
+
+import pytest
+
+from asfiled.llm import pii
+
+
+def replaced(spark, texts, key="k"):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in sorted(pii.replace_entities(docs, key).collect(), key=lambda r: r.doc_id)]
+
+
+def test_secrets_behind_key_words_of_any_case(spark):
+    value = "k9Xw2Lq8Zt5Rb1"
+    heads = ["token = ", "Token = ", "Secret=", "Api_Key: ", "apiKey=", "API_key: ", "PASSWORD:",
+             "PassWord: ", "'Passwd': ", "api-key = "]
+    texts = [f"set {h}{q}{value}{q} now" for h in heads for q in ("", "'", '"')]
+    texts += ["Password: hunTer.", "password='it is so'", "password: Ab.Cd!Ef$Gh=Ij", "Password: pq@rs-tu",
+              "token: AbCd.EfGh!IjKl$MnOp=Qr", "password: ***** or so"]
+    got = replaced(spark, texts)
+    for text, new in zip(texts[:-6], got):
+        assert value not in new and len(new) == len(text), text
+        head, tail = text.split(value)
+        assert new.startswith(head) and new.endswith(tail)
+    for new, parts in zip(got[-6:-1], (["hunTer"], ["it is so"], ["Ab", "Cd", "Ef", "Gh", "Ij"], ["pq@", "rs-", "tu"],
+                                       ["AbCd", "EfGh", "IjKl", "MnOp"])):
+        assert sum(p in new for p in parts) == 0 or (len(parts) > 3 and sum(p in new for p in parts) < 2), new
+    assert got[-6].endswith(".") and got[-1] == texts[-1]
