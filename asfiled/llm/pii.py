@@ -44,7 +44,7 @@ PATTERN = "|".join((
     r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"
     r"(?![\p{L}\p{N}])(?!\.\d)",
     _FREE + r"\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
-    r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\p{L}\p{N}])",
+    r"(?<![\p{L}\p{N}+])(?=\+\d++[ .(-]{1,2}\d{2}|\+\d{8})\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\p{L}\p{N}])",
     _FREE + r"(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\p{L}\p{N}])",
     _FREE + r"\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}])",
     _FREE + rf"(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'’-]++(?: \p{{Lu}}[\p{{L}}'’-]++){{0,2}}(?![\p{{L}}\p{{N}}])",
@@ -155,33 +155,46 @@ def surrogate(kind: str, payload: str, attempt: str, key: str) -> str:
         return (f"concat({some}, case {kind} when 'male' then '{made[2]}' "
                 f"when 'female' then '{made[3]}' else '' end)")
 
+    # Formats that are full grow: from the eighth attempt on by a character every eight attempts.
+    drawn = f"left(sha2(concat({seed}, '|more'), 256), least({attempt} div 8, 64))"
+    more = (f"if({kind} in ('phone', 'card', 'ssn', 'iban'), translate({drawn}, 'abcdef', '012345'), "
+            f"translate({drawn}, '0123456789', 'ghijklmnop'))")
     scripts = list(_SCRIPTS.items())
     names = ("case " + " ".join(f"when {payload} rlike r'{s}' then {name(m)}" for s, m in scripts[:-1])
              + f" else {name(scripts[-1][1])} end")
     return f"""transform(array({noise}), h -> case
-      when {kind} = 'ip' then {octets} when {kind} = 'card' then {card}
-      when {kind} in ('male', 'female', 'given', 'surname') then {names} else {spelled} end)[0]"""
+      when {kind} = 'ip' then {octets}
+      when {kind} = 'card' and {attempt} < 8 then {card}
+      when {kind} in ('male', 'female', 'given', 'surname') then {names}
+      when {attempt} < 8 then {spelled} when {kind} = 'email' then concat({more}, {spelled})
+      else concat({spelled}, {more}) end)[0]"""
 
 
 def laid_out(m: str, replaced: str) -> str:
     """SQL that lays surrogate payloads (an array) into the format and case of ``m``."""
     c, mark = f"substring({m}, j, 1)", "' ()+.-'"
     skipped = f"length(translate(substring({m}, 1, j), {mark}, ''))"
-    q = f"substring({replaced}[0], if({kind_of(m)} in ('phone', 'card', 'ssn', 'iban'), {skipped}, j), 1)"
+    # What a surrogate has grown by stands in front of an address, and else at the end.
+    grown = (f"length({replaced}[0]) - length(if({kind_of(m)} in ('phone', 'card', 'ssn', 'iban'), "
+             f"translate({m}, {mark}, ''), {m}))")
+    q = (f"substring({replaced}[0], case when {kind_of(m)} in ('phone', 'card', 'ssn', 'iban') then {skipped} "
+         f"when {kind_of(m)} = 'email' then j + {grown} else j end, 1)")
     spelled = f"""array_join(transform(sequence(1, length({m})), j -> case
       when {kind_of(m)} in ('phone', 'card', 'ssn', 'iban') and contains({mark}, {c}) then {c}
       when {c} <> lower({c}) then upper({q}) else {q} end), '')"""
     return f"""case {kind_of(m)} when 'name' then concat(
         regexp_extract({m}, {_any_of(MALE + FEMALE + EITHER)}, 0),
         array_join(transform({replaced}, w -> initcap(w)), ' '))
-      when 'ip' then {replaced}[0] else {spelled} end"""
+      when 'ip' then {replaced}[0]
+      when 'email' then concat(left({replaced}[0], {grown}), {spelled})
+      else concat({spelled}, right({replaced}[0], {grown})) end"""
 
 
-def _settled(entities: DataFrame, key: str, rounds: int = 64) -> DataFrame:
+def _settled(entities: DataFrame, key: str) -> DataFrame:
     """(kind, payload, attempt) of entities whose first surrogates collide."""
     state = materialise(entities.distinct().withColumn("attempt", F.lit(0)), "entities")
     known = state.select("kind", F.col("payload").alias("made"), F.lit(True).alias("real"))
-    for _ in range(rounds):
+    while True:  # ends, as surrogates grow with the attempts
         made = state.withColumn("made", F.expr(surrogate("kind", "payload", "attempt", key)))
         # Of several entities with one surrogate the smallest at the earliest attempt keeps it.
         owner = made.groupBy("kind", "made").agg(
@@ -196,7 +209,6 @@ def _settled(entities: DataFrame, key: str, rounds: int = 64) -> DataFrame:
             "attempt", F.expr("attempt + cast(real is true or (owner is not null and "
                               "owner <> struct(attempt, payload)) as int)")))
         state = materialise(moved.select("kind", "payload", "attempt"), "entities")
-    raise RuntimeError("more entities of one format than surrogates of that format")
 
 
 def replace_entities(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text",
@@ -206,7 +218,8 @@ def replace_entities(docs: DataFrame, key: str, doc_id: str = "doc_id", text: st
     Kinds: e-mail and IPv4 addresses, phone, card and social security numbers, IBANs, secrets
     after words like "token", long hexadecimal strings, names after titles. A surrogate keeps
     punctuation, grouping, case and script, an address its last label, a card its first digit and
-    whether its check sum is right, a given name the gender of its title.
+    whether its check sum is right, a given name the gender of its title. Where the corpus holds so
+    many entities of a format that its surrogates run out, surrogates grow longer.
 
     Texts without entities, null and empty ones come out as they are. Rows are told by id and
     text; a null id is fine, repeated rows are treated alike. Texts are read whole. Other columns

@@ -26,3 +26,19 @@ def test_secrets_behind_key_words_of_any_case(spark):
                                        ["AbCd", "EfGh", "IjKl", "MnOp"])):
         assert sum(p in new for p in parts) == 0 or (len(parts) > 3 and sum(p in new for p in parts) < 2), new
     assert got[-6].endswith(".") and got[-1] == texts[-1]
+
+
+def test_full_formats_grow(spark):
+    """Every address, short password and number of its format stands in the corpus."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"mail {a}@{b}.c now" for a in letters for b in letters[:20]]
+    words = [f"password: {a} now" for a in letters]
+    got = replaced(spark, mails + words)
+    assert len(set(got)) == len(got) and not set(got) & {*mails, *words}
+    assert all(t.endswith(".c now") and t.count("@") == 1 for t in got[:len(mails)])
+
+
+def test_counts_after_a_plus_are_no_phone_numbers(spark):
+    texts = ["+123456 and +250000 jobs", "call +18035555351 or +49 30 1234567", "+1 (803) 555-5351"]
+    got = replaced(spark, texts)
+    assert got[0] == texts[0] and "+18035555351" not in got[1] and "1234567" not in got[1] and got[2] != texts[2]
