@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -132,10 +133,25 @@ def _windows(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return [(a, b + 1) for a, b in found]
 
 
+def _stretches(text: list[str], template: list[str]) -> Iterator[tuple[int, int]]:
+    """The windows and, of those longer than the template, also slices of about its length.
+
+    A long window may hold a licence twice, so that no word of it is there once. Slices overlap, so
+    that each place where the template may start is near the start of one.
+    """
+    step = max(1, len(template) // 4)
+    for a, b in _windows(text, template):
+        yield a, b
+        if b - a > len(template):
+            yield from ((i, min(b, i + len(template) + 2 * step)) for i in range(a, b, step))
+
+
 def best_coverage(text: list[str], template: list[str]) -> tuple[float, int, int]:
     """(coverage, first, last aligned word) of the best stretch; (0, -1, -1) without any."""
     best = (0.0, -1, -1)
-    for a, b in _windows(text, template):
+    for a, b in _stretches(text, template):
+        if best[0] == 1:
+            break
         pairs = patience_pairs(text[a:b], template)
         if pairs and len(pairs) / len(template) > best[0]:
             best = (len(pairs) / len(template), a + pairs[0][0], a + pairs[-1][0])
