@@ -17,6 +17,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
 
     Labels other than 0 and 1 are passed over; of several labels of one id the largest counts.
     The documents are those whose ids hash lowest; only their ids, at most ``rows``, are broadcast.
+    Of several documents of one id the one whose text hashes lowest counts.
     """
     chosen = (labels.select("doc_id", F.col(label).cast("int").alias("label"))
               .filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & usable)
@@ -24,4 +25,5 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
               .withColumn("order", F.xxhash64("doc_id", F.lit(label)))
               .orderBy("order", "doc_id").limit(rows))
     return (docs.select("doc_id", F.col(text).alias("text"))
-            .join(F.broadcast(chosen), "doc_id").select("order", "text", "label"))
+            .join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "order", "label")
+            .agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("order", "text", "label"))
