@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
+from .bpe_codec import decode, encode, ids_digest
 from .decontaminate import contamination
 from .jaccard_join import jaccard_components
 from .labelled import held_out
@@ -86,6 +87,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(docs).drop("text")
 
 
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    ids = encode(docs, vocabulary, repeatable=True)
+    back = decode(ids, vocabulary, text="decoded")
+    hashed = back.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    return ids_digest(hashed).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
     return run(spark, sf_dir)
@@ -95,6 +105,7 @@ QUERIES = {
     "pipeline": pipeline,
     "op1_masked_pseudo_likelihood": op1_masked_pseudo_likelihood,
     "op10_license_scan": op10_license_scan,
+    "op11_bpe_codec": op11_bpe_codec,
     "op2_surrogates": op2_surrogates,
     "op3_mix_sources": op3_mix_sources,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
