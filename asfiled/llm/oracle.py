@@ -142,3 +142,100 @@ SELECT doc_id, size, source_size, target, CAST(size * e AS BIGINT) AS taken, CAS
 FROM (SELECT *, whole + CASE WHEN upto - size / 2.0 <= target - whole * source_size
                         THEN 1 ELSE 0 END AS e FROM line)
 """
+
+_NEAREST = r"""
+near{n} AS (
+  SELECT rid, p, e, d FROM (
+    SELECT rid, c.p, e, CAST(sum((c.v - b.v) * (c.v - b.v)) AS BIGINT) AS d
+    FROM cells c JOIN book{n} b ON c.p = b.p AND c.j = b.j GROUP BY rid, c.p, e)
+  QUALIFY row_number() OVER (PARTITION BY rid, p ORDER BY d, e) = 1)"""
+
+_MOVED = r"""
+book{m} AS (
+  SELECT b.p, b.e, b.j, coalesce(g.v, b.v) AS v
+  FROM book{n} b LEFT JOIN (
+    SELECT c.p, e, c.j, CAST(floor(sum(c.v) / count(*)) AS BIGINT) AS v
+    FROM near{n} a JOIN cells c ON a.rid = c.rid AND a.p = c.p GROUP BY c.p, e, c.j) g
+  ON b.p = g.p AND b.e = g.e AND b.j = g.j)"""
+
+VECTOR_CODES = ",".join([r"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label, embedding
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cells AS (
+  SELECT rid, (i - 1) // (n // 16) AS p, (i - 1) % (n // 16) AS j,
+         CAST(floor(256 * embedding[i]) AS BIGINT) AS v
+  FROM (SELECT rid, embedding, len(embedding) AS n, unnest(generate_series(1, len(embedding))) AS i
+        FROM kept)),
+book0 AS (SELECT p, rid - 1 AS e, j, v FROM cells WHERE rid <= 64)""",
+    _NEAREST.format(n=0), _MOVED.format(n=0, m=1), _NEAREST.format(n=1), _MOVED.format(n=1, m=2),
+    _NEAREST.format(n=2), r"""
+books AS (
+  SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM book2),
+coded AS (
+  SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM near2 GROUP BY rid)
+SELECT vec_id, code, error,
+       CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (rid), books
+"""])
+
+PREFIX_TRIE = r"""
+WITH RECURSIVE bytes AS (
+  SELECT CAST(i AS UBIGINT) AS i, 0 AS k, CAST(i AS UBIGINT) AS v FROM range(256) r(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, CAST(3988292384 AS UBIGINT)) ELSE v >> 1 END
+  FROM bytes WHERE k < 8),
+crc AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, 0 AS pos, CAST(4294967295 AS UBIGINT) AS v
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+  UNION ALL
+  SELECT conv_id, s, pos + 1, xor(crc.v >> 8, bytes.v)
+  FROM crc JOIN bytes ON k = 8 AND i = xor(crc.v, CAST(ord(s[pos + 1]) AS UBIGINT)) % 256
+  WHERE pos < length(s)),
+taken AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         CAST(xor(v, CAST(4294967295 AS UBIGINT)) % 4 AS INTEGER) AS h
+  FROM crc WHERE pos = length(s)),
+turns AS (
+  SELECT conv_id, md5(coalesce(role, '')) || md5(coalesce(text, '')) AS t,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS w,
+         row_number() OVER (PARTITION BY conv_id
+                            ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS rn
+  FROM conversations WHERE conv_id IS NOT NULL),
+merged AS (
+  SELECT k.conv_id, 0 AS own, rn, t, w FROM taken k JOIN turns b ON b.conv_id = base AND rn <= h
+  UNION ALL
+  SELECT k.conv_id, 1, rn, t, w FROM taken k JOIN turns o ON o.conv_id = k.conv_id AND rn > h),
+whole AS (
+  SELECT k.conv_id, coalesce(l, []) AS l, coalesce(w, []) AS w
+  FROM taken k LEFT JOIN (
+    SELECT conv_id, list(t ORDER BY own, rn) AS l, list(w ORDER BY own, rn) AS w
+    FROM merged GROUP BY conv_id) m ON m.conv_id = k.conv_id),
+nodes AS (
+  SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(p) AS p,
+         any_value(word) AS words,
+         string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ending
+  FROM (SELECT conv_id, depth, l[1:depth] AS p, array_to_string(l[1:depth], ',') AS key,
+               CASE WHEN depth = 0 THEN 0 ELSE w[depth] END AS word, depth = len(l) AS ends
+        FROM (SELECT conv_id, l, w, unnest(generate_series(0, len(l))) AS depth FROM whole))
+  GROUP BY key, depth),
+linked AS (
+  SELECT *, CASE WHEN depth > 0 THEN array_to_string(p[1:depth - 1], ',') END AS above FROM nodes),
+children AS (SELECT above AS key, count(*) AS n FROM linked WHERE depth > 0 GROUP BY above),
+figures AS (
+  SELECT l.*, coalesce(c.n, 0) AS n_children, (l.n_convs - 1) * words AS saves
+  FROM linked l LEFT JOIN children c ON c.key = l.key),
+subtrees AS (
+  SELECT key, count(*) FILTER (n_children = 0) AS n_leaves, sum(saves) AS saved_tokens
+  FROM (SELECT array_to_string(p[1:e], ',') AS key, n_children, saves
+        FROM (SELECT p, n_children, saves, unnest(generate_series(0, depth)) AS e FROM figures))
+  GROUP BY key)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id,
+       CAST(f.n_convs AS BIGINT) AS n_convs, CAST(f.n_children AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+       sha256(coalesce(f.ending, '')) AS ends_sha256
+FROM figures f JOIN subtrees s ON s.key = f.key LEFT JOIN nodes u ON f.depth > 0 AND u.key = f.above
+"""

@@ -15,11 +15,13 @@ from .licenses import scan_licenses
 from .lm_scoring import fit_network, score_documents
 from .mixing import mix
 from .pii import replace_entities
+from .prefix_trie import prefix_trie, rebuilt
 from .quality_classifier import fit_quality, score_quality
 from .quality_rules import BASE_RULES, quality_verdicts
 from .rows import table
 from .token_counts import prefix_token_counts
 from .toxicity import fit_toxicity, score_toxicity
+from .vector_codes import books_digest, vector_codes, with_group_error
 
 
 def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +98,16 @@ def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_digest(hashed).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+    return (with_group_error(coded).withColumn("codebooks_sha256", F.lit(books_digest(books)))
+            .select("vec_id", "code", "error", "label_error", "codebooks_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
     return run(spark, sf_dir)
@@ -106,6 +118,8 @@ QUERIES = {
     "op1_masked_pseudo_likelihood": op1_masked_pseudo_likelihood,
     "op10_license_scan": op10_license_scan,
     "op11_bpe_codec": op11_bpe_codec,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_prefix_trie": op13_prefix_trie,
     "op2_surrogates": op2_surrogates,
     "op3_mix_sources": op3_mix_sources,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
@@ -121,4 +135,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_benchmark_decontamination": oracle.DECONTAMINATION,
     "op9_jaccard_join": oracle.JACCARD_JOIN,
     "op5_quality_rules": oracle.QUALITY_RULES,
+    "op12_vector_codes": oracle.VECTOR_CODES,
+    "op13_prefix_trie": oracle.PREFIX_TRIE,
 }
