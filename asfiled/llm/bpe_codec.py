@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 import os
 from functools import lru_cache
-from hashlib import blake2b
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,9 @@ from .rows import bounded_batches, schema_of, without
 from .token_counts import byte_letters
 
 #: Bytes of text in a page; one long document may exceed it.
-PAGE_BYTES = 16 << 20
+PAGE_BYTES = 8 << 20
+#: Bytes of ids that decoding works on at a time.
+IDS_BYTES = 4 << 20
 #: Words a task remembers per bucket; beyond that memory starts afresh and some are encoded again.
 REMEMBERED = 1_000_000
 
@@ -55,32 +57,37 @@ def unpacked(blob: bytes) -> bytes:
 def varints(values: np.ndarray) -> bytes:
     """Seven bits a byte, low ones first; the eighth says that more follow."""
     values = values.astype(np.uint32)
-    width = 1 + sum((values >= 1 << s).astype(np.int64) for s in (7, 14, 21, 28))
-    ends = np.cumsum(width)
+    width = np.ones(len(values), np.int8)
+    for s in (7, 14, 21, 28):
+        width += values >= 1 << s
+    ends = np.cumsum(width, dtype=np.int32)
     out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
-    for k in range(5):
-        more = width > k
-        last = width[more] == k + 1
+    for k in range(int(width.max(initial=0))):
+        more = np.flatnonzero(width > k)
         low = (values[more] >> np.uint32(7 * k) & np.uint32(127)).astype(np.uint8)
-        out[ends[more] - width[more] + k] = low | np.where(last, 0, 128).astype(np.uint8)
+        low[width[more] > k + 1] |= 128
+        out[ends[more] - width[more] + k] = low
     return out.tobytes()
 
 
 def from_varints(blob: bytes) -> np.ndarray:
     at = np.frombuffer(blob, np.uint8)
-    if not len(at):
-        return np.empty(0, np.int64)
-    ends = np.flatnonzero(at < 128)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    nth = np.arange(len(at)) - np.repeat(starts, ends - starts + 1)
-    return np.add.reduceat((at & 127).astype(np.int64) << (7 * nth), starts)
+    ends = np.flatnonzero(at < 128).astype(np.int32)
+    starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int32) if len(ends) else ends
+    out = (at[starts] & 127).astype(np.int32)
+    more, width = np.flatnonzero(ends > starts), 1
+    while len(more):
+        out[more] |= (at[starts[more] + width] & 127).astype(np.int32) << (7 * width)
+        width += 1
+        more = more[ends[more] - starts[more] >= width]
+    return out
 
 
 def word_starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     """Where words start in the bytes of texts that stand one after the other."""
-    cut = np.zeros(len(data), bool)
-    space = _SPACE[data]
-    cut[1:] = space[1:] & ~space[:-1]
+    cut = _SPACE[data]
+    cut[1:] &= ~cut[:-1]
+    cut[:1] = False
     wide = np.flatnonzero(cut[2:] & (data[1:-1] >= 0x80)) + 2
     before = data[wide - 2].astype(np.uint16) << 8 | data[wide - 1]
     cut[wide[np.isin(before, _WIDE_SPACE)]] = False
@@ -115,16 +122,15 @@ def library(path: str):
 
 
 @lru_cache(maxsize=2)
-def pieces_by_id(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, bytes) of all pieces, laid out by id; ids that stand for nothing have no bytes."""
+def pieces_by_id(path: str) -> pa.Array:
+    """All pieces, laid out by id and an empty one behind them; unused ids have no bytes."""
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     letters = byte_letters()
     pieces = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items()
               if all(c in letters for c in t)}
     pieces |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
-    laid = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
-    return np.cumsum([0, *map(len, laid)]), np.frombuffer(b"".join(laid), np.uint8)
+    return pa.array([pieces.get(i, b"") for i in range(max(pieces) + 2)], pa.binary())
 
 
 def check_vocabulary(path: str) -> None:
@@ -139,14 +145,6 @@ def check_vocabulary(path: str) -> None:
         raise ValueError("a byte-level BPE without normalizer and prefix space is needed")
 
 
-def ragged(offsets: np.ndarray, picked: np.ndarray) -> np.ndarray:
-    """Positions of the elements of the picked lists, one list after the other."""
-    lengths = offsets[picked + 1] - offsets[picked]
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(offsets[picked] - (ends - lengths),
-                                                               lengths)
-
-
 def _pages(docs: DataFrame, kept: list[str], text: str, buckets: int) -> DataFrame:
     """Rows of pages: bucket -1 holds the texts as places, the others lists of words.
 
@@ -165,14 +163,16 @@ def _pages(docs: DataFrame, kept: list[str], text: str, buckets: int) -> DataFra
             texts = texts.dictionary
             offsets = np.frombuffer(texts.buffers()[1], np.int64)[:len(texts) + 1]
             data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[:offsets[-1]]
-            page = blake2b(data.tobytes() + offsets.tobytes() + owner.tobytes(), digest_size=16)
+            page = blake2b(digest_size=16)
+            for part in (data, offsets, np.ascontiguousarray(owner)):
+                page.update(memoryview(part).cast("B"))
             for r in batch.column(1).to_pylist():
                 page.update(repr(r).encode("utf-8", "surrogatepass"))
             page = page.digest()
             starts = word_starts(data, offsets[:-1]) if len(data) else np.empty(0, np.int64)
             ends = np.append(starts, len(data)).astype(np.int64)
             words = pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data.tobytes())])
+                pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
             coded = words.dictionary_encode()
             places, known = coded.indices.to_numpy(), coded.dictionary
             order = np.argsort(-np.bincount(places, minlength=len(known)), kind="stable")
@@ -218,7 +218,8 @@ def _encoded_words(lists: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches):
         encode, bucket, known = library(vocabulary), None, {}
         for batch in batches:
-            for page, b, payload, lengths in zip(*(c.to_pylist() for c in batch.columns)):
+            for i in range(batch.num_rows):
+                page, b, payload, lengths = (c[i].as_py() for c in batch.columns)
                 if b != bucket or len(known) > REMEMBERED:
                     bucket, known = b, {}
                 data = unpacked(payload)
@@ -241,7 +242,7 @@ def _encoded_words(lists: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
-           buckets: int | None = None, repeatable: bool = False) -> DataFrame:
+           buckets: int | None = None, repeatable: bool = False, after=None) -> DataFrame:
     """``docs`` without ``text``, with the column ``ids`` (array<int>).
 
     Ids are those that the tokenizers library gives for the whole text without added special
@@ -254,6 +255,10 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
     in the same order, as scans of tables do; ``repeatable`` says that this is so. Otherwise pages
     are written to the shared folder first.
 
+    ``after``, a pair of a function and the DDL of the columns it adds, goes on with the ids where
+    they are made: it gets an iterator of (Arrow batch of the other columns, list array of ids)
+    and yields such batches with its columns. The ids are then not returned.
+
     A null or empty text has no ids. A text is worked on whole and needs a few times its size in
     memory. Repeated rows stay, a column of ``docs`` named as ``ids`` is replaced, all others are
     carried along whatever they are named. An empty table gives an empty one.
@@ -294,11 +299,11 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
             yield row, several, out
             row += several
 
-    def run(batches):
+    def done(batches):
         texts, lists = None, []
 
-        def emit():
-            most, held, first, offsets, parts = PAGE_BYTES // 4, 0, 0, [0], []
+        def pages_done():
+            most, held, first, offsets, parts = IDS_BYTES // 4, 0, 0, [0], []
             rows = texts["rows"]
             for row, several, out in finished(texts, lists):
                 for _ in range(several):
@@ -316,7 +321,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
                 page, b, payload, numbers = (batch.column(k)[i].as_py() for k in range(4))
                 if b < 0:
                     if texts:
-                        yield from emit()
+                        yield from pages_done()
                     texts = {"page": page, "payload": payload, "buckets": numbers,
                              "counts": batch.column(4)[i].as_py(), "rows": batch.column(5)[i].values}
                     lists = []
@@ -325,17 +330,39 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
                         raise RuntimeError("pages differ between two passes: the input is not repeatable")
                     lists.append((payload, numbers))
         if texts:
-            yield from emit()
+            yield from pages_done()
 
     def batch_of(rows, offsets, parts):
         made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
                                         pa.array(np.concatenate(parts), pa.int32()))
-        # Rows that are one value each: the struct's own nulls stay nulls of its fields.
-        return pa.RecordBatch.from_arrays([*(rows.field(k) for k in range(len(fields))), made],
-                                          names=[*fields, ids])
+        return pa.RecordBatch.from_arrays([rows.field(k) for k in range(len(fields))],
+                                          names=fields), made
 
-    schema = ", ".join([*(f"`{k}` {kinds.get(k, 'boolean')}" for k in fields), f"`{ids}` array<int>"])
-    return joined.mapInArrow(run, schema).select(*(f"`{k}`" for k in kept), ids)
+    go_on, added = after or (None, f"`{ids}` array<int>")
+
+    def run(batches):
+        if go_on:
+            yield from go_on(done(batches))
+        else:
+            for batch, made in done(batches):
+                yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*fields, ids])
+
+    made = joined.mapInArrow(run, ", ".join([*(f"`{k}` {kinds.get(k, 'boolean')}" for k in fields), added]))
+    return made.select(*(f"`{c}`" for c in made.columns if c in kept or c not in fields))
+
+
+def texts_of(lists: pa.Array, vocabulary: str):
+    """Yield the text of each list of ids: the ids joined with the pieces, laid out by id."""
+    pieces = pieces_by_id(vocabulary)
+    none = len(pieces) - 1
+    flat = pc.fill_null(lists.flatten(), none).to_numpy()
+    flat = np.where((flat < 0) | (flat > none), none, flat)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    joined = pieces.take(pa.array(flat, pa.int32()))
+    data = memoryview(joined.buffers()[2] or b"")
+    cuts = np.frombuffer(joined.buffers()[1], np.int32)[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    for i, j in zip(cuts, cuts[1:]):
+        yield str(data[i:j], "utf-8", "replace")
 
 
 def decode(frame: DataFrame, vocabulary: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -348,41 +375,27 @@ def decode(frame: DataFrame, vocabulary: str, ids: str = "ids", text: str = "tex
     keep = without(frame, [text])
 
     def run(batches):
-        offsets, pieces = pieces_by_id(vocabulary)
-        for batch in bounded_batches(batches):
+        for batch in bounded_batches(batches, IDS_BYTES):
             lists = batch.column(batch.schema.get_field_index(ids))
-            flat = pc.fill_null(lists.flatten(), -1).to_numpy()
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-            flat = np.where((flat < 0) | (flat >= len(offsets) - 1), len(offsets) - 1, flat)
-            laid = np.append(offsets, offsets[-1])
-            ends = np.concatenate([[0], np.cumsum(laid[flat + 1] - laid[flat])])
-            data = pieces[ragged(laid, flat)].tobytes()
-            cuts = ends[np.concatenate([[0], np.cumsum(sizes)])].tolist()
-            texts = [data[i:j].decode("utf-8", "replace") for i, j in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.get_field_index(k)) for k in keep),
-                 pa.array(texts, pa.string())], names=[*keep, text])
+                 pa.array(texts_of(lists, vocabulary), pa.string())], names=[*keep, text])
 
     return frame.mapInArrow(run, schema_of(frame, keep, f"`{text}` string"))
 
 
-def ids_digest(frame: DataFrame, ids: str = "ids", digest: str = "ids_sha256",
-               count: str = "n_tokens") -> DataFrame:
-    """``frame`` without ``ids``: their number and the SHA-256 of them as unsigned 32-bit
-    little-endian integers."""
-    from hashlib import sha256
-    keep = without(frame, [ids, digest, count])
-
-    def run(batches):
-        for batch in bounded_batches(batches):
-            lists = batch.column(batch.schema.get_field_index(ids))
-            raw = memoryview(lists.flatten().cast(pa.int32()).to_numpy().tobytes())
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
-            ends = np.concatenate([[0], np.cumsum(4 * sizes)]).tolist()
+def digests(vocabulary: str):
+    """For ``after`` of :func:`encode`: the number of ids, the SHA-256 of them as unsigned 32-bit
+    little-endian integers, and that of the text they decode to in UTF-8."""
+    def go_on(batches):
+        for batch, lists in batches:
+            raw = memoryview(lists.flatten().to_numpy()).cast("B")
+            ends = (4 * lists.offsets.to_numpy().astype(np.int64)).tolist()
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(k)) for k in keep),
-                 pa.array(sizes, pa.int64()),
-                 pa.array([sha256(raw[i:j]).hexdigest() for i, j in zip(ends, ends[1:])])],
-                names=[*keep, count, digest])
+                [*batch.columns, lists.value_lengths().cast(pa.int64()),
+                 pa.array([sha256(raw[i:j]).hexdigest() for i, j in zip(ends, ends[1:])], pa.string()),
+                 pa.array([sha256(t.encode()).hexdigest() for t in texts_of(lists, vocabulary)],
+                          pa.string())],
+                names=[*batch.schema.names, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return frame.mapInArrow(run, schema_of(frame, keep, f"`{count}` long, `{digest}` string"))
+    return go_on, "n_tokens long, ids_sha256 string, decoded_sha256 string"

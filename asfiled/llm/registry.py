@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
-from .bpe_codec import decode, encode, ids_digest
+from .bpe_codec import digests, encode
 from .decontaminate import contamination
 from .jaccard_join import jaccard_components
 from .labelled import held_out
@@ -92,10 +92,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    ids = encode(docs, vocabulary, repeatable=True)
-    back = decode(ids, vocabulary, text="decoded")
-    hashed = back.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
-    return ids_digest(hashed).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode(docs, vocabulary, repeatable=True, after=digests(vocabulary))
 
 
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
