@@ -11,6 +11,9 @@ Two plans give the same rows:
 * *apart* -- companies above the bound. The same steps as map-side combined aggregates and
   equi-joins on fine keys (which AQE splits when skewed), with report versions numbered over
   range slices. No step gathers a company, a period or a group of copies in one task.
+
+Component amounts are added up as decimals (:mod:`..functions.exact`), so a sum does not depend on
+the plan, on the number of partitions or on the order in which its parts are met.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions.exact import exact_sum
 from .ranking import number_rows
 from .volume import ROW_LIMIT, heavy_keys, match, part_by_volume
 
@@ -117,7 +121,8 @@ def one_value_per_filing(rows: DataFrame, keys: list[str]) -> DataFrame:
         "period_fiscal_year", "filing_lag_days", "restatement_eligible", "combine_mode",
         "value"))
     merged = distinct.groupBy(*filing).agg(
-        best.alias("_best"), F.sum("value").alias("_total"),
+        best.alias("_best"),
+        F.expr(exact_sum("if(combine_mode = 'sum', value, null)")).alias("_total"),
         F.array_join(F.array_sort(F.collect_set("source_tag")), "+").alias("_tags"),
         F.max("sign_was_negative").alias("_any_negative"),
         *[F.expr(_most(c, c)).alias(f"_most_{c}") for c in _TOLD])
@@ -163,7 +168,8 @@ def _pick_together(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.max("_told.sign_was_negative").alias("_negative"))
     whole = parts.groupBy(*value).agg(
         F.max(F.col("_part").isNotNull()).alias("_summed"), F.min("_best").alias("_best"),
-        F.sum("_largest").alias("_total"), F.max("_negative").alias("_any_negative"),
+        F.expr(exact_sum("if(_part is null, null, _largest)")).alias("_total"),
+        F.max("_negative").alias("_any_negative"),
         F.array_join(F.array_sort(F.collect_set("_best.source_tag")), "+").alias("_tags"),
         *[F.expr(_most(c, f"_best.{c}")).alias(f"_most_{c}") for c in _TOLD])
     told = {c: f"if(_summed, _most_{c}, _best.{c})" for c in _TOLD}

@@ -80,6 +80,11 @@ staged as (
   from timed where period_fiscal_year >= 2010 and filing_lag_days >= 1)"""
 
 
+# By way of text, as the double's shortest decimal; and back, rounded once.
+_EXACT_SUM = ("cast(cast(sum(cast(cast(value as varchar) as decimal(38, 10))) as varchar) "
+              "as double)")
+
+
 def _pit(source: str, world: str, mark: str = "") -> str:
     """Bitemporal chain over ``source``; ``world`` lists the key columns, ``mark`` suffixes the
     CTE names so that two chains can stand side by side."""
@@ -104,7 +109,7 @@ told_once{mark} as (
   select {world}, max(ticker), max(company_name), concept,
     array_to_string(list_sort(list_distinct(list(source_tag))), '+'), max(period_start),
     period_end, max(period_fiscal_year), max(filed_date), max(filing_lag_days), max(form),
-    accession, sum(value), bool_and(restatement_eligible), bool_or(sign_was_negative)
+    accession, {_EXACT_SUM}, bool_and(restatement_eligible), bool_or(sign_was_negative)
   from (
     select {world}, concept, period_end, accession, source_tag, unit, period_start, ticker,
       company_name, period_fiscal_year, filed_date, filing_lag_days, form,
@@ -331,6 +336,11 @@ _PARTS = {
 }
 
 
+def pit_of(facts: str, sql: str) -> str:
+    """``sql`` over the bitemporal table of any table of facts."""
+    return f"with {_STAGED.replace('from facts f', f'from {facts} f')},{_PARTS['pit'][0]}\n{sql}"
+
+
 def after(*parts: str, sql: str) -> str:
     """``sql`` preceded by the CTEs of the named parts and of all they need."""
     needed: list[str] = []
