@@ -21,7 +21,8 @@ ACCRUAL_CONCEPTS = ("net_income", "cfo", "total_assets")
 
 
 def company_years(pit: DataFrame, keys: tuple[str, ...] = ("entity_id",),
-                  visible: Column | None = None, foreign: DataFrame | None = None) -> DataFrame:
+                  visible: Column | None = None, foreign: DataFrame | None = None,
+                  abroad: Column | None = None) -> DataFrame:
     """Pivot the bitemporal table to one row per ``keys`` and fiscal year.
 
     Only visible first reports feed the figures. Whether a company files foreign forms is a
@@ -30,17 +31,17 @@ def company_years(pit: DataFrame, keys: tuple[str, ...] = ("entity_id",),
     one row per period end, so the window that spreads the foreign mark is bounded by days.
 
     A caller that has left rows out before hands in ``foreign``, the result of
-    :func:`foreign_marks` over all of them.
+    :func:`foreign_marks` over all of them, or ``abroad``, whether a row knows of a foreign form.
     """
     keys = list(keys)
     seen = F.col("is_first_report") if visible is None else visible
-    rows = pit.withColumn("_seen", F.coalesce(seen, F.lit(False)))
+    rows = pit.withColumn("_seen", F.coalesce(seen, F.lit(False))).withColumn(
+        "_abroad", F.col("form").isin(*fixed.FOREIGN_FORMS) if abroad is None else abroad)
 
     def figure(concept: str, name: str, column: str = "value") -> str:
         return f"max(if(_seen and concept = '{concept}', {column}, null)) as {name}"
 
     known = ", ".join(f"'{c}'" for c in ACCRUAL_CONCEPTS)
-    abroad = ", ".join(f"'{f}'" for f in fixed.FOREIGN_FORMS)
     pivoted = rows.groupBy(*keys, "period_end", "period_fiscal_year").agg(*map(F.expr, [
         *[f"max(if(_seen, {label}, null)) as {label}"
           for label in ("ticker", "company_name", "form")],
@@ -48,7 +49,7 @@ def company_years(pit: DataFrame, keys: tuple[str, ...] = ("entity_id",),
         figure("shares_diluted", "shares"),
         figure("shares_diluted", "shares_current_basis", "latest_reported_value"),
         f"max(if(_seen and concept in ({known}), first_filed_date, null)) as accrual_known_date",
-        f"max(form in ({abroad})) as _foreign", "max(_seen) as _kept"]))
+        "max(_abroad) as _foreign", "max(_seen) as _kept"]))
 
     if foreign is None:
         whole = pivoted.withColumn("is_foreign_filer", F.expr(

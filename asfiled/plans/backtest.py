@@ -2,7 +2,8 @@
 
 ``visible_years`` and ``strict_pit`` answer at two depths. The first keeps the lineage, canonical
 period and latest share count of the full history and hides only the fiscal years not yet filed.
-The second filters the facts themselves first, so nothing filed after the date can leak in.
+The second shows what a table built on that date would have held, so nothing filed later can leak
+in: ``strict_years`` reads it off the knowledge intervals, ``strict_pit`` is the table itself.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import materialise
 from ..operators.bitemporal import financials_pit
-from ..operators.volume import ROW_LIMIT
+from ..operators.knowledge import knowledge_intervals, known_on, unsettled_companies
+from ..operators.volume import ROW_LIMIT, match
 from ..operators.wide import company_years, foreign_marks
 from .scoring import score_years
 
@@ -68,9 +71,36 @@ def _strict(staged: DataFrame, named: DataFrame, row_limit: int,
 
 
 def strict_years(staged: DataFrame, events: DataFrame, row_limit: int = ROW_LIMIT,
-                 counted: DataFrame | None = None) -> DataFrame:
+                 counted: DataFrame | None = None, pit: DataFrame | None = None) -> DataFrame:
+    """One row per (event, company, fiscal year) as a rebuild from the facts filed by the as-of
+    date would give it.
+
+    ``pit`` is the bitemporal table of ``staged``, built here if it is not given. Its knowledge
+    intervals answer any number of events; only companies whose filings became known in parts are
+    rebuilt event by event. The canonical period is settled among the figures of the event, in the
+    partitioning that the pivot uses anyhow.
+    """
     named = _events(events)
-    return _told(company_years(_strict(staged, named, row_limit, counted), _SHORT_WORLD), named)
+    rebuilt = materialise(unsettled_companies(staged, row_limit), "unsettled")
+    pit = financials_pit(staged, row_limit=row_limit, counted=counted) if pit is None else pit
+    years = _years_known(knowledge_intervals(match(pit, rebuilt, ["entity_id"], "left_anti")),
+                         _short(named))
+    if not rebuilt.isEmpty():
+        again = match(staged, rebuilt, ["entity_id"], "left_semi")
+        years = years.unionByName(company_years(
+            _strict(again, named, row_limit, None), _SHORT_WORLD))
+    return _told(years, named)
+
+
+def _years_known(intervals: DataFrame, short: DataFrame) -> DataFrame:
+    known = intervals.join(short, (intervals["ticker"] == short["event_ticker"])
+                           & known_on(intervals, short["as_of_date"]))
+    year = f"partition by {', '.join(_SHORT_WORLD)}, period_fiscal_year"
+    supported = known.drop("event_ticker", "as_of_date").repartition(*_SHORT_WORLD).selectExpr(
+        "*", f"count_if(is_supported) over ({year}, period_end) as _support",
+    ).selectExpr("*", f"max(struct(_support, period_end)) over ({year}) as _top")
+    first = F.col("is_supported") & (F.col("period_end") == F.col("_top.period_end"))
+    return company_years(supported, _SHORT_WORLD, visible=first, abroad=F.col("is_foreign"))
 
 
 def panel(years: DataFrame) -> DataFrame:

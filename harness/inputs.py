@@ -145,7 +145,7 @@ class Inputs:
 
     @cached_property
     def strict_years(self) -> DataFrame:
-        return materialise(backtest.strict_years(self.staged, self.events, counted=self.facts), "strict_years")
+        return materialise(backtest.strict_years(self.staged, self.events, pit=self.pit), "strict_years")
 
     @cached_property
     def accrual_returns(self) -> DataFrame:

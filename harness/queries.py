@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from asfiled import fixed
 from asfiled.durable import fresh_path
-from asfiled.operators import bitemporal, pricing, staging, volume, wide
+from asfiled.operators import bitemporal, knowledge, pricing, staging, volume, wide
 from asfiled.plans import accruals, backtest, quality, scoring, universe
 from asfiled.plans import screener as screen
 from asfiled.sources import readers, writers
@@ -786,7 +786,44 @@ def _(x: Inputs) -> DataFrame:
 @register("strict_financials_as_of",
           after("strict_years", sql=f"select {_PANEL_COLUMNS} from years_strict"))
 def _(x: Inputs) -> DataFrame:
-    return backtest.panel(backtest.strict_years(x.staged, x.events, counted=x.facts))
+    return backtest.panel(backtest.strict_years(x.staged, x.events, pit=x.pit))
+
+
+@register("knowledge_intervals", after("pit", sql="""
+, days as (select distinct entity_id, concept, period_end, period_fiscal_year, filed_date as known_from
+  from pit),
+states as (
+  select d.*, arg_max(source_tag, (p.filed_date, coalesce(accession, ''))) as latest_tag,
+    count(distinct source_tag) as n_distinct_tags, bool_or(form in ('20-F', '20-F/A')) as is_foreign
+  from days d join pit p using (entity_id, concept, period_end)
+  where p.filed_date <= known_from group by all),
+lines as (
+  select s.entity_id, s.concept, s.period_end, known_from, count(*) as n_reports,
+    arg_min(p.value, (p.filed_date, coalesce(accession, '~'))) as value,
+    arg_min(p.form, (p.filed_date, coalesce(accession, '~'))) as form,
+    arg_min(accession is not null, (p.filed_date, coalesce(accession, '~'))) as is_supported,
+    arg_max(p.value, (p.filed_date, coalesce(accession, '~'))) as latest_reported_value,
+    min(p.filed_date) as first_filed_date
+  from states s join pit p on p.entity_id = s.entity_id and p.concept = s.concept
+    and p.period_end = s.period_end and p.source_tag = s.latest_tag and p.filed_date <= known_from
+  group by all)
+select entity_id, concept, period_end, known_from,
+  lead(known_from) over (partition by entity_id, concept, period_end order by known_from) as known_to,
+  period_fiscal_year, latest_tag, n_distinct_tags, n_reports, form, value, first_filed_date,
+  latest_reported_value, is_supported, is_foreign
+from states join lines using (entity_id, concept, period_end, known_from)"""))
+def _(x: Inputs) -> DataFrame:
+    return knowledge.knowledge_intervals(x.pit).drop("ticker", "company_name")
+
+
+@register("known_on_a_date", after("pit", sql="""
+select entity_id, period_fiscal_year, count(distinct (concept, period_end)) as n_figures
+from pit where filed_date <= date '2014-06-30' group by all"""))
+def _(x: Inputs) -> DataFrame:
+    intervals = knowledge.knowledge_intervals(x.pit)
+    day = F.lit("2014-06-30").cast("date")
+    return intervals.filter(knowledge.known_on(intervals, day)).groupBy(
+        "entity_id", "period_fiscal_year").agg(F.count(F.lit(1)).alias("n_figures"))
 
 
 @register("strict_scores_as_of",
