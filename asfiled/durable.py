@@ -12,6 +12,7 @@ from functools import lru_cache
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @lru_cache(maxsize=1)
@@ -36,6 +37,19 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet to a new folder and return a scan of what was written."""
     path = fresh_path(df.sparkSession, label)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    write_partitioned(df, path, partition_by)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def write_partitioned(df: DataFrame, path: str, partition_by: tuple[str, ...]) -> None:
+    """Write Parquet by the values of some columns, in few files of about the advisory size.
+
+    Rows are dealt by those columns first, else every task would add a file to every folder. The
+    hint leaves it to the runtime to split what is large and to merge what is small, so a value
+    that a third of all rows share is written by many tasks.
+    """
+    if partition_by:
+        even = df.hint("rebalance", *map(F.col, partition_by))
+        even.write.partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.parquet(path)

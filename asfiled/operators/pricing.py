@@ -1,10 +1,11 @@
 """As-of price lookup without a range join.
 
-Prices are folded to one row per (ticker, bucket of consecutive days) holding the bucket's closes
-by day. A search window is exactly one bucket long, so it touches two neighbouring buckets: two
-equi-joins that match at most one row each find every candidate. The fold is a map-side combined
-hash aggregate (a bucket of daily prices becomes one shuffled row), repeated price rows cannot
-multiply the other side, and a ticker with very many rows is spread over its buckets.
+Prices are folded to one row per (ticker, bucket of consecutive days) holding the closes by day of
+that bucket and of the next one. A search window is exactly one bucket long, so it lies within the
+row of the bucket it starts in: one equi-join that matches at most one row finds every candidate,
+and rows of the other side move at most once. The fold is a map-side combined hash aggregate (a
+bucket of daily prices becomes one shuffled row), repeated price rows cannot multiply the other
+side, and a ticker with very many rows is spread over its buckets.
 """
 
 from __future__ import annotations
@@ -16,15 +17,18 @@ from .. import fixed
 
 
 def fold_prices(prices: DataFrame, days: int = fixed.PRICE_TOLERANCE_DAYS + 1) -> DataFrame:
-    """(ticker, bucket, closes): ``closes[i]`` is the close of the bucket's day ``i``, or null.
+    """(ticker, bucket, closes): ``closes[i]`` is the close ``i`` days after the bucket's first
+    day, or null; the second half belongs to the next bucket.
 
     Of several closes for one ticker and day the highest is kept.
     """
-    placed = prices.selectExpr(
-        "ticker", "close", f"floor(unix_date(price_date) / {days}) as bucket",
-        f"pmod(unix_date(price_date), {days}) as _day")
-    daily = [F.expr(f"max(if(_day = {d}, close, null)) as _c{d}") for d in range(days)]
-    closes = ", ".join(f"_c{d}" for d in range(days))
+    placed = prices.filter("price_date is not null").selectExpr(
+        "ticker", "close", f"floor(unix_date(price_date) / {days}) as _own",
+        f"pmod(unix_date(price_date), {days}) as _at").selectExpr(
+        "ticker", "close", "_own", "_at", "explode(array(0, 1)) as _back").selectExpr(
+        "ticker", "close", "_own - _back as bucket", f"_at + {days} * _back as _day")
+    daily = [F.expr(f"max(if(_day = {d}, close, null)) as _c{d}") for d in range(2 * days)]
+    closes = ", ".join(f"_c{d}" for d in range(2 * days))
     return placed.groupBy("ticker", "bucket").agg(*daily).selectExpr(
         "ticker", "bucket", f"array({closes}) as closes")
 
@@ -42,14 +46,10 @@ def with_close(left: DataFrame, folded: DataFrame, day: Column, direction: str,
     start = F.unix_date(day) - (tolerance if direction == "backward" else 0)
     probe = left.withColumn("_start", start).withColumn(
         "_bucket", F.expr(f"floor(_start / {width})"))
-    here = folded.selectExpr("ticker as _t0", "bucket as _b0", "closes as _closes0")
-    following = folded.selectExpr("ticker as _t1", "bucket as _b1", "closes as _closes1")
-    found = (probe.join(here, F.expr("ticker = _t0 and _bucket = _b0"), "left")
-             .join(following, F.expr("ticker = _t1 and _bucket + 1 = _b1"), "left"))
-
-    blank = f"array_repeat(cast(null as double), {width})"
-    both = f"concat(coalesce(_closes0, {blank}), coalesce(_closes1, {blank}))"
-    window = f"slice({both}, cast(_start - _bucket * {width} + 1 as int), {width})"
+    near = folded.selectExpr("ticker as _quoted", "bucket as _in", "closes as _closes")
+    found = probe.join(near, F.expr("ticker = _quoted and _bucket = _in"), "left")
+
+    window = f"slice(_closes, cast(_start - _bucket * {width} + 1 as int), {width})"
     dated = (f"transform({window}, (close, i) -> if(close is null, null, "
              "struct(cast(_start + i as int) as day, close)))")
     pick = "array_max" if direction == "backward" else "array_min"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -94,6 +94,30 @@ def page(table: DataFrame, column: str = "red_flag_count", descending: bool = Tr
     return sort_by(table, column, descending, ties).offset(number * rows).limit(rows)
 
 
+def page_after(table: DataFrame, last: Row | None = None, column: str = "red_flag_count",
+               descending: bool = True, ties: tuple[str, ...] = ("entity_id", "period_fiscal_year"),
+               rows: int = fixed.PAGE_ROWS) -> DataFrame:
+    """The page behind the row ``last``, the last one shown; the first page without one.
+
+    A filter on the order's columns takes the place of an offset, so a deep page costs what the
+    first one does: every task keeps ``rows`` rows. The columns must tell rows apart.
+    """
+    if last is not None:
+        beyond, same = F.lit(False), F.lit(True)
+        for name, down in ((column, descending), *((t, False) for t in ties)):
+            text = name == column and table.schema[name].dataType.typeName() == "string"
+            key = F.lower(name) if text else F.col(name)
+            at = F.lit(last[name]).cast(table.schema[name].dataType)
+            at = F.lower(at) if text else at
+            # Null is the smallest value: last when descending, first otherwise.
+            further = (at.isNotNull() & (key.isNull() | (key < at)) if down
+                       else key.isNotNull() & (at.isNull() | (key > at)))
+            beyond = beyond | (same & F.coalesce(further, F.lit(False)))
+            same = same & key.eqNullSafe(at)
+        table = table.filter(beyond)
+    return sort_by(table, column, descending, ties).limit(rows)
+
+
 def default_order(table: DataFrame) -> DataFrame:
     return table.orderBy(F.desc("red_flag_count"), F.desc("period_fiscal_year"), "entity_id")
 

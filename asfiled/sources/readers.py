@@ -46,9 +46,11 @@ def read_screener(spark: SparkSession, path: str) -> DataFrame:
 # -- nested documents ------------------------------------------------------------------------
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(entity_id, payload): one whole JSON document per file, named after its company."""
+    """(entity_id, payload): one whole JSON document per file, named after its company or lying in
+    a folder ``entity_id=...`` of it."""
     text = spark.read.text(path, wholetext=True)
-    named = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1)
+    named = (F.col("entity_id").cast("string") if "entity_id" in text.columns
+             else F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1))
     return text.select(F.lpad(named, 10, "0").alias("entity_id"),
                        F.col("value").alias("payload"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed, schemas
+from ..durable import write_partitioned
 from ..operators.staging import concept_table
 
 
@@ -14,7 +15,7 @@ def write_facts(facts: DataFrame, companies: DataFrame, path: str,
                 partition_by: tuple[str, ...] = ("concept",)) -> None:
     """Attach names and write the fact table. ``companies`` must be unique per entity."""
     labelled = facts.join(companies, "entity_id").select(*schemas.FACTS.names)
-    labelled.write.partitionBy(*partition_by).parquet(path)
+    write_partitioned(labelled, path, partition_by)
 
 
 def write_prices(prices: DataFrame, path: str) -> None:
@@ -23,7 +24,7 @@ def write_prices(prices: DataFrame, path: str) -> None:
 
 def write_pit(pit: DataFrame, path: str) -> None:
     """The bitemporal table by fiscal year, so that year filters prune directories."""
-    pit.write.partitionBy("period_fiscal_year").parquet(path)
+    write_partitioned(pit, path, ("period_fiscal_year",))
 
 
 def _csv(df: DataFrame, path: str) -> None:

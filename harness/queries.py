@@ -150,7 +150,8 @@ def _(x: Inputs) -> DataFrame:
 
 @register("filings_to_facts", after("facts", sql=f"select {FACT_COLUMNS} from facts"))
 def _(x: Inputs) -> DataFrame:
-    """Documents of many tags, units and observations, through flattening, names, write and read."""
+    """Documents of many tags, units and observations, one file each, through reading, flattening,
+    names, write and read."""
     told = F.struct(
         F.col("period_start").cast("string").alias("start"),
         F.col("period_end").cast("string").alias("end"), F.col("value").alias("val"),
@@ -168,8 +169,9 @@ def _(x: Inputs) -> DataFrame:
     documents = folded(tags, ["entity_id"], "source_tag", F.struct("units"), "tags").select(
         "entity_id", F.to_json(F.struct(F.create_map(F.lit("us-gaap"), "tags").alias("facts")))
         .alias("payload"))
-    path = fresh_path(x.spark, "facts")
-    writers.write_facts(readers.flatten_filings(documents),
+    folder, path = fresh_path(x.spark, "documents"), fresh_path(x.spark, "facts")
+    documents.write.partitionBy("entity_id").text(folder)
+    writers.write_facts(readers.flatten_filings(readers.read_documents(x.spark, folder)),
                         x.companies.select("entity_id", "ticker", "company_name"), path)
     return readers.read_facts(x.spark, path)
 
@@ -390,14 +392,28 @@ def _(x: Inputs) -> DataFrame:
 
 # -- companies -------------------------------------------------------------------------------
 
-@register("full_universe", after("facts", sql="""
-select ticker from sectors where gics_sector is not null union select ticker from cases"""))
-def _(x: Inputs) -> DataFrame:
-    def listed(df: DataFrame) -> DataFrame:
-        return df.select(F.monotonically_increasing_id().alias("position"), "ticker")
+def _listed_companies(x: Inputs) -> DataFrame:
+    """Index members by number, every third one listed once more at the end, and one in lower case."""
+    again = F.when(F.col("s") % 3 == 0, F.struct((F.col("s") + 10 ** 9).alias("at"), "ticker"))
+    own = F.struct(F.col("s").cast("long").alias("at"),
+                   F.when(F.col("s") % 5 == 0, F.concat(F.lit(" "), F.lower("ticker"))).otherwise(
+                       F.col("ticker")).alias("ticker"))
+    return x.companies.select(F.explode(F.array_compact(F.array(own, again))).alias("_l")).select("_l.*")
+
 
-    index = x.sectors.filter("gics_sector is not null")
-    return universe.union_universe(listed(index), listed(x.case_studies)).select("ticker")
+_CASE_LIST = ", ".join(f"({i}, '{t}')" for i, t in enumerate(universe.LISTS["cases"]))
+
+
+@register("full_universe", after("facts", sql=f"""
+select row_number() over (order by lst, nth) as rank, ticker from (
+  select 0 as lst, s as nth, ticker from company
+  union all select 1, i, t from (values {_CASE_LIST}) c(i, t))"""))
+def _(x: Inputs) -> DataFrame:
+    """The order of lists that lie in several CSV files, through to numbers."""
+    folder = fresh_path(x.spark, "lists")
+    (_listed_companies(x).repartitionByRange(3, "at").sortWithinPartitions("at").select("ticker")
+     .write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(f"{folder}/sp500.csv"))
+    return universe.ranked(universe.named_universe(x.spark, "full", folder))
 
 
 def _asked(x: Inputs) -> DataFrame:
@@ -545,9 +561,11 @@ def _(x: Inputs) -> DataFrame:
 
 
 @register("search_sector_cases", after("screener", sql=f"""
-select {_SCREENER_SQL} from screener where gics_sector = 'NATION_1' and is_case_study"""))
+select {_SCREENER_SQL} from screener where is_case_study
+  and gics_sector = (select min(gics_sector) from screener where is_case_study)"""))
 def _(x: Inputs) -> DataFrame:
-    return screen.search(x.screener, sector="NATION_1", cases_only=True)
+    first = x.screener.filter("is_case_study").agg(F.min("gics_sector")).head()[0]
+    return screen.search(x.screener, sector=first or "", cases_only=True)
 
 
 @register("sort_screener", after("screener", sql=f"""
@@ -569,6 +587,17 @@ def _(x: Inputs) -> DataFrame:
     return screen.page(x.screener, "m_score", number=1)
 
 
+@register("screener_pages", after("screener", sql=f"""
+select {_SCREENER_SQL} from screener
+order by m_score desc nulls last, entity_id, period_fiscal_year limit 30 offset 60"""))
+def _(x: Inputs) -> DataFrame:
+    """The third page, each found from the last row of the one before."""
+    last = None
+    for _page in range(2):
+        last = screen.page_after(x.screener, last, "m_score", rows=30).tail(1)[0]
+    return screen.page_after(x.screener, last, "m_score", rows=30)
+
+
 @register("restatement_board", after("pit", sql=f"""
 select ticker, count(*) as reports, {_round_sql('restatement_rate')}, max(worst) as worst_move
 from (select ticker, avg(cast(was_restated as integer)) over (partition by ticker)
@@ -1039,12 +1068,16 @@ join expected e using (entity_id, accession, period_end)
 where is_first_report and concept = 'cogs'
   and (source_tag not like '%+%' or abs(value - total) > 1)"""))
 def _(x: Inputs) -> DataFrame:
+    return quality.wrong_component_sum(x.pit, _component_totals(x), 1.0).select(
+        *bitemporal.PIT_COLUMNS)
+
+
+def _component_totals(x: Inputs) -> DataFrame:
     parts = x.staged.filter("concept = 'cogs' and period_type = 'annual'").select(
         "ticker", "concept", "period_fiscal_year", "accession", "source_tag", "value").distinct()
-    totals = parts.groupBy("ticker", "concept", "period_fiscal_year", "accession").agg(
+    return parts.groupBy("ticker", "concept", "period_fiscal_year", "accession").agg(
         F.sum("value").alias("v")).groupBy("ticker", "concept", "period_fiscal_year").agg(
         F.max("v").alias("expected_value"))
-    return quality.wrong_component_sum(x.pit, totals, 1.0).select(*bitemporal.PIT_COLUMNS)
 
 
 @register("totals_beside_components", after("staged", sql="""
@@ -1196,6 +1229,26 @@ def _(x: Inputs) -> DataFrame:
         "not (period_type = 'annual' and period_fiscal_year = 2012)"))
 
 
+@register("planted_wrong_component_sums", after("pit", sql=f"""
+, parts as (
+  select distinct ticker, period_fiscal_year, accession, source_tag, value as v from staged
+  where concept = 'cogs' and period_type = 'annual'),
+expected as (
+  select ticker, period_fiscal_year, if(period_fiscal_year % 2 = 0, v + 2, v) as total
+  from (select ticker, period_fiscal_year, max(v) as v
+        from (select ticker, period_fiscal_year, accession, sum(v) as v from parts group by all)
+        group by all))
+select {', '.join('p.' + c for c in bitemporal.PIT_COLUMNS)} from pit p
+join expected e using (ticker, period_fiscal_year)
+where is_first_report and concept = 'cogs'
+  and (source_tag not like '%+%' or abs(value - total) > 1)"""))
+def _(x: Inputs) -> DataFrame:
+    """Sums of every second year are expected to be two units larger than they are."""
+    moved = _component_totals(x).withColumn("expected_value", F.col("expected_value") + F.when(
+        F.col("period_fiscal_year") % 2 == 0, 2).otherwise(0))
+    return quality.wrong_component_sum(x.pit, moved, 1.0).select(*bitemporal.PIT_COLUMNS)
+
+
 @register("planted_totals_beside_components", after("staged", sql="""
 select entity_id, concept, period_end, accession, count(*) as totals, count(*) as components
 from staged where combine_mode = 'sum' and period_type = 'annual' and period_fiscal_year = 2014

@@ -4,6 +4,7 @@ import random
 import pytest
 
 from asfiled import schemas
+from asfiled.functions.stats import normal_two_sided_p
 from asfiled.plans import backtest, quality
 from asfiled.plans import screener as screen
 
@@ -126,3 +127,29 @@ def test_strict_backtest_forgets_later_filings(spark, facts):
     assert backtest.visible_years(financials_pit(staged), events).count() == 0
     apart = backtest.strict_years(staged, events, row_limit=0).collect()
     assert [r.revenue for r in apart] == [70.0]
+
+
+@pytest.mark.parametrize("column,descending", [("m_score", True), ("m_score", False), ("gics_sector", False),
+                                               ("gics_sector", True), ("red_flag_count", True)])
+def test_pages_follow_each_other_by_the_last_row(spark, column, descending):
+    rng = random.Random(3)
+    rows = [(str(i), 2010 + i % 4, rng.choice([None, 0.5, -1.0, 2.25]), rng.choice([None, "Tech", "tech", "Oil"]),
+             rng.randrange(3)) for i in range(57)]
+    table = spark.createDataFrame(rows, "entity_id string, period_fiscal_year int, m_score double, "
+                                        "gics_sector string, red_flag_count int")
+    want = screen.sort_by(table, column, descending, ("entity_id", "period_fiscal_year")).collect()
+    got, last = [], None
+    while True:
+        page = screen.page_after(table, last, column, descending, rows=10).collect()
+        if not page:
+            break
+        got, last = got + page, page[-1]
+    assert got == want
+
+
+def test_p_values_are_those_of_the_error_function(spark):
+    values = [0.0, 1e-9, 0.1, 0.5, 1.0, 1.96, 2.5758, 3.3, 5.0, 7.01, 7.99, 8.5, 40.0, -1.96, -6.0]
+    df = spark.createDataFrame([(v,) for v in values], "t double").select(
+        "t", normal_two_sided_p("t").alias("p"))
+    for r in df.collect():
+        assert abs(r.p - math.erfc(abs(r.t) / math.sqrt(2))) < 1e-9

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from asfiled import fixed
-from asfiled.durable import fresh_path
+from asfiled.durable import fresh_path, write_partitioned
 from asfiled.plans import universe
 from asfiled.sources import readers, writers
 
@@ -117,3 +117,47 @@ def test_screener_csv_coercion(spark, tmp_path):
 def test_readers_do_not_share_a_growing_schema(spark, tmp_path):
     assert "detail_key" not in readers.schemas.SCREENER.names
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_a_list_keeps_its_order_over_files_and_splits(spark, tmp_path):
+    names = [f"N{i:05}" for i in range(3000)]
+    folder = tmp_path / "long.csv"
+    folder.mkdir()
+    for k, part in enumerate((names[:1400], names[1400:] + names[5:25] + [" n00001 ", ""])):
+        (folder / f"part-{k}.csv").write_text("ticker\n" + "\n".join(part) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        listed = universe.named_universe(spark, "long", str(tmp_path))
+        assert listed.rdd.getNumPartitions() > 8
+        ranked = universe.ranked(listed).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert [r.ticker for r in sorted(ranked)] == names
+    assert sorted(r["rank"] for r in ranked) == list(range(1, 3001))
+
+
+def test_partitioned_writes_make_few_files(spark, tmp_path):
+    """200 tasks of input; one value holds a third of the rows."""
+    rows = spark.range(0, 60_000, numPartitions=200).selectExpr(
+        "id", "if(id % 3 = 0, 'hot', concat('c', id % 20)) as concept", "repeat(md5(cast(id as string)), 3) as t")
+    write_partitioned(rows, str(tmp_path / "out"), ("concept",))
+    files = {f.name: len(list(f.glob("*.parquet"))) for f in (tmp_path / "out").iterdir() if f.is_dir()}
+    assert len(files) == 21 and max(files.values()) <= 2
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        write_partitioned(rows, str(tmp_path / "split"), ("concept",))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "split" / "concept=hot").glob("*.parquet"))) > 3
+    assert spark.read.parquet(str(tmp_path / "split")).count() == 60_000
+
+
+def test_documents_in_folders_of_their_companies(spark, tmp_path):
+    docs = spark.createDataFrame([("0000000007", '{"a": 1}'), ("0000000042", "x")], "entity_id string, p string")
+    docs.write.partitionBy("entity_id").text(str(tmp_path / "d"))
+    got = {r.entity_id: r.payload.strip() for r in readers.read_documents(spark, str(tmp_path / "d")).collect()}
+    assert got == {"0000000007": '{"a": 1}', "0000000042": "x"}
