@@ -76,10 +76,13 @@ def known_on(intervals: DataFrame, day: Column) -> Column:
 
 
 def unsettled_companies(staged: DataFrame, row_limit: int = ROW_LIMIT) -> DataFrame:
-    """Companies whose filings may have become known in parts, or that do not fit one task.
+    """Companies whose figures may have become known in parts, or that do not fit one task.
 
-    That is: a fact without accession or ticker, an accession with several filing dates, more than
-    one ticker, or more than ``row_limit`` rows. One narrow row per filing is shuffled.
+    That is: an accession with several filing dates, more than one ticker or none, or more than
+    ``row_limit`` rows; and facts without accession beside others of the same figure, or under a
+    form that only some of the company's filings have. (A figure told without accession only never
+    stands for a period, whenever it was told.) One narrow row per filing is shuffled, and the
+    figures that have a fact without accession.
     """
     annual = staged.filter(F.col("form").isin(*fixed.ANNUAL_FORMS)
                            & F.col("period_type").isin("annual", "instant"))
@@ -87,9 +90,18 @@ def unsettled_companies(staged: DataFrame, row_limit: int = ROW_LIMIT) -> DataFr
         F.min("filed_date").alias("_from"), F.max("filed_date").alias("_to"),
         F.min("ticker").alias("_low"), F.max("ticker").alias("_high"),
         F.max(F.col("ticker").isNull()).alias("_nameless"),
+        F.max(F.col("form").isin(*fixed.FOREIGN_FORMS)).alias("_abroad"),
+        F.min(F.col("form").isin(*fixed.FOREIGN_FORMS)).alias("_all_abroad"),
         F.count(F.lit(1)).alias("_rows"))
-    return filings.groupBy("entity_id").agg(
-        F.max(F.col("accession").isNull() | (F.col("_from") != F.col("_to"))
+    companies = filings.groupBy("entity_id").agg(
+        F.max(F.col("accession").isNotNull() & (F.col("_from") != F.col("_to"))
               | F.col("_nameless")).alias("_parts"),
-        F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.sum("_rows").alias("_rows")
-    ).filter(f"_parts or _low <> _high or _rows > {int(row_limit)}").select("entity_id")
+        F.max(F.col("accession").isNull()).alias("_unnumbered"),
+        (F.max("_abroad") != F.min("_all_abroad")).alias("_both"),
+        F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.sum("_rows").alias("_rows"))
+    figure = ["entity_id", "concept", "period_end"]
+    bare = annual.filter("accession is null").select(*figure).distinct()
+    mixed = annual.filter("accession is not null").join(bare, figure, "left_semi")
+    return (companies.filter(f"_parts or _low <> _high or _rows > {int(row_limit)} "
+                             "or (_unnumbered and _both)").select("entity_id")
+            .union(mixed.select("entity_id")).distinct())

@@ -71,20 +71,25 @@ def _strict(staged: DataFrame, named: DataFrame, row_limit: int,
 
 
 def strict_years(staged: DataFrame, events: DataFrame, row_limit: int = ROW_LIMIT,
-                 counted: DataFrame | None = None, pit: DataFrame | None = None) -> DataFrame:
+                 counted: DataFrame | None = None, intervals: DataFrame | None = None,
+                 unsettled: DataFrame | None = None) -> DataFrame:
     """One row per (event, company, fiscal year) as a rebuild from the facts filed by the as-of
     date would give it.
 
-    ``pit`` is the bitemporal table of ``staged``, built here if it is not given. Its knowledge
-    intervals answer any number of events; only companies whose filings became known in parts are
-    rebuilt event by event. The canonical period is settled among the figures of the event, in the
-    partitioning that the pivot uses anyhow.
+    ``intervals`` and ``unsettled`` are the knowledge intervals and unsettled companies of
+    ``staged``, written tables as a rule and worked out here where they are not given. They answer
+    any number of events; only unsettled companies are rebuilt event by event. The canonical
+    period is settled among the figures of the event, in the partitioning that the pivot uses
+    anyhow.
     """
     named = _events(events)
-    rebuilt = materialise(unsettled_companies(staged, row_limit), "unsettled")
-    pit = financials_pit(staged, row_limit=row_limit, counted=counted) if pit is None else pit
-    years = _years_known(knowledge_intervals(match(pit, rebuilt, ["entity_id"], "left_anti")),
-                         _short(named))
+    rebuilt = unsettled
+    if rebuilt is None:
+        rebuilt = materialise(unsettled_companies(staged, row_limit), "unsettled")
+    if intervals is None:
+        intervals = knowledge_intervals(financials_pit(staged, row_limit=row_limit, counted=counted))
+    settled = match(intervals, rebuilt, ["entity_id"], "left_anti")
+    years = _years_known(settled, _short(named))
     if not rebuilt.isEmpty():
         again = match(staged, rebuilt, ["entity_id"], "left_semi")
         years = years.unionByName(company_years(

@@ -53,6 +53,7 @@ def timed(x: Inputs) -> dict[str, float]:
         "score_detail": lambda: run(scoring.score_detail(x.scored)),
         "financials_as_of": lambda: x.visible_years,
         "scores_as_of": lambda: run(backtest.scores_as_of(x.visible_years, x.prices)),
+        "knowledge_intervals": lambda: (x.knowledge, x.unsettled),
         "strict_financials_as_of": lambda: x.strict_years,
         "strict_scores_as_of": lambda: run(backtest.scores_as_of(x.strict_years, x.prices)),
         "accrual_returns": lambda: x.accrual_returns,

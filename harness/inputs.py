@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from asfiled.durable import materialise
 from asfiled.operators.bitemporal import financials_pit
+from asfiled.operators.knowledge import knowledge_intervals, unsettled_companies
 from asfiled.operators.staging import stage_facts, stage_prices, stage_sectors
 from asfiled.plans import accruals, backtest, scoring
 from asfiled.plans import screener as screen
@@ -143,9 +144,21 @@ class Inputs:
     def visible_years(self) -> DataFrame:
         return materialise(backtest.visible_years(self.pit, self.events), "visible_years")
 
+    @cached_property
+    def knowledge(self) -> DataFrame:
+        return materialise(knowledge_intervals(self.pit), "knowledge")
+
+    @cached_property
+    def unsettled(self) -> DataFrame:
+        return materialise(unsettled_companies(self.staged), "unsettled")
+
+    def build_strict_years(self) -> DataFrame:
+        return backtest.strict_years(self.staged, self.events, intervals=self.knowledge,
+                                     unsettled=self.unsettled)
+
     @cached_property
     def strict_years(self) -> DataFrame:
-        return materialise(backtest.strict_years(self.staged, self.events, pit=self.pit), "strict_years")
+        return materialise(self.build_strict_years(), "strict_years")
 
     @cached_property
     def accrual_returns(self) -> DataFrame:

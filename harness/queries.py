@@ -815,7 +815,7 @@ def _(x: Inputs) -> DataFrame:
 @register("strict_financials_as_of",
           after("strict_years", sql=f"select {_PANEL_COLUMNS} from years_strict"))
 def _(x: Inputs) -> DataFrame:
-    return backtest.panel(backtest.strict_years(x.staged, x.events, pit=x.pit))
+    return backtest.panel(x.build_strict_years())
 
 
 @register("knowledge_intervals", after("pit", sql="""
@@ -849,7 +849,7 @@ def _(x: Inputs) -> DataFrame:
 select entity_id, period_fiscal_year, count(distinct (concept, period_end)) as n_figures
 from pit where filed_date <= date '2014-06-30' group by all"""))
 def _(x: Inputs) -> DataFrame:
-    intervals = knowledge.knowledge_intervals(x.pit)
+    intervals = x.knowledge
     day = F.lit("2014-06-30").cast("date")
     return intervals.filter(knowledge.known_on(intervals, day)).groupBy(
         "entity_id", "period_fiscal_year").agg(F.count(F.lit(1)).alias("n_figures"))

@@ -35,7 +35,12 @@ def filings(rng, companies=6, odd=False):
                             "form": rng.choice(["10-K", "10-K", "20-F"]), "accession": accession,
                             "value": float(rng.choice([100, 200, 300, 7.9, 0.1]))})
     if odd:
-        for r in rng.sample(rows, 6):
+        # Some figures without accession only, some with and without.
+        for r in rows:
+            if r["concept"] == "net_income" and int(r["entity_id"]) % 2:
+                r["accession"] = None
+                r["form"] = "10-K"
+        for r in rng.sample(rows, 3):
             r["accession"] = None
         for r in rng.sample(rows, 3):
             r["filed_date"] = "2016-05-05"
@@ -98,10 +103,14 @@ def test_unsettled_companies(facts):
             {**plain, "entity_id": "3", "accession": "A", "filed_date": "2016-03-03"},
             {**plain, "entity_id": "4", "ticker": "X"}, {**plain, "entity_id": "4", "ticker": "Y"},
             {**plain, "entity_id": "5", "form": "8-K", "accession": None},
-            {**plain, "entity_id": "6", "ticker": None}]
+            {**plain, "entity_id": "6", "ticker": None}, {**plain, "entity_id": "2"},
+            {**plain, "entity_id": "7"}, {**plain, "entity_id": "7", "concept": "cogs", "accession": None,
+                                          "source_tag": "CostOfServices"},
+            {**plain, "entity_id": "8"}, {**plain, "entity_id": "8", "concept": "cogs", "accession": None,
+                                          "form": "20-F"}]
     staged = stage_facts(facts(*rows))
-    assert {r[0] for r in unsettled_companies(staged).collect()} == {"2", "3", "4", "6"}
-    assert unsettled_companies(staged, 0).count() == 5
+    assert {r[0] for r in unsettled_companies(staged).collect()} == {"2", "3", "4", "6", "8"}
+    assert unsettled_companies(staged, 0).count() == 7
 
 
 def test_no_facts(facts, spark):

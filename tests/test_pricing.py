@@ -49,18 +49,3 @@ def test_copies_of_a_price_do_not_multiply_rows(spark):
     got = with_close(left, fold_prices(table), F.col("day"), "backward", "found", "close")
     assert got.count() == 20
 
-
-def test_rows_of_the_other_side_move_once_per_lookup(spark):
-    table = spark.createDataFrame([("A", dt.date(2016, 12, 30), 5.0)],
-                                  "ticker string, price_date date, close double")
-    left = spark.createDataFrame([("A", dt.date(2017, 1, 1))], "ticker string, day date")
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = with_close(left, fold_prices(table), F.col("day"), "backward", "found", "close") \
-            ._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert plan.count("SortMergeJoin") == 1
-    # One exchange on each side; the fold's own serves the join, too.
-    assert plan.count("Exchange hashpartitioning(ticker") == 2
