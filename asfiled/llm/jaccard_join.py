@@ -44,8 +44,10 @@ CHUNK = 2000
 SPINES, PIVOTS = 2, 4
 #: Pairs a task remembers having told; beyond that it may repeat some.
 _TOLD = 300_000
-#: Bits of the filter that spares most documents the second look.
+#: Bits of the filters that spare most documents the second look and most bitmaps the shuffle.
 _FILTER_BITS = 1 << 23
+#: Tasks among which the trees of one anchor are dealt.
+_SALTS = 8
 
 
 def frequency_levels(docs: DataFrame, size: int, text: str) -> np.ndarray:
@@ -134,8 +136,8 @@ def _allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .join(sizes.selectExpr("set_id as v", "n as n_v"), "v")
             .filter(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)"))
     near = materialise(near.select("u", "v", "n_u", "n_v"), "near")
-    named = near.select(F.col("u").alias("set_id")).union(near.select("v")).distinct()
-    bits = materialise(sets.select("set_id", "bits").join(named, "set_id", "left_semi"), "bits")
+    bits = materialise(_bits_of(near.select(F.col("u").alias("set_id")).union(near.select("v")),
+                                sets), "bits")
     both = (near.join(bits.selectExpr("set_id as u", "bits as bits_u"), "u")
             .join(bits.selectExpr("set_id as v", "bits as bits_v"), "v")
             .select("u", "v", "n_u", "n_v", "bits_u", "bits_v"))
@@ -150,9 +152,27 @@ def _allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def _filter_of(hashes: DataFrame) -> np.ndarray:
+def _bits_of(named: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set_id, bits) of the named sets; a filter of fixed size keeps most others unshuffled."""
+    named = named.distinct()
+    wanted = sets.sparkSession.sparkContext.broadcast(_filter_of(named, "set_id"))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(_passes(batch.column(0), wanted.value))
+
+    some = sets.select("set_id", "bits").mapInArrow(run, "set_id long, bits binary")
+    return some.join(named, "set_id", "left_semi")
+
+
+def _passes(hashes: pa.Array, wanted: np.ndarray) -> pa.Array:
+    at = hashes.to_numpy() % _FILTER_BITS
+    return pa.array((wanted[at >> 3] >> (at & 7)) & 1 == 1)
+
+
+def _filter_of(hashes: DataFrame, name: str = "text_hash") -> np.ndarray:
     """A bit for each hash, in a bitmap of fixed size."""
-    words = (hashes.selectExpr(f"pmod(text_hash, {_FILTER_BITS}L) as b").groupBy(
+    words = (hashes.selectExpr(f"pmod({name}, {_FILTER_BITS}L) as b").groupBy(
         F.expr("cast(b div 64 as int)").alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits")).toArrow())
     table = np.zeros(_FILTER_BITS // 64, np.int64)
@@ -170,8 +190,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, perce
     def tokens(batches):
         wanted = bits.value
         for batch in bounded_batches(batches):
-            at = batch.column(0).to_numpy() % _FILTER_BITS
-            batch = batch.filter(pa.array((wanted[at >> 3] >> (at & 7)) & 1 == 1))
+            batch = batch.filter(_passes(batch.column(0), wanted))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(
                     [shingle_set(t, size).tobytes()
@@ -263,8 +282,7 @@ def _tree_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, percent:
         F.min(F.struct("key", "a")).alias("one"))
     chosen = once.select("one.key", "tree", F.col("one.a").alias("anchor"), F.ceil(F.col("held") / CHUNK).cast("int").alias("chunks"))
     narrow = materialise(rows.join(chosen, ["key", "tree"]), "trees")
-    wide = sets.select("set_id", "bits").join(narrow.select("set_id").distinct(), "set_id",
-                                              "left_semi")
+    wide = _bits_of(narrow.select("set_id"), sets)
     spread = (narrow.join(wide, "set_id")
               .withColumn("chunk", F.pmod(F.xxhash64("set_id"), "chunks").cast("int"))
               .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
@@ -272,8 +290,10 @@ def _tree_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, percent:
                           "anchor", "chunk", "component", "n", "set_id", "below", "bits"))
     group = ["key", "tree", "i", "j"]
     # Blocks of one group of copies mostly have the same first component. Their trees, by pairs of
-    # chunks, go to one task each, one after the other, so that a pair seen before is not told again.
-    dealt = spread.repartition("anchor", "tree", "i", "j").sortWithinPartitions(
+    # chunks, go to a few tasks, one after the other, so that a pair seen before is told again a
+    # few times at most.
+    salt = F.pmod(F.xxhash64("key"), F.lit(_SALTS))
+    dealt = spread.repartition("anchor", "tree", "i", "j", salt).sortWithinPartitions(
         "anchor", *group, "chunk", "component", "n")
 
     def trees(rows: list[dict]):
