@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rows import ascii_lower, text_key
+from .rows import fresh, ascii_lower, text_key
 
 #: Words after lower-casing A-Z, and the same words in a text as it stands.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -119,24 +119,25 @@ def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents",
     """``docs`` without the benchmark: without the documents that hold any of it, or, with
     ``remove="spans"``, without the hit words and what stands between and after them.
 
-    Clean rows come out as they are, also null and empty texts. Columns stay those of ``docs``.
+    Clean rows come out as they are, also null and empty texts. Columns stay those of ``docs``,
+    whatever they are named.
     """
+    doc, key, own, spans = fresh(docs, "_doc", "_key", "_own_key", "_spans")
     found = (contamination(docs, items, size, doc_id, text, item_id, item_text)
-             .filter("contaminated").select(F.col(doc_id).alias("_doc"),
-                                            F.col("text_key").alias("_key"),
-                                            F.col("spans").alias("_spans"))
-             .dropDuplicates(["_doc", "_key"]))
-    keyed = docs.withColumn("_own_key", text_key(doc_id, text))
-    same = keyed[doc_id].eqNullSafe(found["_doc"]) & (F.col("_own_key") == F.col("_key"))
+             .filter("contaminated").select(F.col(doc_id).alias(doc), F.col("text_key").alias(key),
+                                            F.col("spans").alias(spans))
+             .dropDuplicates([doc, key]))
+    keyed = docs.withColumn(own, text_key(doc_id, text))
+    same = keyed[doc_id].eqNullSafe(found[doc]) & (F.col(own) == F.col(key))
     if remove == "documents":
-        return keyed.join(found, same, "left_anti").drop("_own_key")
+        return keyed.join(found, same, "left_anti").drop(own)
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
     pieces = F.regexp_extract_all(F.col(text), F.lit(WORD_AND_REST), F.lit(0))
     # A leading piece without a word has number 0, the first word number 1.
     first = F.when(F.col(text).rlike(rf"^[{_PLAIN}]"), 0).otherwise(1)
     rest = F.filter(pieces, lambda _, i: ~F.exists(
-        "_spans", lambda s: (i + first).between(s["start"], s["end"])))
-    clean = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.array_join(rest, ""))
+        spans, lambda s: (i + first).between(s["start"], s["end"])))
+    clean = F.when(F.col(spans).isNull(), F.col(text)).otherwise(F.array_join(rest, ""))
     return (keyed.join(found, same, "left")
             .select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns]))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import materialise
-from .rows import append, bounded_batches, schema_of, text_key, without
+from .rows import fresh, append, bounded_batches, schema_of, text_key, without
 from .shingles import LOWER_BYTES, word_hashes
 
 OFFSETS = (-2, -1, 1, 2)
@@ -334,9 +334,11 @@ def score_documents(docs: DataFrame, words: Vocabulary, network: Network,
     shared = docs.sparkSession.sparkContext.broadcast((replace(words, rare=None), network))
     if words.rare is not None:
         key = text_key(doc_id, text) if doc_id in source.columns else F.xxhash64(text)
-        source = source.withColumns({"_key": key, "_check": F.hash(text).cast("long")})
-        rare = _rare_shares(source, words, shared, text)
-        keep = [*keep, "_key", "_check"]
+        own, check, more = fresh(source, "_key", "_check", "_more")
+        source = source.withColumns({own: key, check: F.hash(text).cast("long")})
+        rare = _rare_shares(source.select(F.col(own).alias("_key"), F.col(check).alias("_check"), text),
+                            words, shared, text).toDF(own, check, more)
+        keep = [*keep, own, check]
 
     def run(batches):
         vocabulary, net = shared.value
@@ -357,8 +359,8 @@ def score_documents(docs: DataFrame, words: Vocabulary, network: Network,
     scored = source.mapInArrow(run, schema_of(source, keep, ddl))
     if words.rare is None:
         return scored
-    total = F.col("pseudo_log_likelihood") + F.coalesce("_more", F.lit(0.0))
-    return (scored.join(rare, ["_key", "_check"], "left")
+    total = F.col("pseudo_log_likelihood") + F.coalesce(more, F.lit(0.0))
+    return (scored.join(rare, [own, check], "left")
             .withColumns({"pseudo_log_likelihood": total,
                           "per_token": F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))})
-            .drop("_key", "_check", "_more"))
+            .drop(own, check, more))

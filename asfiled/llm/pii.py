@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import materialise
-from .rows import text_key
+from .rows import fresh, text_key
 
 # Titles that announce a name, by gender.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Господин", "Κύριος")
@@ -223,17 +223,18 @@ def replace_entities(docs: DataFrame, key: str, doc_id: str = "doc_id", text: st
 
     Texts without entities, null and empty ones come out as they are. Rows are told by id and
     text; a null id is fine, repeated rows are treated alike. Texts are read whole. Other columns
-    stay; one named like ``count`` is replaced.
+    stay whatever they are named; one named like ``count`` is replaced.
     """
+    hits, own, doc, row, moved = fresh(docs, "_found", "_own", "_doc", "_key", "_later")
     secret = "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
     kept = [c for c in docs.columns if count is None or c.lower() != count.lower()]
     pattern = _quoted(PATTERN)
-    found = docs.withColumn("_found", F.expr(
+    found = docs.withColumn(hits, F.expr(
         f"if({hinted(f'`{text}`')}, regexp_extract_all(`{text}`, {pattern}, 0), "
         "cast(array() as array<string>))"))
-    occurrences = found.filter("size(_found) > 0").select(
+    occurrences = found.filter(f"size({hits}) > 0").select(
         F.col(doc_id).alias("_doc"), text_key(doc_id, text).alias("_key"),
-        F.explode(F.array_distinct("_found")).alias("m")).select(
+        F.explode(F.array_distinct(hits)).alias("m")).select(
         "_doc", "_key", F.explode(F.expr(parts_of("m"))).alias("e")).select("_doc", "_key", "e.*")
     later = materialise(_settled(occurrences.select("kind", "payload"), secret), "later")
 
@@ -241,18 +242,19 @@ def replace_entities(docs: DataFrame, key: str, doc_id: str = "doc_id", text: st
     if not later.isEmpty():
         looked_up = (occurrences.join(later, ["kind", "payload"])
                      .groupBy("_doc", "_key").agg(F.map_from_entries(F.collect_set(F.struct(
-                         F.concat_ws(":", "kind", "payload"), "attempt"))).alias("_later")))
-        own = text_key(doc_id, text)
-        found = (found.withColumn("_own", own).join(looked_up, found[doc_id].eqNullSafe(
-            looked_up["_doc"]) & (F.col("_own") == F.col("_key")), "left"))
-        attempt = "coalesce(element_at(_later, concat_ws(':', e.kind, e.payload)), 0)"
+                         F.concat_ws(":", "kind", "payload"), "attempt"))).alias("_later"))
+                     .toDF(doc, row, moved))
+        found = found.withColumn(own, text_key(doc_id, text))
+        found = found.join(looked_up, found[doc_id].eqNullSafe(looked_up[doc])
+                           & (F.col(own) == F.col(row)), "left")
+        attempt = f"coalesce(element_at({moved}, concat_ws(':', e.kind, e.payload)), 0)"
     replaced = f"transform({parts_of('m')}, e -> {surrogate('e.kind', 'e.payload', attempt, secret)})"
     # What stands between the occurrences, and the occurrences, take turns.
-    whole = f"""if(size(_found) > 0, array_join(flatten(zip_with(
+    whole = f"""if(size({hits}) > 0, array_join(flatten(zip_with(
         split(`{text}`, {pattern}, -1),
-        transform(_found, m -> transform(array({replaced}), r -> {laid_out('m', 'r')})[0]),
+        transform({hits}, m -> transform(array({replaced}), r -> {laid_out('m', 'r')})[0]),
         (gap, m) -> array(gap, coalesce(m, '')))), ''), `{text}`)"""
     columns = [F.expr(whole).alias(c) if c == text else F.col(c) for c in kept]
     if count is not None:
-        columns.append(F.greatest(F.size("_found"), F.lit(0)).cast("long").alias(count))
+        columns.append(F.greatest(F.size(hits), F.lit(0)).cast("long").alias(count))
     return found.select(*columns)

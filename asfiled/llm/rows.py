@@ -25,6 +25,14 @@ def without(df: DataFrame, names: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in made]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``df`` has one of them; for columns on the way only."""
+    taken, mark = {c.lower() for c in df.columns}, ""
+    while any((n + mark).lower() in taken for n in names):
+        mark += "_"
+    return [n + mark for n in names]
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
