@@ -2,7 +2,8 @@
 
 Every word is hidden in turn and predicted from the words around it; the sum of the log
 probabilities of the words that stood there scores the document. The network adds up an embedding
-for each word and offset of the window and applies a softmax over word classes: the most frequent
+for each word and offset of the window and applies a softmax of two levels, groups of word classes
+and the classes of a group: the most frequent
 words of the corpus are classes of their own, all others share classes by their hash. A word's
 probability is that of its class, times its share of the class. Shares come from the counts of all
 words: ``count / (N + s + 1)`` with the ``N`` occurrences in the class and its ``s`` words seen
@@ -31,6 +32,8 @@ from .shingles import LOWER_BYTES, word_hashes
 
 OFFSETS = (-2, -1, 1, 2)
 _BATCH, _PARTS, _SALTS = 1024, 16, 64
+#: The bias of a place that no class has.
+_NEVER = -1e30
 
 
 @dataclass
@@ -147,22 +150,36 @@ def _unsigned(column) -> np.ndarray:
 
 
 class Network:
-    """Arrays ``e`` (offset, class or outside, width), ``w`` (width, class), ``b`` (class)."""
+    """Arrays ``e`` (offset, class or outside, width), ``w`` (width, group), ``b`` (group), ``v``
+    (group, width, member) and ``c`` (group, member).
+
+    The softmax has two levels: log P(class) = log P(group) + log P(class | group), with about as
+    many groups as members. Class ``k`` is member ``k % size`` of group ``k // size``; places of
+    the last group that no class has are so unlikely that they weigh nothing.
+    """
 
     def __init__(self, classes: int, width: int, seed: int):
         rng = np.random.default_rng(seed)
+        self.classes, self.size = classes, max(1, int(np.ceil(classes ** 0.5)))
+        groups = -(-classes // self.size)
         self.e = rng.normal(0, 0.1, (len(OFFSETS), classes + 1, width)).astype(np.float32)
-        self.w = rng.normal(0, 0.1, (width, classes)).astype(np.float32)
-        self.b = np.zeros(classes, np.float32)
+        self.w = rng.normal(0, 0.1, (width, groups)).astype(np.float32)
+        self.b = np.zeros(groups, np.float32)
+        self.v = rng.normal(0, 0.1, (groups, width, self.size)).astype(np.float32)
+        self.c = np.zeros((groups, self.size), np.float32)
+        self.c.ravel()[classes:] = _NEVER
+
+    def _arrays(self) -> tuple[np.ndarray, ...]:
+        return self.e, self.w, self.b, self.v, self.c
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.e.ravel(), self.w.ravel(), self.b])
+        return np.concatenate([a.ravel() for a in self._arrays()])
 
     def load(self, flat: np.ndarray) -> Network:
-        a, b = self.e.size, self.e.size + self.w.size
-        self.e = flat[:a].reshape(self.e.shape).astype(np.float32)
-        self.w = flat[a:b].reshape(self.w.shape).astype(np.float32)
-        self.b = flat[b:].astype(np.float32)
+        at = 0
+        for a in self._arrays():
+            a[...] = flat[at:at + a.size].reshape(a.shape)
+            at += a.size
         return self
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
@@ -172,47 +189,103 @@ class Network:
         return h
 
     def logits(self, h: np.ndarray) -> np.ndarray:
-        """Scores of all classes, none so large that its exponential overflows."""
-        z = np.column_stack([h, np.ones(len(h), np.float32)]) @ np.vstack([self.w, self.b])
-        reach = (np.sqrt((h * h).sum(axis=1).max(initial=0) * (self.w * self.w).sum(axis=0).max())
-                 + np.abs(self.b).max())
-        if not reach < 80:  # a bound on every score; only then is the maximum looked for
-            z -= z.max(axis=1, keepdims=True)
-        return z
+        """Log probabilities of all classes."""
+        outer, inner = h @ self.w + self.b, np.einsum("nd,gdk->ngk", h, self.v) + self.c
+        outer, inner = (z - np.log(t) for z, _, t in (_exponentials(z, False) for z in (outer, inner)))
+        return (outer[:, :, None] + inner).reshape(len(h), -1)[:, :self.classes]
+
+    def tame(self) -> bool:
+        """Whether no window at all gives a score whose exponential leaves the range of floats."""
+        h = sum(np.sqrt((e * e).sum(axis=1).max()) for e in self.e)
+        used = self.c[self.c > _NEVER / 2]
+        return bool(h * np.sqrt((self.w * self.w).sum(axis=0).max()) + np.abs(self.b).max() < 80
+                    and h * np.sqrt((self.v * self.v).sum(axis=1).max()) + np.abs(used).max() < 80)
 
     def log_probabilities(self, around: np.ndarray, center: np.ndarray) -> np.ndarray:
-        """Log probability of each center given its window, by blocks that stay in the cache."""
-        out = np.empty(len(center))
-        for at in range(0, len(center), _BATCH // 2):
-            part = slice(at, at + _BATCH // 2)
-            z = self.logits(self.hidden(around[part]))
-            own = z[np.arange(len(z)), center[part]]
-            out[part] = own - np.log(np.exp(z, out=z).sum(axis=1))
+        """Log probability of each center given its window, by blocks that stay in the cache.
+
+        Each word is worked out by itself, so it does not matter what shares its block.
+        """
+        out, tame = np.empty(len(center)), self.tame()
+        for at in range(0, len(center), _BATCH):
+            part = slice(at, at + _BATCH)
+            h = self.hidden(around[part])[:, None]
+            group, member = np.divmod(center[part], self.size)
+            n, logs = np.arange(len(h)), 0.0
+            for z, own in ((np.einsum("nd,dg->ng", h[:, 0], self.w) + self.b, group),
+                           ((h @ self.v[group])[:, 0] + self.c[group], member)):
+                z, _, total = _exponentials(z, tame)
+                logs = logs + z[n, own] - np.log(total[:, 0])
+            out[part] = logs
         return out
 
     def learn(self, around: np.ndarray, center: np.ndarray, memory: Network, rate: float) -> None:
         """One step on a batch; ``memory`` holds the sums of squared gradients."""
-        n = np.arange(len(center))
-        h = self.hidden(around)
-        p = self.logits(h)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True) * len(center)
-        p[n, center] -= 1 / len(center)
-        back = p @ self.w.T
-        grown = np.zeros_like(self.e)
-        for o in range(len(OFFSETS)):
-            np.add.at(grown[o], around[:, o], back)
-        for value, past, gradient in ((self.e, memory.e, grown), (self.w, memory.w, h.T @ p),
-                                      (self.b, memory.b, p.sum(axis=0))):
+        n, scale = np.arange(len(center)), np.float32(1 / len(center))
+        group, member = np.divmod(center, self.size)
+        h, tame = self.hidden(around), self.tame()
+
+        def step(value, past, gradient):
             past += gradient * gradient
             value -= rate * gradient / np.sqrt(past + 1e-8)
 
-
-def windows(ids: np.ndarray, outside: int) -> np.ndarray:
-    """The classes around each word; beyond the ends of a text stands ``outside``."""
+        _, p, total = _exponentials(h @ self.w + self.b, tame)
+        p *= scale / total
+        p[n, group] -= scale
+        back = p @ self.w.T
+        step(self.w, memory.w, h.T @ p)
+        step(self.b, memory.b, p.sum(axis=0))
+        # The words of each group side by side, as many places for each as the largest one needs.
+        order, first, met = _by_value(group)
+        held = np.diff(np.r_[first, len(order)])
+        at = np.empty_like(order)
+        at[order] = np.repeat(met * held.max() - first, held) + n
+        some = np.zeros((len(self.b) * held.max(), h.shape[1]), np.float32)
+        some[at] = h
+        some = some.reshape(len(self.b), -1, h.shape[1])
+        _, full, total = _exponentials(some @ self.v + self.c[:, None], tame)
+        used = np.zeros((len(some[0]) * len(some), 1), np.float32)
+        used[at] = scale
+        full *= used.reshape(total.shape) / total
+        full.reshape(-1, self.size)[at, member] -= scale
+        back += (full @ self.v.transpose(0, 2, 1)).reshape(-1, h.shape[1])[at]
+        step(self.v, memory.v, some.transpose(0, 2, 1) @ full)
+        step(self.c, memory.c, full.sum(axis=1))
+        for o in range(len(OFFSETS)):  # only the embeddings that the batch meets
+            order, first, met = _by_value(around[:, o])
+            gradient = np.add.reduceat(back[order], first, axis=0)
+            past = memory.e[o][met] + gradient * gradient
+            memory.e[o][met] = past
+            self.e[o][met] -= rate * gradient / np.sqrt(past + 1e-8)
+
+
+def _exponentials(z: np.ndarray, tame: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores, their exponentials and the sums of these along the last axis; ``tame`` scores are
+    taken as they are, others less the largest one."""
+    if not tame:
+        z = z - z.max(axis=-1, keepdims=True)
+    e = np.exp(z)
+    return z, e, e @ np.ones((z.shape[-1], 1), np.float32)
+
+
+def _by_value(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by value, where each distinct value starts in it, and these values."""
+    order = np.argsort(values, kind="stable")
+    held = values[order]
+    first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+    return order, first, held[first]
+
+
+def windows(ids: np.ndarray, outside: int, sizes: np.ndarray | None = None) -> np.ndarray:
+    """The classes around each word; beyond the ends of a text stands ``outside``. ``sizes`` are
+    the numbers of words of texts that follow one another in ``ids``; without them it is one."""
+    sizes = np.array([len(ids)]) if sizes is None else sizes
     reach = max(map(abs, OFFSETS))
-    padded = np.pad(ids, reach, constant_values=outside)
-    return np.stack([padded[reach + o:reach + o + len(ids)] for o in OFFSETS], axis=1)
+    # Every text is followed, and the first one preceded, by places outside.
+    at = np.arange(len(ids)) + reach * (1 + np.repeat(np.arange(len(sizes)), sizes))
+    padded = np.full(len(ids) + reach * (len(sizes) + 1), outside)
+    padded[at] = ids
+    return np.stack([padded[at + o] for o in OFFSETS], axis=1)
 
 
 def _trained(docs: DataFrame, words: Vocabulary, network: Network, stride: int, phase: int,
@@ -228,22 +301,27 @@ def _trained(docs: DataFrame, words: Vocabulary, network: Network, stride: int,
         held, waiting, seen = [], 0, 0
 
         def step():
-            around = np.concatenate([a for a, _ in held])
-            center = np.concatenate([c for _, c in held])
+            around, center = (np.concatenate(c) for c in zip(*held))
             for at in range(0, len(center), _BATCH):
                 own.learn(around[at:at + _BATCH], center[at:at + _BATCH], memory, rate)
             return len(center)
 
-        for batch in bounded_batches(batches):
-            for value in batch.column(0).to_pylist():
-                ids = vocabulary.of(value)
-                # An offset from the text itself: texts of few words take turns as well.
-                pick = slice((phase + crc32((value or "").encode())) % stride, None, stride)
-                held.append((windows(ids, vocabulary.classes)[pick], ids[pick]))
-                waiting += len(held[-1][1])
-                if waiting >= 16 * _BATCH:
-                    seen += step()
-                    held, waiting = [], 0
+        for batch in bounded_batches(batches, 4 << 20):
+            texts = batch.column(0).to_pylist()
+            hashes = [vocabulary.hashes(t) for t in texts]
+            if not hashes:
+                continue
+            sizes = np.array([len(h) for h in hashes], np.int64)
+            ids = vocabulary.classes_of(np.concatenate(hashes))
+            # An offset from the text itself: texts of few words take turns as well.
+            turn = np.array([crc32((t or "").encode()) % stride for t in texts], np.int64)
+            place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            pick = (place - phase - np.repeat(turn, sizes)) % stride == 0
+            held.append((windows(ids, vocabulary.classes, sizes)[pick], ids[pick]))
+            waiting += len(held[-1][1])
+            if waiting >= 16 * _BATCH:
+                seen += step()
+                held, waiting = [], 0
         if waiting:
             seen += step()
         if seen:
@@ -346,11 +424,11 @@ def score_documents(docs: DataFrame, words: Vocabulary, network: Network,
             hashes = [vocabulary.hashes(t)
                       for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             sizes = np.array([len(h) for h in hashes], np.int64)
-            sums = np.zeros(len(hashes))
-            for i in np.flatnonzero(sizes):  # in blocks of its own, so that equal texts score alike
-                ids = vocabulary.classes_of(hashes[i])
-                sums[i] = (net.log_probabilities(windows(ids, vocabulary.classes), ids)
-                           + vocabulary.shares(hashes[i])[0]).sum()
+            h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+            ids = vocabulary.classes_of(h)
+            logs = (net.log_probabilities(windows(ids, vocabulary.classes, sizes), ids)
+                    + vocabulary.shares(h)[0])
+            sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs, len(sizes))
             yield append(batch, keep, {
                 "n_tokens": pa.array(sizes), "pseudo_log_likelihood": pa.array(sums),
                 "per_token": pa.array(sums / np.maximum(sizes, 1), mask=sizes == 0)})
