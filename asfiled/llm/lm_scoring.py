@@ -61,13 +61,15 @@ class Vocabulary:
         """The class of each word."""
         return self.classes_of(self.hashes(text))
 
-    def shares(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def shares(self, h: np.ndarray, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Log shares of words in their classes, and which words only ``rare`` tells; those count
-        as never seen here."""
-        own, (at, common) = _found(self.frequent, h)[1], _found(self.common, h)
-        c = (h % np.uint64(self.shared)).astype(np.int64)
-        logs = np.where(common, self.logs[at] if len(self.logs) else 0.0, self.unseen[c]) - self.total[c]
-        return np.where(own, 0.0, logs), ~(own | common)
+        as never seen here. ``classes`` are those of the words, if they are known."""
+        c = (self.classes_of(h) if classes is None else classes) - len(self.frequent)
+        other, logs, rare = np.flatnonzero(c >= 0), np.zeros(len(h)), np.zeros(len(h), bool)
+        c, (at, common) = c[other], _found(self.common, h[other])
+        logs[other] = np.where(common, self.logs[at] if len(self.logs) else 0.0, self.unseen[c]) - self.total[c]
+        rare[other] = ~common
+        return logs, rare
 
 
 def _found(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,15 +193,15 @@ class Network:
     def logits(self, h: np.ndarray) -> np.ndarray:
         """Log probabilities of all classes."""
         outer, inner = h @ self.w + self.b, np.einsum("nd,gdk->ngk", h, self.v) + self.c
-        outer, inner = (z - np.log(t) for z, _, t in (_exponentials(z, False) for z in (outer, inner)))
+        outer, inner = (z - np.log(t) for z, _, t in (_exponentials(z) for z in (outer, inner)))
         return (outer[:, :, None] + inner).reshape(len(h), -1)[:, :self.classes]
 
     def tame(self) -> bool:
-        """Whether no window at all gives a score whose exponential leaves the range of floats."""
+        """Whether no window at all gives a score whose exponential leaves the range of doubles."""
         h = sum(np.sqrt((e * e).sum(axis=1).max()) for e in self.e)
         used = self.c[self.c > _NEVER / 2]
-        return bool(h * np.sqrt((self.w * self.w).sum(axis=0).max()) + np.abs(self.b).max() < 80
-                    and h * np.sqrt((self.v * self.v).sum(axis=1).max()) + np.abs(used).max() < 80)
+        return bool(h * np.sqrt((self.w * self.w).sum(axis=0).max()) + np.abs(self.b).max() < 700
+                    and h * np.sqrt((self.v * self.v).sum(axis=1).max()) + np.abs(used).max() < 700)
 
     def log_probabilities(self, around: np.ndarray, center: np.ndarray) -> np.ndarray:
         """Log probability of each center given its window, by blocks that stay in the cache.
@@ -214,7 +216,7 @@ class Network:
             n, logs = np.arange(len(h)), 0.0
             for z, own in ((np.einsum("nd,dg->ng", h[:, 0], self.w) + self.b, group),
                            ((h @ self.v[group])[:, 0] + self.c[group], member)):
-                z, _, total = _exponentials(z, tame)
+                z, _, total = _exponentials(z.astype(float), tame)
                 logs = logs + z[n, own] - np.log(total[:, 0])
             out[part] = logs
         return out
@@ -223,34 +225,33 @@ class Network:
         """One step on a batch; ``memory`` holds the sums of squared gradients."""
         n, scale = np.arange(len(center)), np.float32(1 / len(center))
         group, member = np.divmod(center, self.size)
-        h, tame = self.hidden(around), self.tame()
+        h = self.hidden(around)
 
         def step(value, past, gradient):
             past += gradient * gradient
             value -= rate * gradient / np.sqrt(past + 1e-8)
 
-        _, p, total = _exponentials(h @ self.w + self.b, tame)
+        _, p, total = _exponentials(h @ self.w + self.b)
         p *= scale / total
         p[n, group] -= scale
         back = p @ self.w.T
         step(self.w, memory.w, h.T @ p)
-        step(self.b, memory.b, p.sum(axis=0))
+        step(self.b, memory.b, np.ones(len(p), np.float32) @ p)
         # The words of each group side by side, as many places for each as the largest one needs.
         order, first, met = _by_value(group)
         held = np.diff(np.r_[first, len(order)])
         at = np.empty_like(order)
         at[order] = np.repeat(met * held.max() - first, held) + n
         some = np.zeros((len(self.b) * held.max(), h.shape[1]), np.float32)
-        some[at] = h
+        used = np.zeros((len(some), 1), np.float32)
+        some[at], used[at] = h, scale
         some = some.reshape(len(self.b), -1, h.shape[1])
-        _, full, total = _exponentials(some @ self.v + self.c[:, None], tame)
-        used = np.zeros((len(some[0]) * len(some), 1), np.float32)
-        used[at] = scale
+        _, full, total = _exponentials(some @ self.v + self.c[:, None])
         full *= used.reshape(total.shape) / total
         full.reshape(-1, self.size)[at, member] -= scale
         back += (full @ self.v.transpose(0, 2, 1)).reshape(-1, h.shape[1])[at]
         step(self.v, memory.v, some.transpose(0, 2, 1) @ full)
-        step(self.c, memory.c, full.sum(axis=1))
+        step(self.c, memory.c, np.ones(full.shape[1], np.float32) @ full)
         for o in range(len(OFFSETS)):  # only the embeddings that the batch meets
             order, first, met = _by_value(around[:, o])
             gradient = np.add.reduceat(back[order], first, axis=0)
@@ -259,32 +260,45 @@ class Network:
             self.e[o][met] -= rate * gradient / np.sqrt(past + 1e-8)
 
 
-def _exponentials(z: np.ndarray, tame: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scores, their exponentials and the sums of these along the last axis; ``tame`` scores are
-    taken as they are, others less the largest one."""
-    if not tame:
-        z = z - z.max(axis=-1, keepdims=True)
+def _exponentials(z: np.ndarray, tame: bool | None = None):
+    """Scores, their exponentials and the sums of these along the last axis.
+
+    ``tame`` scores are taken as they are, others less the largest one, which is a slow look for;
+    None leaves it to the scores themselves.
+    """
+    ones = np.ones((z.shape[-1], 1), z.dtype)
+    if tame or tame is None and z.max(initial=0) < 80:
+        e = np.exp(z)
+        total = e @ ones
+        if tame or total.min(initial=1) > 1e-30:
+            return z, e, total
+    z = z - z.max(axis=-1, keepdims=True)
     e = np.exp(z)
-    return z, e, e @ np.ones((z.shape[-1], 1), np.float32)
+    return z, e, e @ ones
 
 
 def _by_value(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order by value, where each distinct value starts in it, and these values."""
+    if values.max(initial=0) < 1 << 16:
+        values = values.astype(np.uint16)  # sorted by digits
     order = np.argsort(values, kind="stable")
     held = values[order]
     first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
     return order, first, held[first]
 
 
-def windows(ids: np.ndarray, outside: int, sizes: np.ndarray | None = None) -> np.ndarray:
-    """The classes around each word; beyond the ends of a text stands ``outside``. ``sizes`` are
-    the numbers of words of texts that follow one another in ``ids``; without them it is one."""
+def windows(ids: np.ndarray, outside: int, sizes: np.ndarray | None = None,
+            pick: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """The classes around each word that ``pick`` picks; beyond the ends of a text stands
+    ``outside``. ``sizes`` are the numbers of words of texts that follow one another in ``ids``;
+    without them it is one."""
     sizes = np.array([len(ids)]) if sizes is None else sizes
     reach = max(map(abs, OFFSETS))
     # Every text is followed, and the first one preceded, by places outside.
     at = np.arange(len(ids)) + reach * (1 + np.repeat(np.arange(len(sizes)), sizes))
     padded = np.full(len(ids) + reach * (len(sizes) + 1), outside)
     padded[at] = ids
+    at = at[pick]
     return np.stack([padded[at + o] for o in OFFSETS], axis=1)
 
 
@@ -316,8 +330,8 @@ def _trained(docs: DataFrame, words: Vocabulary, network: Network, stride: int,
             # An offset from the text itself: texts of few words take turns as well.
             turn = np.array([crc32((t or "").encode()) % stride for t in texts], np.int64)
             place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            pick = (place - phase - np.repeat(turn, sizes)) % stride == 0
-            held.append((windows(ids, vocabulary.classes, sizes)[pick], ids[pick]))
+            pick = np.flatnonzero((place - phase - np.repeat(turn, sizes)) % stride == 0)
+            held.append((windows(ids, vocabulary.classes, sizes, pick), ids[pick]))
             waiting += len(held[-1][1])
             if waiting >= 16 * _BATCH:
                 seen += step()
@@ -427,7 +441,7 @@ def score_documents(docs: DataFrame, words: Vocabulary, network: Network,
             h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
             ids = vocabulary.classes_of(h)
             logs = (net.log_probabilities(windows(ids, vocabulary.classes, sizes), ids)
-                    + vocabulary.shares(h)[0])
+                    + vocabulary.shares(h, ids)[0])
             sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs, len(sizes))
             yield append(batch, keep, {
                 "n_tokens": pa.array(sizes), "pseudo_log_likelihood": pa.array(sums),

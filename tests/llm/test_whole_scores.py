@@ -83,7 +83,7 @@ def test_two_levels_are_one_softmax():
     rng = np.random.default_rng(2)
     for classes in (1, 2, 5, 30):
         net = lm_scoring.Network(classes, 4, 1)
-        for scale in (1, 300):
+        for scale in (1, 900):
             for a in (net.e, net.w, net.v):
                 a *= scale
             assert net.tame() == (scale == 1)
@@ -95,7 +95,7 @@ def test_two_levels_are_one_softmax():
             every = net.logits(net.hidden(around))
             assert every.shape == (len(ids), classes) and np.allclose(np.exp(every).sum(1), 1, atol=1e-4)
             got = net.log_probabilities(around, ids)
-            assert np.allclose(got, every[np.arange(len(ids)), ids], atol=1e-3, rtol=1e-4)
+            assert np.allclose(got, every[np.arange(len(ids)), ids], atol=1e-2, rtol=1e-4)
             assert np.array_equal(got[7:50], net.log_probabilities(around[7:50], ids[7:50]))
 
 
