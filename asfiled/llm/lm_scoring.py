@@ -96,7 +96,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, frequent: int = 384, shared: int = 128, text: str = "text",
-               common: int = 1 << 16) -> Vocabulary:
+               common: int = 1 << 18) -> Vocabulary:
     """Classes and shares of all words of ``docs``.
 
     Classes grow with the square root of the number of different words; ``frequent`` and
@@ -156,20 +156,21 @@ class Network:
     (group, width, member) and ``c`` (group, member).
 
     The softmax has two levels: log P(class) = log P(group) + log P(class | group), with about as
-    many groups as members. Class ``k`` is member ``k % size`` of group ``k // size``; places of
-    the last group that no class has are so unlikely that they weigh nothing.
+    many groups as members. Class ``k`` is member ``k // groups`` of group ``k % groups``, so that
+    classes of many words lie in different groups; last places that no class has are so unlikely
+    that they weigh nothing.
     """
 
     def __init__(self, classes: int, width: int, seed: int):
         rng = np.random.default_rng(seed)
-        self.classes, self.size = classes, max(1, int(np.ceil(classes ** 0.5)))
-        groups = -(-classes // self.size)
+        self.classes, self.groups = classes, max(1, int(np.ceil(classes ** 0.5)))
+        groups, members = self.groups, -(-classes // self.groups)
         self.e = rng.normal(0, 0.1, (len(OFFSETS), classes + 1, width)).astype(np.float32)
         self.w = rng.normal(0, 0.1, (width, groups)).astype(np.float32)
         self.b = np.zeros(groups, np.float32)
-        self.v = rng.normal(0, 0.1, (groups, width, self.size)).astype(np.float32)
-        self.c = np.zeros((groups, self.size), np.float32)
-        self.c.ravel()[classes:] = _NEVER
+        self.v = rng.normal(0, 0.1, (groups, width, members)).astype(np.float32)
+        self.c = np.zeros((groups, members), np.float32)
+        self.c[np.arange(groups * members).reshape(members, groups).T >= classes] = _NEVER
 
     def _arrays(self) -> tuple[np.ndarray, ...]:
         return self.e, self.w, self.b, self.v, self.c
@@ -194,7 +195,7 @@ class Network:
         """Log probabilities of all classes."""
         outer, inner = h @ self.w + self.b, np.einsum("nd,gdk->ngk", h, self.v) + self.c
         outer, inner = (z - np.log(t) for z, _, t in (_exponentials(z) for z in (outer, inner)))
-        return (outer[:, :, None] + inner).reshape(len(h), -1)[:, :self.classes]
+        return (outer[:, :, None] + inner).swapaxes(1, 2).reshape(len(h), -1)[:, :self.classes]
 
     def tame(self) -> bool:
         """Whether no window at all gives a score whose exponential leaves the range of doubles."""
@@ -209,10 +210,10 @@ class Network:
         Each word is worked out by itself, so it does not matter what shares its block.
         """
         out, tame = np.empty(len(center)), self.tame()
-        for at in range(0, len(center), _BATCH):
-            part = slice(at, at + _BATCH)
+        for at in range(0, len(center), _BATCH // 4):
+            part = slice(at, at + _BATCH // 4)
             h = self.hidden(around[part])[:, None]
-            group, member = np.divmod(center[part], self.size)
+            member, group = np.divmod(center[part], self.groups)
             n, logs = np.arange(len(h)), 0.0
             for z, own in ((np.einsum("nd,dg->ng", h[:, 0], self.w) + self.b, group),
                            ((h @ self.v[group])[:, 0] + self.c[group], member)):
@@ -224,7 +225,7 @@ class Network:
     def learn(self, around: np.ndarray, center: np.ndarray, memory: Network, rate: float) -> None:
         """One step on a batch; ``memory`` holds the sums of squared gradients."""
         n, scale = np.arange(len(center)), np.float32(1 / len(center))
-        group, member = np.divmod(center, self.size)
+        member, group = np.divmod(center, self.groups)
         h = self.hidden(around)
 
         def step(value, past, gradient):
@@ -248,7 +249,7 @@ class Network:
         some = some.reshape(len(self.b), -1, h.shape[1])
         _, full, total = _exponentials(some @ self.v + self.c[:, None])
         full *= used.reshape(total.shape) / total
-        full.reshape(-1, self.size)[at, member] -= scale
+        full.reshape(-1, full.shape[2])[at, member] -= scale
         back += (full @ self.v.transpose(0, 2, 1)).reshape(-1, h.shape[1])[at]
         step(self.v, memory.v, some.transpose(0, 2, 1) @ full)
         step(self.c, memory.c, np.ones(full.shape[1], np.float32) @ full)
@@ -400,14 +401,22 @@ def _rare_shares(source: DataFrame, words: Vocabulary, shared, text: str) -> Dat
                 h, n, same = (np.concatenate(c) for c in zip(*rows))
                 yield pa.RecordBatch.from_pydict({
                     "_key": same[:, 0], "_check": same[:, 1], "_words": same[:, 2], "n": n,
-                    "word": h.view(np.int64),
-                    "unseen": vocabulary.unseen[(h % np.uint64(vocabulary.shared)).astype(np.int64)]})
+                    "word": h.view(np.int64)})
+
+    def gained(batches):
+        vocabulary = shared.value[0]
+        for batch in batches:
+            c = (_unsigned(batch.column(0)) % np.uint64(vocabulary.shared)).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({
+                "word": batch.column(0),
+                "gain": pa.array(np.log(batch.column(1).to_numpy()) - vocabulary.unseen[c])})
 
     # Of equal rows each sends its words: a key has ``_words`` rows for each of them.
     return (source.select("_key", "_check", text)
-            .mapInArrow(run, "_key long, _check long, _words long, n long, word long, unseen double")
-            .join(words.rare, "word", "left").groupBy("_key", "_check")
-            .agg((F.sum(F.expr("n * coalesce(ln(count) - unseen, 0)")) * F.max("_words")
+            .mapInArrow(run, "_key long, _check long, _words long, n long, word long")
+            .join(words.rare.select("word", "count").mapInArrow(gained, "word long, gain double"),
+                  "word", "left").groupBy("_key", "_check")
+            .agg((F.sum(F.expr("n * coalesce(gain, 0)")) * F.max("_words")
                   / F.count(F.lit(1))).alias("_more")))
 
 
