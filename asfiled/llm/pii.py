@@ -24,13 +24,24 @@ MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Господин",
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Signora",
           "Госпожа", "Κυρία")
 EITHER = ("Dr", "Prof")
+#: Titles that also announce a name when title and name are in capitals; short ones may be anything.
+CAPITALS = ("MR", "MRS", "MISS", "HERR", "FRAU", "DR", "PROF", "MONSIEUR", "MADAME", "SEÑOR", "SEÑORA")
 TITLES = "|".join(MALE + FEMALE + EITHER)
 
+
+def _chain(titles: str) -> str:
+    """One title after another, the last one before a capital letter."""
+    return rf"(?:(?:{titles})\.? (?=\p{{Lu}}))+"
+
+
+
 _FREE = r"(?<![\p{L}\p{N}])"
 _EMAIL = r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
 #: Words that announce a secret, in any case, and a value without blanks up to the marks after it.
 _KEYS = r"(?i:token|secret|password|passwd|api[_-]?key)"
 _VALUE = r"(?=\S*?[\p{{L}}\p{{N}}])[^\s\x22']\S{{{},}}(?<![\x22'.,;:!?)\]}}>])"
+#: Keys that tell themselves by their first four characters.
+_ISSUED = "(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,})"
 #: One alternative per kind of entity; an occurrence starts at the start of a token.
 PATTERN = "|".join((
     r"(?<=[=:\x22'\s])(?<=[=:]\s{0,3}[\x22']?)(?:"
@@ -47,12 +58,14 @@ PATTERN = "|".join((
     r"(?<![\p{L}\p{N}+])(?=\+\d++[ .(-]{1,2}\d{2}|\+\d{8})\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\p{L}\p{N}])",
     _FREE + r"(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\p{L}\p{N}])",
     _FREE + r"\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}])",
-    _FREE + rf"(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'’-]++(?: \p{{Lu}}[\p{{L}}'’-]++){{0,2}}(?![\p{{L}}\p{{N}}])",
+    _FREE + rf"{_chain(TITLES)}\p{{Lu}}[\p{{L}}'’-]++(?: \p{{Lu}}[\p{{L}}'’-]++){{0,2}}(?![\p{{L}}\p{{N}}])",
+    _FREE + rf"{_chain('|'.join(CAPITALS))}[\p{{Lu}}'’-]{{2,}}+(?: [\p{{Lu}}'’-]{{2,}}+){{0,2}}(?![\p{{L}}\p{{N}}])",
+    _FREE + rf"{_ISSUED}(?![\p{{L}}\p{{N}}])",
 ))
 #: Without one of these a text holds no entity; cheap looks before the long pattern.
-_HINT_WORDS = "(?i)token|secret|passw|api"
+_HINT_WORDS = "(?i)token|secret|passw|api|a[ks]ia|gh[pousr]_"
 _HINT_TITLE = (rf"(?=[{''.join(sorted({t[0] for t in MALE + FEMALE + EITHER}))}])"
-               rf"(?:{TITLES})\.? \p{{Lu}}")
+               rf"(?:{TITLES}|{'|'.join(CAPITALS)})\.? \p{{Lu}}")
 
 _SCRIPTS = {  # letters by script, and syllables for names
     "[а-яё]": ("абвгдежзиклмнопрстуфхцчшэюя", "бо ва ди ка ле ми но ра се ту", "ов", "ова"),
@@ -66,7 +79,9 @@ def _quoted(text: str) -> str:
 
 
 def _any_of(titles) -> str:
-    return _quoted(rf"^(?:{'|'.join(titles)})\.? ")
+    every = [*titles, *(c for c in CAPITALS if c in {t.upper() for t in titles})]
+    other = "|".join((*EITHER, *(t.upper() for t in EITHER)))
+    return _quoted(rf"^(?:(?:{other})\.? (?=\p{{Lu}}))*{_chain('|'.join(every))}")
 
 
 def hinted(text: str) -> str:
@@ -86,17 +101,28 @@ def kind_of(m: str) -> str:
       when {m} rlike {_quoted("^(?=.*[0-9])[0-9 ().+-]+$")} then 'phone' else 'secret' end"""
 
 
+#: What stands before the ten digits of a number of country code 1.
+_ZONE = "^1(?=[0-9]{10}$)"
+
+
+def _words_of(m: str) -> str:
+    """SQL for the words of a name without its titles."""
+    return f"split(regexp_replace({m}, {_any_of(MALE + FEMALE + EITHER)}, ''), ' ')"
+
+
 def parts_of(m: str) -> str:
     """SQL for the entities of an occurrence, an array of (kind, payload).
 
     A name is its words: the last one a surname, those before it given names of the title's
-    gender. So a person keeps the surname with or without the given name.
+    gender. So a person keeps the surname with or without the given name. A number in the zone
+    of the country code 1 is its ten digits.
     """
-    words = f"split(regexp_replace({m}, {_any_of(MALE + FEMALE + EITHER)}, ''), ' ')"
+    words = _words_of(m)
     gender = (f"case when {m} rlike {_any_of(MALE)} then 'male' "
               f"when {m} rlike {_any_of(FEMALE)} then 'female' else 'given' end")
     plain = f"""case {kind_of(m)} when 'email' then lower({m}) when 'ip' then {m}
       when 'secret' then {m} when 'iban' then replace({m}, ' ', '')
+      when 'phone' then regexp_replace(regexp_replace({m}, '[^0-9]', ''), {_quoted(_ZONE)}, '')
       else regexp_replace({m}, '[^0-9]', '') end"""
     return f"""if({kind_of(m)} = 'name', transform({words}, (w, i) -> named_struct(
         'kind', if(i = size({words}) - 1, 'surname', {gender}), 'payload', lower(w))),
@@ -110,6 +136,12 @@ def _digits_sum(s: str) -> str:
             f"{digit} * 2 - if({digit} > 4, 9, 0))), 0, (a, x) -> a + x)")
 
 
+def _mod_97(s: str) -> str:
+    """SQL for an account number's remainder, letters read as 10 to 35."""
+    return (f"aggregate(transform(sequence(1, length({s})), p -> conv(substring({s}, p, 1), 36, 10)), 0, "
+            "(a, x) -> cast((a * if(length(x) = 1, 10, 100) + x) % 97 as int))")
+
+
 def surrogate(kind: str, payload: str, attempt: str, key: str) -> str:
     """SQL for the surrogate payload at an attempt of the keyed hash."""
     seed = f"concat({key}, '|', {kind}, '|', {payload}, '|', {attempt})"
@@ -132,6 +164,7 @@ def surrogate(kind: str, payload: str, attempt: str, key: str) -> str:
       when {kind} = 'phone' and i = length({payload}) - 9 then cast(2 + {v} % 8 as string)
       when {kind} = 'card' and i = 1 then {c}
       when {kind} = 'iban' and i <= 2 then {c}
+      when {kind} = 'secret' and i <= 4 and {payload} rlike {_quoted(f'^{_ISSUED}$')} then {c}
       when {kind} = 'ssn' and i = 1 then cast(1 + {v} % 8 as string)
       when {c} rlike '^[0-9]$' then cast({v} % 10 as string)
       when {hexed} and {c} rlike '^[a-f]$' then {pick('abcdef')}
@@ -145,6 +178,11 @@ def surrogate(kind: str, payload: str, attempt: str, key: str) -> str:
       else 100 + conv(substring(h, 3 * k + 1, 3), 16, 10) % 155 end as int)), '.')"""
     card = f"""transform(array({spelled}), s -> concat(left(s, length(s) - 1), cast(pmod(
       cast(right(s, 1) as int) + {_digits_sum(payload)} - {_digits_sum('s')}, 10) as string)))[0]"""
+    turned = "concat(substring({0}, 5), left({0}, 2), {1})"
+    iban = f"""transform(array({spelled}), s -> if(
+      {_mod_97(turned.format(payload, f'substring({payload}, 3, 2)'))} = 1,
+      concat(left(s, 2), lpad(cast(98 - {_mod_97(turned.format('s', "'00'"))} as string), 2, '0'),
+      substring(s, 5)), s))[0]"""
 
     def name(made) -> str:
         syllables = made[1].split()
@@ -165,6 +203,7 @@ def surrogate(kind: str, payload: str, attempt: str, key: str) -> str:
     return f"""transform(array({noise}), h -> case
       when {kind} = 'ip' then {octets}
       when {kind} = 'card' and {attempt} < 8 then {card}
+      when {kind} = 'iban' and {attempt} < 8 then {iban}
       when {kind} in ('male', 'female', 'given', 'surname') then {names}
       when {attempt} < 8 then {spelled} when {kind} = 'email' then concat({more}, {spelled})
       else concat({spelled}, {more}) end)[0]"""
@@ -172,43 +211,65 @@ def surrogate(kind: str, payload: str, attempt: str, key: str) -> str:
 
 def laid_out(m: str, replaced: str) -> str:
     """SQL that lays surrogate payloads (an array) into the format and case of ``m``."""
+    one = (f"if({kind_of(m)} = 'phone' and regexp_replace({m}, '[^0-9]', '') rlike {_quoted(_ZONE)}, "
+           f"concat('1', {replaced}[0]), {replaced}[0])")
     c, mark = f"substring({m}, j, 1)", "' ()+.-'"
     skipped = f"length(translate(substring({m}, 1, j), {mark}, ''))"
     # What a surrogate has grown by stands in front of an address, and else at the end.
-    grown = (f"length({replaced}[0]) - length(if({kind_of(m)} in ('phone', 'card', 'ssn', 'iban'), "
+    grown = (f"length({one}) - length(if({kind_of(m)} in ('phone', 'card', 'ssn', 'iban'), "
              f"translate({m}, {mark}, ''), {m}))")
-    q = (f"substring({replaced}[0], case when {kind_of(m)} in ('phone', 'card', 'ssn', 'iban') then {skipped} "
+    q = (f"substring({one}, case when {kind_of(m)} in ('phone', 'card', 'ssn', 'iban') then {skipped} "
          f"when {kind_of(m)} = 'email' then j + {grown} else j end, 1)")
     spelled = f"""array_join(transform(sequence(1, length({m})), j -> case
       when {kind_of(m)} in ('phone', 'card', 'ssn', 'iban') and contains({mark}, {c}) then {c}
       when {c} <> lower({c}) then upper({q}) else {q} end), '')"""
     return f"""case {kind_of(m)} when 'name' then concat(
         regexp_extract({m}, {_any_of(MALE + FEMALE + EITHER)}, 0),
-        array_join(transform({replaced}, w -> initcap(w)), ' '))
+        array_join(zip_with({_words_of(m)}, {replaced}, (w, r) -> if(length(w) > 1 and w = upper(w), upper(r), initcap(r))), ' '))
       when 'ip' then {replaced}[0]
       when 'email' then concat(left({replaced}[0], {grown}), {spelled})
-      else concat({spelled}, right({replaced}[0], {grown})) end"""
+      else concat({spelled}, right({one}, {grown})) end"""
 
 
 def _settled(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, payload, attempt) of entities whose first surrogates collide."""
-    state = materialise(entities.distinct().withColumn("attempt", F.lit(0)), "entities")
-    known = state.select("kind", F.col("payload").alias("made"), F.lit(True).alias("real"))
+    """(kind, payload, final, attempt) of entities that take another kind or whose first
+    surrogates collide.
+
+    A given name has one gender in the whole corpus: that of its titles, if those agree. Names of
+    all kinds are compared with each other, so no surrogate is a real word of another name.
+    """
+    entities = materialise(entities.distinct(), "told")
+    given = F.col("kind").isin("male", "female", "given")
+    genders = (entities.filter(given).groupBy("payload").agg(
+        F.min(F.when(F.col("kind") != "given", F.col("kind"))).alias("_b"),
+        F.max(F.when(F.col("kind") != "given", F.col("kind"))).alias("_c"))
+        .selectExpr("payload", "if(_b = _c, _b, 'given') as final"))
+    finals = entities.join(genders.filter("final is not null"), "payload", "left").withColumn(
+        "final", F.when(given, F.coalesce("final", "kind")).otherwise(F.col("kind")))
+    finals = materialise(finals.select("kind", "payload", "final"), "finals")
+    family = F.expr("if(kind in ('male', 'female', 'given', 'surname'), 'name', kind)")
+    state = materialise(finals.select(F.col("final").alias("kind"), "payload").distinct()
+                        .withColumn("attempt", F.lit(0)), "entities")
+    known = state.select(family.alias("family"), F.col("payload").alias("made"),
+                         F.lit(True).alias("real")).distinct()
     while True:  # ends, as surrogates grow with the attempts
-        made = state.withColumn("made", F.expr(surrogate("kind", "payload", "attempt", key)))
+        made = state.withColumn("family", family).withColumn(
+            "made", F.expr(surrogate("kind", "payload", "attempt", key)))
         # Of several entities with one surrogate the smallest at the earliest attempt keeps it.
-        owner = made.groupBy("kind", "made").agg(
+        owner = made.groupBy("family", "made").agg(
             F.count(F.lit(1)).alias("claims"),
-            F.min(F.struct("attempt", "payload")).alias("owner"))
-        clash = (owner.join(known, ["kind", "made"], "left")
+            F.min(F.struct("attempt", "payload", "kind")).alias("owner"))
+        clash = (owner.join(known, ["family", "made"], "left")
                  .filter("real or claims > 1").drop("claims"))
         clash = materialise(clash, "clashes")
         if clash.isEmpty():
-            return state.filter("attempt > 0")
-        moved = (made.join(clash, ["kind", "made"], "left").withColumn(
+            break
+        moved = (made.join(clash, ["family", "made"], "left").withColumn(
             "attempt", F.expr("attempt + cast(real is true or (owner is not null and "
-                              "owner <> struct(attempt, payload)) as int)")))
+                              "owner <> struct(attempt, payload, kind)) as int)")))
         state = materialise(moved.select("kind", "payload", "attempt"), "entities")
+    return (finals.join(state.withColumnRenamed("kind", "final"), ["final", "payload"])
+            .filter("attempt > 0 or final <> kind"))
 
 
 def replace_entities(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text",
@@ -218,7 +279,9 @@ def replace_entities(docs: DataFrame, key: str, doc_id: str = "doc_id", text: st
     Kinds: e-mail and IPv4 addresses, phone, card and social security numbers, IBANs, secrets
     after words like "token", long hexadecimal strings, names after titles. A surrogate keeps
     punctuation, grouping, case and script, an address its last label, a card its first digit and
-    whether its check sum is right, a given name the gender of its title. Where the corpus holds so
+    whether its check sum is right, so do account numbers. A given name has the gender of the titles
+    it stands behind anywhere, if they agree, so a person is the same behind any of them; a number
+    with and without its country code 1 is one. Where the corpus holds so
     many entities of a format that its surrogates run out, surrogates grow longer.
 
     Texts without entities, null and empty ones come out as they are. Rows are told by id and
@@ -238,17 +301,21 @@ def replace_entities(docs: DataFrame, key: str, doc_id: str = "doc_id", text: st
         "_doc", "_key", F.explode(F.expr(parts_of("m"))).alias("e")).select("_doc", "_key", "e.*")
     later = materialise(_settled(occurrences.select("kind", "payload"), secret), "later")
 
-    attempt = "0"
+    kind, attempt = "e.kind", "0"
     if not later.isEmpty():
         looked_up = (occurrences.join(later, ["kind", "payload"])
                      .groupBy("_doc", "_key").agg(F.map_from_entries(F.collect_set(F.struct(
-                         F.concat_ws(":", "kind", "payload"), "attempt"))).alias("_later"))
+                         F.concat_ws(":", "kind", "payload"),
+                         F.struct("final", "attempt")))).alias("_later"))
                      .toDF(doc, row, moved))
         found = found.withColumn(own, text_key(doc_id, text))
         found = found.join(looked_up, found[doc_id].eqNullSafe(looked_up[doc])
                            & (F.col(own) == F.col(row)), "left")
-        attempt = f"coalesce(element_at({moved}, concat_ws(':', e.kind, e.payload)), 0)"
-    replaced = f"transform({parts_of('m')}, e -> {surrogate('e.kind', 'e.payload', attempt, secret)})"
+        told = f"element_at({moved}, concat_ws(':', e.kind, e.payload))"
+        kind, attempt = f"coalesce({told}.final, e.kind)", f"coalesce({told}.attempt, 0)"
+    # The kind and attempt are worked out once, before the long expression that names them often.
+    replaced = (f"transform(transform({parts_of('m')}, e -> named_struct('kind', {kind}, 'payload', e.payload, "
+                f"'attempt', {attempt})), e -> {surrogate('e.kind', 'e.payload', 'e.attempt', secret)})")
     # What stands between the occurrences, and the occurrences, take turns.
     whole = f"""if(size({hits}) > 0, array_join(flatten(zip_with(
         split(`{text}`, {pattern}, -1),
