@@ -20,11 +20,14 @@ from .rows import append, bounded_batches, schema_of, without
 
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
-# Notices as their licences ask for them, and the openings of the licence texts.
+# Notices as their licences ask for them, and the openings of the licence texts. "BSD" is an
+# opening that two- and three-clause texts share; it names neither.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
+    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
@@ -48,11 +51,45 @@ TEMPLATES = {
         "version 3 of the License, or (at your option) any later version. This program is "
         "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
         "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
-    "BSD-3-Clause": (
+    "GPL-2.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms "
+        "of the GNU General Public License as published by the Free Software Foundation, either "
+        "version 2 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+        "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    "LGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms "
+        "of the GNU Lesser General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+        "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    "AGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms "
+        "of the GNU Affero General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+        "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    "BSD": (
         "Redistribution and use in source and binary forms, with or without modification, are "
         "permitted provided that the following conditions are met: Redistributions of source "
         "code must retain the above copyright notice, this list of conditions and the following "
         "disclaimer."),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are "
+        "permitted provided that the following conditions are met: Redistributions of source "
+        "code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution."),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are "
+        "permitted provided that the following conditions are met: Redistributions of source "
+        "code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. Neither the name of the copyright holder nor "
+        "the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission."),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with "
         "or without fee is hereby granted, provided that the above copyright notice and this "
