@@ -9,7 +9,10 @@ from ..durable import materialise
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
-    """Each node hands the smallest node it knows to its larger, or to its other neighbours."""
+    """Each node hands the smallest node it knows to its larger, or to its other neighbours.
+
+    An edge makes one row at most, besides the minima; the same row may come several times.
+    """
     if larger:
         both = edges.unionByName(edges.selectExpr("v as u", "u as v"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -19,15 +22,15 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         passed = (down.join(least, "u").selectExpr("v as u", "m as v")
                   .unionByName(least.selectExpr("u", "m as v")))
-    return passed.filter("u <> v").distinct()
+    return passed.filter("u <> v")
 
 
 def _is_star_forest(edges: DataFrame) -> bool:
     """Whether every node has one smaller neighbour and none of these has one itself."""
-    several = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u")
-    chained = edges.select("u").join(edges.select(F.col("v").alias("u")).distinct(), "u",
-                                     "left_semi")
-    return several.union(chained).isEmpty()
+    ends = edges.selectExpr("stack(2, u, 1L, 0L, v, 0L, 1L) as (node, smaller, larger)")
+    return (ends.groupBy("node")
+            .agg(F.sum("smaller").alias("smaller"), F.sum("larger").alias("larger"))
+            .filter("smaller > 1 or smaller = 1 and larger > 0").isEmpty())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,6 +43,6 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.filter("u <> v").selectExpr(
         "greatest(u, v) as u", "least(u, v) as v").distinct(), "edges")
     while not _is_star_forest(edges):
-        edges = materialise(_star(_star(edges, True), False), "edges")
+        edges = materialise(_star(_star(edges, True), False).distinct(), "edges")
     return edges.selectExpr("u as node", "v as component").unionByName(
         edges.selectExpr("v as node", "v as component").distinct())
