@@ -1,4 +1,4 @@
-"""Row numbers, n-tiles, medians and rank positions without a one-task window.
+"""Row numbers and n-tiles without a one-task window.
 
 A window partitioned by fiscal year, by quintile or by nothing at all would sort an unbounded
 group in one task. Here rows are range-partitioned on (group, order), so a large group spans
@@ -54,14 +54,3 @@ def ntile_of(tiles: int) -> Column:
     in_head = F.floor(at / (size + 1))
     in_tail = longer + F.floor((at - head) / F.greatest(size, F.lit(1)))
     return (F.when(at < head, in_head).otherwise(in_tail) + 1).cast("int")
-
-
-def exact_medians(df: DataFrame, group: list[str], value: str, ties: list[str],
-                  name: str) -> DataFrame:
-    """Exact median of ``value`` per group: mean of the one or two middle rows."""
-    known = df.filter(F.col(value).isNotNull()).select(*group, value, *ties)
-    numbered = number_rows(known, group,
-                           [F.col(value), *(F.col(t) for t in ties)])
-    n = F.col("group_rows")
-    middle = F.col("row_number").isin(F.floor((n + 1) / 2), F.floor((n + 2) / 2))
-    return numbered.filter(middle).groupBy(*group).agg(F.avg(value).alias(name))

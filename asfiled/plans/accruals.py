@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..durable import materialise
 from ..functions import ratio
 from ..functions.stats import normal_two_sided_p
 from ..operators.pricing import fold_prices, with_close
-from ..operators.ranking import exact_medians, ntile_of, number_rows
+from ..operators.selection import exact_medians, with_ntile
 
 _PANEL = ("entity_id", "ticker", "period_fiscal_year", "tata", "first_filed_date",
           "entry_date", "entry_price", "exit_date", "exit_price", "fwd_return_12m")
@@ -34,17 +35,19 @@ def forward_returns(scored: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def with_quintiles(returns: DataFrame) -> DataFrame:
-    """Accrual quintile within each fiscal year, among rows that have a return."""
-    marked = returns.withColumn("_has_return", F.col("fwd_return_12m").isNotNull())
-    numbered = number_rows(marked, ["period_fiscal_year", "_has_return"],
-                           [F.col("tata"), F.col("entity_id")])
-    return numbered.withColumn(
-        "accrual_quintile", F.when(F.col("_has_return"), ntile_of(5))
-    ).select(*_PANEL, "accrual_quintile")
+    """Accrual quintile within each fiscal year, among rows that have a return.
+
+    ``returns`` is read several times, mostly two columns of it, and should be a written table.
+    """
+    ranked = with_ntile(returns.filter("fwd_return_12m is not null"), ["period_fiscal_year"],
+                        "tata", ["entity_id"], 5, "accrual_quintile")
+    unranked = returns.filter("fwd_return_12m is null").withColumn(
+        "accrual_quintile", F.lit(None).cast("int"))
+    return ranked.unionByName(unranked).select(*_PANEL, "accrual_quintile")
 
 
 def accrual_returns(scored: DataFrame, prices: DataFrame) -> DataFrame:
-    return with_quintiles(forward_returns(scored, prices))
+    return with_quintiles(materialise(forward_returns(scored, prices), "forward_returns"))
 
 
 def quintile_stats(panel: DataFrame) -> DataFrame:
@@ -53,8 +56,7 @@ def quintile_stats(panel: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg("tata").alias("mean_tata"),
         F.avg("fwd_return_12m").alias("mean_return"),
         F.stddev_samp("fwd_return_12m").alias("std_return"))
-    medians = exact_medians(sorted_in, ["accrual_quintile"], "fwd_return_12m",
-                            ["ticker", "period_fiscal_year"], "median_return")
+    medians = exact_medians(sorted_in, ["accrual_quintile"], "fwd_return_12m", "median_return")
     return stats.join(medians, "accrual_quintile", "left").select(
         "accrual_quintile", "n", "mean_tata", "mean_return", "median_return", "std_return")
 

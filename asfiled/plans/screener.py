@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..operators.ranking import number_rows
+from ..operators.selection import values_at_ranks
 
 FLAGS = ("m_score_flag", "z_score_flag", "f_score_flag")
 
@@ -220,21 +220,19 @@ def yearly_change(table: DataFrame) -> DataFrame:
 
 
 def histogram(table: DataFrame, column: str, bins: int = fixed.HISTOGRAM_BINS,
-              clip: tuple[float, float] = fixed.HISTOGRAM_CLIP,
-              ties: tuple[str, ...] = ("entity_id", "period_fiscal_year")) -> DataFrame:
+              clip: tuple[float, float] = fixed.HISTOGRAM_CLIP) -> DataFrame:
     """Equal-width bins between two rank percentiles; values outside go to the edge bins.
 
-    The percentiles are exact rank positions from range slices, not from one sorted partition.
+    The percentiles are exact values at ranks, found by narrowing; ``table`` is read, not moved.
     """
-    numbered = number_rows(table.filter(F.col(column).isNotNull()).select(column, *ties), [],
-                           [F.col(column), *(F.col(t) for t in ties)])
-    at, n = F.col("row_number") - 1, F.col("group_rows").cast("double")
-    ends = numbered.agg(
-        F.max(F.when(at == F.floor(n * clip[0]), F.col(column))).alias("low"),
-        F.max(F.when(at == F.ceil(n * clip[1]) - 1, F.col(column))).alias("high"))
-    low, high = ends.select("low").scalar(), ends.select("high").scalar()
-    placed = numbered.select(F.col(column).cast("double").alias("v"),
-                             low.cast("double").alias("low"), high.cast("double").alias("high"))
+    n = F.col("group_rows")
+    ends = values_at_ranks(table, [], column, {
+        "low": F.floor(n.cast("double") * clip[0]) + 1,
+        "high": F.ceil(n.cast("double") * clip[1])})
+    low, high = (ends.filter(F.col("rank") == r).agg(F.max("value")).scalar()
+                 for r in ("low", "high"))
+    placed = table.filter(F.col(column).isNotNull()).select(
+        F.col(column).cast("double").alias("v"), low.alias("low"), high.alias("high"))
     width = F.when(F.col("high") == F.col("low"), 1.0).otherwise(F.col("high") - F.col("low"))
     spot = F.floor((F.col("v") - F.col("low")) / width * bins)
     binned = placed.select(
@@ -246,7 +244,7 @@ def histogram(table: DataFrame, column: str, bins: int = fixed.HISTOGRAM_BINS,
     return every.join(counted, "bin", "left").select(
         "bin", F.coalesce("n", F.lit(0)).alias("n"),
         F.coalesce("n_clipped", F.lit(0)).alias("n_clipped"),
-        low.cast("double").alias("low"), high.cast("double").alias("high"))
+        low.alias("low"), high.alias("high"))
 
 
 # -- case studies and drill-through ----------------------------------------------------------

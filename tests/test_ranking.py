@@ -1,10 +1,9 @@
 import random
-import statistics
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from asfiled.operators.ranking import exact_medians, ntile_of, number_rows
+from asfiled.operators.ranking import ntile_of, number_rows
 
 
 def sample(spark, n=3000):
@@ -38,12 +37,3 @@ def test_ntile_equals_sql_for_every_small_size(spark):
     want = df.withColumn("t", F.ntile(5).over(W.partitionBy("n").orderBy("i")))
     assert sorted(map(tuple, got.select("n", "i", "t").collect())) == sorted(
         map(tuple, want.collect()))
-
-
-def test_medians_equal_brute_force(spark):
-    df = sample(spark, 501)
-    got = {r.g: r.m for r in exact_medians(df, ["g"], "v", ["i"], "m").collect()}
-    groups = {}
-    for r in df.collect():
-        groups.setdefault(r.g, []).append(r.v)
-    assert got == {g: statistics.median(v) for g, v in groups.items()}
