@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -53,13 +53,20 @@ def outside_values(df: DataFrame, column: str, accepted: list[str]) -> DataFrame
     return df.filter(~F.col(column).isin(*accepted))
 
 
-def outside_range(df: DataFrame, column: str) -> DataFrame:
+def is_implausible(column: str) -> Column:
     low, high = fixed.PLAUSIBLE[column]
-    return df.filter((F.col(column) < low) | (F.col(column) > high))
+    return (F.col(column) < low) | (F.col(column) > high)
+
+
+def outside_range(df: DataFrame, column: str) -> DataFrame:
+    return df.filter(is_implausible(column))
+
+
+NEGATIVE_MAGNITUDE = "sign_convention = 'always_positive' and value < 0"
 
 
 def negative_magnitudes(staged: DataFrame) -> DataFrame:
-    return staged.filter("sign_convention = 'always_positive' and value < 0")
+    return staged.filter(NEGATIVE_MAGNITUDE)
 
 
 def repeated_first_reports(pit: DataFrame, ticker: str | None = None,
@@ -128,10 +135,12 @@ def priced_foreign_filers(altman: DataFrame, pit: DataFrame) -> DataFrame:
         "market_value_of_equity is not null or z_score is not null")
 
 
+INCONSISTENT_FLAGS = ("not (red_flag_count between 0 and 3) or "
+                      "not (models_scored between 0 and 3) or red_flag_count > models_scored")
+
+
 def inconsistent_flag_counts(screener: DataFrame) -> DataFrame:
-    return screener.filter("not (red_flag_count between 0 and 3) or "
-                           "not (models_scored between 0 and 3) or "
-                           "red_flag_count > models_scored")
+    return screener.filter(INCONSISTENT_FLAGS)
 
 
 def unreconciled(scores: DataFrame, scored: DataFrame) -> DataFrame:

@@ -129,13 +129,28 @@ def _share(condition: Column) -> Column:
     return F.avg(F.coalesce(condition, F.lit(False)).cast("int"))
 
 
+def _by_company(table: DataFrame) -> DataFrame:
+    """Rows, flagged rows and flags of each company: distinct counts of companies become counts
+    of rows, without a copy of the table for every distinct count."""
+    flagged = F.coalesce(_flagged(), F.lit(False))
+    return table.groupBy("entity_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(flagged).alias("flagged"),
+        F.count("red_flag_count").alias("counted"), F.sum("red_flag_count").alias("flags"),
+        F.min("period_fiscal_year").alias("first"), F.max("period_fiscal_year").alias("last"))
+
+
+def _companies(flagged: bool = False) -> Column:
+    known = F.col("entity_id").isNotNull()
+    return F.count_if(known & (F.col("flagged") > 0) if flagged else known)
+
+
 def fleet_figures(table: DataFrame) -> DataFrame:
-    return table.agg(
-        F.countDistinct("entity_id").alias("companies_screened"),
-        F.count(F.lit(1)).alias("company_years"),
-        _share(_flagged()).alias("red_flag_rate"),
-        F.avg("red_flag_count").alias("avg_red_flags"),
-        F.countDistinct(F.when(_flagged(), F.col("entity_id"))).alias("companies_flagged"))
+    return _by_company(table).agg(
+        _companies().alias("companies_screened"),
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("company_years"),
+        F.try_divide(F.sum("flagged"), F.sum("rows")).alias("red_flag_rate"),
+        F.try_divide(F.sum("flags"), F.sum("counted")).alias("avg_red_flags"),
+        _companies(flagged=True).alias("companies_flagged"))
 
 
 def model_flag_rates(table: DataFrame) -> DataFrame:
@@ -186,11 +201,11 @@ def case_study_flags(table: DataFrame) -> DataFrame:
 
 
 def span_and_share_labels(table: DataFrame) -> DataFrame:
-    span = F.format_string("FY %d–%d", F.min("period_fiscal_year"), F.max("period_fiscal_year"))
-    hit = F.countDistinct(F.when(_flagged(), F.col("entity_id")))
-    share = F.round(F.try_divide(hit, F.countDistinct("entity_id")) * 100, 0).cast("int")
-    return table.agg(span.alias("universe_span"),
-                     F.format_string("%d%% of screened fleet", share).alias("any_flag_share"))
+    span = F.format_string("FY %d–%d", F.min("first"), F.max("last"))
+    share = F.round(F.try_divide(_companies(flagged=True), _companies()) * 100, 0).cast("int")
+    return _by_company(table).agg(
+        span.alias("universe_span"),
+        F.format_string("%d%% of screened fleet", share).alias("any_flag_share"))
 
 
 def counters(table: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from asfiled import fixed
 from asfiled.durable import fresh_path
 from asfiled.operators import bitemporal, knowledge, pricing, staging, volume, wide
-from asfiled.plans import accruals, backtest, quality, scoring, universe
+from asfiled.plans import accruals, backtest, observed, quality, scoring, universe
 from asfiled.plans import screener as screen
 from asfiled.sources import readers, writers
 
@@ -1202,6 +1202,38 @@ def _(x: Inputs) -> DataFrame:
     return total
 
 
+_ON_WRITE = {
+    "staged": ("staged", {"negative magnitudes": "sign_convention = 'always_positive' and value < 0"}),
+    "beneish": ("scored", {"implausible m_score": "m_score < {} or m_score > {}".format(*fixed.PLAUSIBLE["m_score"])}),
+    "altman": ("scored", {"implausible z_score": "z_score < {} or z_score > {}".format(*fixed.PLAUSIBLE["z_score"])}),
+    "accrual_returns": ("accruals", {"implausible fwd_return_12m": "fwd_return_12m < {} or fwd_return_12m > {}".format(
+        *fixed.PLAUSIBLE["fwd_return_12m"])}),
+    "screener": ("screener", {"inconsistent flag counts":
+                              "red_flag_count not between 0 and 3 or models_scored not between 0 and 3 "
+                              "or red_flag_count > models_scored"}),
+    "pit": ("pit", {}),
+}
+
+
+def _on_write_sql() -> str:
+    parts = []
+    for mart, (table, conditions) in _ON_WRITE.items():
+        every = {"rows": "true"} | {f"null {c}": f"{c} is null" for c in quality.REQUIRED.get(mart, ())}
+        parts += [f"select '{mart}' as mart, '{check}' as \"check\", "
+                  f"count(*) filter (where {condition}) as violations from {table}"
+                  for check, condition in (every | conditions).items()]
+    return " union all ".join(parts)
+
+
+@register("quality_on_write", after("pit", "accruals", "screener", sql=_on_write_sql()))
+def _(x: Inputs) -> DataFrame:
+    """Checks on single rows, observed while the marts are written."""
+    marts = {"staged": x.staged, "beneish": scoring.beneish(x.scored), "altman": scoring.altman(x.scored),
+             "accrual_returns": x.accrual_returns, "screener": x.screener, "pit": x.pit}
+    found = {mart: observed.write_checked(df, mart)[1] for mart, df in marts.items()}
+    return observed.violations(found, x.pit)
+
+
 # -- the same checks on inputs with planted violations -----------------------------------------
 
 @register("planted_negative_magnitudes", after("staged", sql=f"""
