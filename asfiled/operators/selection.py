@@ -65,7 +65,12 @@ def values_at_ranks(df: DataFrame, group: list[str], value: str, ranks: dict[str
 def _known(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Grouping columns and ``_v``; without any, all rows are one group."""
     known = df.select(*group, F.col(value).cast("double").alias("_v")).filter("_v is not null")
-    return known if group else known.withColumn("_all", F.lit(0))
+    return known if group else known.withColumn("_all", _one_group())
+
+
+def _one_group() -> Column:
+    """Always 0, which Catalyst does not see: a join on it stays a hash join."""
+    return F.pmod(F.hash("_v"), F.lit(1))
 
 
 def _inside(known: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
@@ -131,7 +136,8 @@ def with_ntile(df: DataFrame, group: list[str], value: str, ties: list[str], til
     by = group or ["_all"]
     keyed = df.withColumn("_v", F.col(value).cast("double"))
     if not group:
-        keyed, cuts = (x.withColumn("_all", F.lit(0)) for x in (keyed, cuts))
+        keyed = keyed.withColumn("_all", _one_group())
+        cuts = cuts.withColumn("_all", F.pmod(F.hash("value"), F.lit(1)))
     ladder = cuts.groupBy(*by).agg(F.collect_list("value").alias("_cuts"))
     passed = F.expr("cast(1 + size(filter(coalesce(_cuts, array()), x -> x <= _v)) as int)")
     placed = match(keyed, ladder, by, "left").withColumn(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from asfiled import fixed
 from asfiled.durable import fresh_path
-from asfiled.operators import bitemporal, knowledge, pricing, staging, volume, wide
+from asfiled.operators import bitemporal, clustered, knowledge, pricing, staging, volume, wide
 from asfiled.plans import accruals, backtest, observed, quality, scoring, universe
 from asfiled.plans import screener as screen
 from asfiled.sources import readers, writers
@@ -458,6 +458,13 @@ def _(x: Inputs) -> DataFrame:
     return wide.company_years(x.pit).select(*_WIDE)
 
 
+@register("clustered_company_years", after("years", sql=f"select {', '.join(_WIDE)} from years"))
+def _(x: Inputs) -> DataFrame:
+    """Company-years from a table that is bucketed by company: one stage, no exchange."""
+    parts = clustered.write_clustered(x.pit, "pit", buckets=8)
+    return clustered.over_parts(parts, wide.company_years).select(*_WIDE)
+
+
 @register("previous_year", after("years", sql="""
 select a.entity_id, a.period_fiscal_year, b.revenue as revenue_before, b.sga as sga_before,
   b.total_liabilities as liabilities_before
