@@ -150,3 +150,11 @@ F_SCORE_BINS = 10
 NO_SECTOR = "(no sector data)"
 
 SUMMED_CONCEPTS = tuple(c.concept for c in CONCEPTS if c.combine == "sum")
+
+# --- fixed values: label texts of the screener ------------------------------------------------
+SPAN_LABEL = "FY %d–%d"
+SHARE_LABEL = "%d%% of screened fleet"
+LEAD_LABEL = "%.1f years before it became public"
+SPOTLIGHT_TITLE = "%s (%s) — flagged %s, %s"
+TITLE_DATE = "MMM d, yyyy"
+ELEVATED, NORMAL = "Elevated", "Normal"

@@ -201,11 +201,11 @@ def case_study_flags(table: DataFrame) -> DataFrame:
 
 
 def span_and_share_labels(table: DataFrame) -> DataFrame:
-    span = F.format_string("FY %d–%d", F.min("first"), F.max("last"))
+    span = F.format_string(fixed.SPAN_LABEL, F.min("first"), F.max("last"))
     share = F.round(F.try_divide(_companies(flagged=True), _companies()) * 100, 0).cast("int")
     return _by_company(table).agg(
         span.alias("universe_span"),
-        F.format_string("%d%% of screened fleet", share).alias("any_flag_share"))
+        F.format_string(fixed.SHARE_LABEL, share).alias("any_flag_share"))
 
 
 def counters(table: DataFrame) -> DataFrame:
@@ -269,15 +269,17 @@ def spotlight(table: DataFrame, events: DataFrame) -> DataFrame:
     ahead = events.filter("event_label = 'pre_disclosure'").select(
         "ticker", "as_of_date", "public_event_date")
     lead = F.datediff("public_event_date", "as_of_date") / F.lit(365.25)
-    told = F.format_string("%.1f years before it became public", F.col("lead_time_years"))
+    told = F.format_string(fixed.LEAD_LABEL, F.col("lead_time_years"))
     return (table.filter("is_case_study").join(ahead, "ticker", "left")
             .withColumn("lead_time_years", lead)
             .select("ticker", "company_name", "period_fiscal_year", "m_score", "z_score",
                     "f_score", "red_flag_count", "case_study_note", "as_of_date",
                     "public_event_date", "lead_time_years",
                     told.alias("lead_time_label"),
-                    F.concat("company_name", F.lit(" ("), "ticker", F.lit(") — flagged "),
-                             F.date_format("as_of_date", "MMM d, yyyy"), F.lit(", "), told)
+                    F.when(F.col("company_name").isNotNull() & F.col("as_of_date").isNotNull()
+                           & told.isNotNull(), F.format_string(
+                               fixed.SPOTLIGHT_TITLE, "company_name", "ticker",
+                               F.date_format("as_of_date", fixed.TITLE_DATE), told))
                     .alias("title"),
                     _flagged().cast("int").alias("is_flagged_year")))
 
@@ -290,7 +292,7 @@ def drill_through(table: DataFrame, detail: DataFrame) -> DataFrame:
         passed = passed + F.col(name)
 
     def label(column: str, above: float) -> Column:
-        return F.when(F.col(column) > above, "Elevated").otherwise("Normal")
+        return F.when(F.col(column) > above, fixed.ELEVATED).otherwise(fixed.NORMAL)
 
     keyed = table.select(F.concat_ws("-", "entity_id", "period_fiscal_year").alias("detail_key"),
                          "red_flag_count")
