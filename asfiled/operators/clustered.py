@@ -14,18 +14,20 @@ from uuid import uuid4
 from pyspark.sql import DataFrame
 
 from ..durable import fresh_path, materialise
-from .volume import ROW_LIMIT, heavy_keys, part_by_volume
+from .volume import ROW_LIMIT, heavy_keys, part_by_volume, tasks_for
 
 
-def write_clustered(df: DataFrame, label: str, buckets: int, key: str = "entity_id",
+def write_clustered(df: DataFrame, label: str, buckets: int | None = None, key: str = "entity_id",
                     row_limit: int = ROW_LIMIT) -> list[DataFrame]:
     """Write ``df`` as a table of ``buckets`` by ``key``; returns its parts as scans.
 
     The first part is an external table ``label_<unique>`` of the session's catalog in the shared
-    folder, one file per bucket, so ``buckets`` should make files of some 256 MB. The second one,
+    folder, one file per bucket. A bucket is one task's share, so their number follows from the
+    rows of ``df``; ``buckets`` is the least, by default one per core. The second one,
     there only if a key has more than ``row_limit`` rows, holds the rows of such keys. Rows
     without a key share a bucket, or the second part if they are many. No row is lost or doubled.
     """
+    buckets = max(buckets or 1, tasks_for(df.count(), df.sparkSession))
     heavy = heavy_keys(df, [key], row_limit)
     ordinary, hot = (df, None) if heavy is None else part_by_volume(df, heavy, [key])
     name = f"{label}_{uuid4().hex}"

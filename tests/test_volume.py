@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from asfiled.operators import bitemporal, knowledge, volume
+from asfiled.operators import bitemporal, clustered, knowledge, volume
 from asfiled.operators.staging import stage_facts
 
 
@@ -27,3 +27,10 @@ def test_the_table_and_its_intervals_are_dealt_by_rows(pit, monkeypatch):
     assert most_in_a_partition(made) < 60
     assert knowledge.knowledge_intervals(made).rdd.getNumPartitions() == 36
     assert sorted(knowledge.knowledge_intervals(made).collect()) == whole
+
+
+def test_buckets_follow_the_rows(pit, monkeypatch):
+    monkeypatch.setattr(volume, "TASK_ROWS", 10)
+    parts = clustered.write_clustered(pit(), "pit")
+    assert parts[0].groupBy("entity_id").count().rdd.getNumPartitions() == 36
+    assert sum(p.count() for p in parts) == 360
