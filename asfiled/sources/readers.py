@@ -63,7 +63,9 @@ def flatten_filings(documents: DataFrame, min_fiscal_year: int = fixed.MIN_FISCA
     spark = documents.sparkSession
     parsed = documents.select("entity_id", F.from_json("payload", schemas.FILING_DOCUMENT)
                               .getField("facts").getItem(fixed.TAXONOMY).alias("tags"))
-    tags = parsed.select("entity_id", F.explode("tags").alias("source_tag", "body"))
+    # A plain explode would also filter on its input, which parses every document three times; the
+    # null tag of a document without any finds no concept.
+    tags = parsed.select("entity_id", F.explode_outer("tags").alias("source_tag", "body"))
     mapped = tags.join(F.broadcast(tag_table(spark)), "source_tag")
     units = mapped.select("entity_id", "concept", "source_tag", "tag_priority",
                           F.explode("body.units").alias("unit", "observations"))

@@ -1,10 +1,14 @@
 """Tasks get a bounded number of rows, whatever the number of companies."""
 
+import datetime as dt
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from asfiled.operators import bitemporal, clustered, knowledge, volume
 from asfiled.operators.staging import stage_facts
+from asfiled.sources import readers
 
 
 @pytest.fixture
@@ -34,3 +38,16 @@ def test_buckets_follow_the_rows(pit, monkeypatch):
     parts = clustered.write_clustered(pit(), "pit")
     assert parts[0].groupBy("entity_id").count().rdd.getNumPartitions() == 36
     assert sum(p.count() for p in parts) == 360
+
+
+def test_a_document_is_parsed_once(spark):
+    told = {"start": "2015-01-01", "end": "2015-12-31", "val": 1.0, "accn": "A", "fy": 2015,
+            "fp": "FY", "form": "10-K", "filed": "2016-02-15"}
+    whole = {"facts": {"us-gaap": {"Revenues": {"units": {"USD": [told]}}}}}
+    rows = [("1", json.dumps(whole)), ("2", json.dumps({"facts": {"us-gaap": {}}})), ("3", "no"), ("4", None)]
+    found = readers.flatten_filings(spark.createDataFrame(rows, "entity_id string, payload string")
+                                    .repartition(2))
+    assert [(r.entity_id, r.concept, r.filed_date) for r in found.collect()] == [
+        ("1", "revenue", dt.date(2016, 2, 15))]
+    optimised = found._jdf.queryExecution().optimizedPlan().toString()
+    assert optimised.count("from_json") == 1
