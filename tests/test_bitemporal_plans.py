@@ -108,3 +108,10 @@ def test_an_amount_beyond_the_decimals_is_still_summed(facts):
                  {**cogs, "source_tag": "CostOfServices", "value": 2e30})
     for limit in (0, 10 ** 9):
         assert financials_pit(stage_facts(rows), row_limit=limit).first().value == 1e30 + 2e30
+
+
+def test_table_build_leans_on_its_two_sorts_alone(facts):
+    # An aggregate that collects hashes its groups and beyond a few of them sorts all rows again.
+    plan = financials_pit(stage_facts(facts({})))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan
+    assert "ObjectHashAggregate" not in plan
