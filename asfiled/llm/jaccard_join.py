@@ -23,7 +23,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..durable import materialise
@@ -42,7 +42,7 @@ CHUNK = 2000
 #: Rounds of comparing open blocks with drawn members before trees are built, and the number of
 #: different draws that blocks of the same members make in a round.
 SPINES, PIVOTS = 2, 4
-#: Pairs a task remembers having told; beyond that it may repeat some.
+#: Pairs or sets a task remembers having told; beyond that it may repeat some.
 _TOLD = 300_000
 #: Bits of the filters that spare most documents the second look and most bitmaps the shuffle.
 _FILTER_BITS = 1 << 23
@@ -90,13 +90,16 @@ def frequency_levels(docs: DataFrame, size: int, text: str) -> np.ndarray:
 
 def _signatures(docs: DataFrame, levels, size: int, percent: int, doc_id: str,
                 text: str) -> DataFrame:
-    """Per document: id, hash of the text, number of the set, its size, block keys and bitmap."""
+    """Per document: id, hash of the text, number of the set, its size, block keys and bitmap.
+
+    Equal sets have equal keys, so a task leaves out the keys of a set that it has just told.
+    """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"),
                          F.col(text).alias("text"))
     kind = dict(source.dtypes)["doc_id"]
 
     def run(batches):
-        rank = levels.value
+        rank, told = levels.value, set()
         for batch in bounded_batches(batches):
             sets, sizes, kinds, keys, bits = [], [], [], [], []
             for value in batch.column(2).to_pylist():
@@ -110,7 +113,10 @@ def _signatures(docs: DataFrame, levels, size: int, percent: int, doc_id: str,
                 sets.append(int.from_bytes(
                     blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True))
                 sizes.append(n)
-                keys.append(order.view(np.int64))
+                keys.append(order.view(np.int64)[:0 if sets[-1] in told else None])
+                if len(told) > _TOLD:
+                    told.clear()
+                told.add(sets[-1])
                 kinds.append(size_class(n, percent))
                 bits.append(bitmap(tokens, bitmap_bytes(kinds[-1], percent)) if n else b"")
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
@@ -126,6 +132,17 @@ def _signatures(docs: DataFrame, levels, size: int, percent: int, doc_id: str,
              "keys array<long>, bits binary")
 
 
+def _blocks(signatures: DataFrame) -> DataFrame:
+    """(key, set_id, lo, rows) for the sets of each block of several: its smallest set, and how
+    many rows gave it its keys, at least one for each set. Keys move once, with their sets."""
+    block = Window.partitionBy("key")
+    return (signatures.filter("n > 0").select("set_id", F.explode("keys").alias("key"))
+            .select("key", "set_id", F.min("set_id").over(block).alias("lo"),
+                    F.max("set_id").over(block).alias("hi"),
+                    F.count(F.lit(1)).over(block).alias("rows"))
+            .filter("lo <> hi").drop("hi").distinct())
+
+
 def _allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (u, v) whose sizes and bitmaps allow a link.
 
@@ -349,15 +366,9 @@ def _placed(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
         F.min("text_hash").alias("text_hash"),
         F.max("bits").alias("bits")), "sets")
 
-    keyed = signatures.filter("n > 0").select("set_id", F.explode("keys").alias("key"))
-    blocks = materialise(keyed.groupBy("key").agg(
-        F.min("set_id").alias("lo"), F.max("set_id").alias("hi"),
-        F.count(F.lit(1)).alias("rows")).filter("lo <> hi"), "blocks")
-    members = materialise(
-        keyed.join(blocks.filter("rows > 2").select("key", "lo"), "key").distinct(), "members")
-
-    spine = (blocks.selectExpr("lo as u", "hi as v")
-             .union(members.filter("lo <> set_id").select("lo", "set_id")).distinct())
+    blocks = materialise(_blocks(signatures), "blocks")
+    members = blocks.filter("rows > 2").select("key", "set_id")
+    spine = blocks.filter("lo <> set_id").selectExpr("lo as u", "set_id as v").distinct()
     tested = materialise(_allowed(spine, sets, percent), "tested")
 
     def linked(pairs: DataFrame) -> DataFrame:
