@@ -19,6 +19,7 @@ that the driver gets one network whatever the number of tasks.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 from zlib import crc32
 
 import numpy as np
@@ -28,10 +29,12 @@ from pyspark.sql import functions as F
 
 from ..durable import materialise
 from .rows import fresh, append, bounded_batches, schema_of, text_key, without
-from .shingles import LOWER_BYTES, word_hashes
+from .shingles import words_of_texts
 
 OFFSETS = (-2, -1, 1, 2)
 _BATCH, _PARTS, _SALTS = 1024, 16, 64
+#: Bytes of text worked on at once, so that the arrays of their words stay in the cache.
+_PIECE = 1 << 18
 #: The bias of a place that no class has.
 _NEVER = -1e30
 
@@ -51,11 +54,20 @@ class Vocabulary:
         return len(self.frequent) + self.shared
 
     def hashes(self, text: str | None) -> np.ndarray:
-        return word_hashes(text.encode().translate(LOWER_BYTES)) if text else np.empty(0, np.uint64)
+        return words_of_texts([text])[0]
+
+    @cached_property
+    def _frequent(self) -> _Places:
+        return _Places(self.frequent)
+
+    @cached_property
+    def _common(self) -> _Places:
+        return _Places(self.common)
 
     def classes_of(self, h: np.ndarray) -> np.ndarray:
-        at, own = _found(self.frequent, h)
-        return np.where(own, at, len(self.frequent) + (h % np.uint64(self.shared)).astype(np.int64))
+        at, own = self._frequent.found(h)
+        shared = np.uint64(self.shared)
+        return np.where(own, at, len(self.frequent) + (h - h // shared * shared).astype(np.int64))
 
     def of(self, text: str | None) -> np.ndarray:
         """The class of each word."""
@@ -66,28 +78,41 @@ class Vocabulary:
         as never seen here. ``classes`` are those of the words, if they are known."""
         c = (self.classes_of(h) if classes is None else classes) - len(self.frequent)
         other, logs, rare = np.flatnonzero(c >= 0), np.zeros(len(h)), np.zeros(len(h), bool)
-        c, (at, common) = c[other], _found(self.common, h[other])
+        c, (at, common) = c[other], self._common.found(h[other])
         logs[other] = np.where(common, self.logs[at] if len(self.logs) else 0.0, self.unseen[c]) - self.total[c]
         rare[other] = ~common
         return logs, rare
 
 
-def _found(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in a sorted table, and whether it holds each value."""
-    if not len(table):
-        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-    return at, table[at] == h
+class _Places:
+    """Places of hashes in a sorted table, looked for from where their first bits begin."""
+
+    def __init__(self, table: np.ndarray):
+        bits = len(table).bit_length() + 2
+        self.table, self.shift = table, np.uint64(64 - bits)
+        self.first = np.searchsorted(table, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each hash, and whether the table holds it."""
+        if not len(self.table):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        last = len(self.table) - 1
+        at = np.minimum(self.first.take(h >> self.shift), last)
+        value = self.table.take(at)
+        on = np.flatnonzero((value < h) & (at < last))
+        while len(on):
+            at[on] += 1
+            value[on] = self.table.take(at[on])
+            on = on[(value[on] < h[on]) & (at[on] < last)]
+        return at, value == h
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, count) over all documents; ``word`` is its hash. Tasks add up before they send."""
     def run(batches):
         for batch in bounded_batches(batches, 64 << 20):
-            parts = [word_hashes(t.encode().translate(LOWER_BYTES))
-                     for t in batch.column(0).to_pylist() if t]
-            words, counts = np.unique(
-                np.concatenate(parts) if parts else np.empty(0, np.uint64), return_counts=True)
+            words, counts = np.unique(words_of_texts(batch.column(0).to_pylist())[0],
+                                      return_counts=True)
             yield pa.RecordBatch.from_pydict(
                 {"word": pa.array(words.view(np.int64)), "count": pa.array(counts, pa.int64())})
 
@@ -120,13 +145,13 @@ def vocabulary(docs: DataFrame, frequent: int = 384, shared: int = 128, text: st
                     .limit(frequent).select("word").toArrow()["word"])
     words = Vocabulary(np.sort(top), shared, np.zeros(shared), np.zeros(shared),
                        np.empty(0, np.uint64), np.empty(0))
-    known = counts.sparkSession.sparkContext.broadcast(words)
+    known = counts.sparkSession.sparkContext.broadcast(words.frequent)
 
     def run(batches):
-        sums = np.zeros((2, shared), np.int64)
+        sums, own = np.zeros((2, shared), np.int64), _Places(known.value)
         for batch in batches:
             h, n = _unsigned(batch.column(0)), batch.column(1).to_numpy()
-            h, n = (x[~_found(known.value.frequent, h)[1]] for x in (h, n))
+            h, n = (x[~own.found(h)[1]] for x in (h, n))
             c = (h % np.uint64(shared)).astype(np.int64)
             np.add.at(sums[0], c, n)
             np.add.at(sums[1], c, n == 1)
@@ -186,9 +211,9 @@ class Network:
         return self
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        h = self.e[0][around[:, 0]]
+        h = self.e[0].take(around[:, 0], axis=0)
         for o in range(1, len(OFFSETS)):
-            h = h + self.e[o][around[:, o]]
+            h += self.e[o].take(around[:, o], axis=0)
         return h
 
     def logits(self, h: np.ndarray) -> np.ndarray:
@@ -216,7 +241,7 @@ class Network:
             member, group = np.divmod(center[part], self.groups)
             n, logs = np.arange(len(h)), 0.0
             for z, own in ((np.einsum("nd,dg->ng", h[:, 0], self.w) + self.b, group),
-                           ((h @ self.v[group])[:, 0] + self.c[group], member)):
+                           ((h @ self.v.take(group, axis=0))[:, 0] + self.c.take(group, axis=0), member)):
                 z, _, total = _exponentials(z.astype(float), tame)
                 logs = logs + z[n, own] - np.log(total[:, 0])
             out[part] = logs
@@ -255,8 +280,8 @@ class Network:
         step(self.c, memory.c, np.ones(full.shape[1], np.float32) @ full)
         for o in range(len(OFFSETS)):  # only the embeddings that the batch meets
             order, first, met = _by_value(around[:, o])
-            gradient = np.add.reduceat(back[order], first, axis=0)
-            past = memory.e[o][met] + gradient * gradient
+            gradient = np.add.reduceat(back.take(order, axis=0), first, axis=0)
+            past = memory.e[o].take(met, axis=0) + gradient * gradient
             memory.e[o][met] = past
             self.e[o][met] -= rate * gradient / np.sqrt(past + 1e-8)
 
@@ -284,7 +309,9 @@ def _by_value(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         values = values.astype(np.uint16)  # sorted by digits
     order = np.argsort(values, kind="stable")
     held = values[order]
-    first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+    new = np.ones(len(held), bool)
+    np.not_equal(held[1:], held[:-1], out=new[1:])
+    first = np.flatnonzero(new)
     return order, first, held[first]
 
 
@@ -300,7 +327,7 @@ def windows(ids: np.ndarray, outside: int, sizes: np.ndarray | None = None,
     padded = np.full(len(ids) + reach * (len(sizes) + 1), outside)
     padded[at] = ids
     at = at[pick]
-    return np.stack([padded[at + o] for o in OFFSETS], axis=1)
+    return np.stack([padded.take(at + o) for o in OFFSETS]).T  # each offset's classes side by side
 
 
 def _trained(docs: DataFrame, words: Vocabulary, network: Network, stride: int, phase: int,
@@ -322,18 +349,16 @@ def _trained(docs: DataFrame, words: Vocabulary, network: Network, stride: int,
             return len(center)
 
         for batch in bounded_batches(batches, 4 << 20):
-            texts = batch.column(0).to_pylist()
-            hashes = [vocabulary.hashes(t) for t in texts]
-            if not hashes:
-                continue
-            sizes = np.array([len(h) for h in hashes], np.int64)
-            ids = vocabulary.classes_of(np.concatenate(hashes))
-            # An offset from the text itself: texts of few words take turns as well.
-            turn = np.array([crc32((t or "").encode()) % stride for t in texts], np.int64)
-            place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            pick = np.flatnonzero((place - phase - np.repeat(turn, sizes)) % stride == 0)
-            held.append((windows(ids, vocabulary.classes, sizes, pick), ids[pick]))
-            waiting += len(held[-1][1])
+            for piece in bounded_batches([batch], _PIECE):
+                texts = piece.column(0).to_pylist()
+                h, sizes = words_of_texts(texts)
+                ids = vocabulary.classes_of(h)
+                # An offset from the text itself: texts of few words take turns as well.
+                turn = np.array([crc32((t or "").encode()) % stride for t in texts], np.int64)
+                place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes + turn, sizes)
+                pick = np.flatnonzero((place - phase) % stride == 0)
+                held.append((windows(ids, vocabulary.classes, sizes, pick), ids[pick]))
+                waiting += len(pick)
             if waiting >= 16 * _BATCH:
                 seen += step()
                 held, waiting = [], 0
@@ -390,18 +415,22 @@ def _rare_shares(source: DataFrame, words: Vocabulary, shared, text: str) -> Dat
     add to the sum of logs."""
     def run(batches):
         vocabulary = shared.value[0]
-        for batch in bounded_batches(batches, 4 << 20):
-            rows = []
-            for key, check, value in zip(*(c.to_pylist() for c in batch.columns)):
-                h = vocabulary.hashes(value)
-                h, n = np.unique(h[vocabulary.shares(h)[1]], return_counts=True)
-                if len(h):
-                    rows.append((h, n, np.full((len(h), 3), (key, check, len(h)), np.int64)))
-            if rows:
-                h, n, same = (np.concatenate(c) for c in zip(*rows))
+        for piece in bounded_batches(batches, _PIECE):
+            key, check = (piece.column(i).to_numpy() for i in (0, 1))
+            h, sizes = words_of_texts(piece.column(2).to_pylist())
+            rare = vocabulary.shares(h)[1]
+            h, row = h[rare], np.repeat(np.arange(len(sizes)), sizes)[rare]
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            first = np.flatnonzero(new)
+            row = row[first]
+            if len(row):
                 yield pa.RecordBatch.from_pydict({
-                    "_key": same[:, 0], "_check": same[:, 1], "_words": same[:, 2], "n": n,
-                    "word": h.view(np.int64)})
+                    "_key": key[row], "_check": check[row],
+                    "_words": np.bincount(row)[row], "n": np.diff(first, append=len(h)),
+                    "word": h[first].view(np.int64)})
 
     def gained(batches):
         vocabulary = shared.value[0]
@@ -441,17 +470,20 @@ def score_documents(docs: DataFrame, words: Vocabulary, network: Network,
                             words, shared, text).toDF(own, check, more)
         keep = [*keep, own, check]
 
+    def scored(vocabulary, net, texts):
+        h, sizes = words_of_texts(texts)
+        ids = vocabulary.classes_of(h)
+        logs = (net.log_probabilities(windows(ids, vocabulary.classes, sizes), ids)
+                + vocabulary.shares(h, ids)[0])
+        return sizes, np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs, len(sizes))
+
     def run(batches):
         vocabulary, net = shared.value
         for batch in bounded_batches(batches, 4 << 20):
-            hashes = [vocabulary.hashes(t)
-                      for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            sizes = np.array([len(h) for h in hashes], np.int64)
-            h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-            ids = vocabulary.classes_of(h)
-            logs = (net.log_probabilities(windows(ids, vocabulary.classes, sizes), ids)
-                    + vocabulary.shares(h, ids)[0])
-            sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs, len(sizes))
+            texts = batch.select([text])
+            sizes, sums = (np.concatenate(c) for c in zip(*(
+                scored(vocabulary, net, piece.column(0).to_pylist())
+                for piece in bounded_batches([texts], _PIECE))))
             yield append(batch, keep, {
                 "n_tokens": pa.array(sizes), "pseudo_log_likelihood": pa.array(sums),
                 "per_token": pa.array(sums / np.maximum(sizes, 1), mask=sizes == 0)})

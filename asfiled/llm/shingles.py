@@ -11,8 +11,8 @@ import numpy as np
 
 #: Lower case for A-Z, as a table over bytes.
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: 1 for bytes of words, 0 for ASCII white space, as a table over bytes.
+_INSIDE = bytes(b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256))
 
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 1 << 64, 256, np.uint64)
@@ -46,16 +46,49 @@ _UP, _BACK = _Powers(_K), _Powers(pow(_K, -1, 1 << 64))
 def word_hashes(data: bytes, inside: np.ndarray | None = None) -> np.ndarray:
     """A hash for each word; words are runs of anything but ASCII white space, or of the byte
     values that the table ``inside`` marks."""
+    return _words(data, inside)[0]
+
+
+def _words(data: bytes, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word and where it starts."""
     at = np.frombuffer(data, np.uint8)
     if not len(at):
-        return np.empty(0, np.uint64)
-    member = np.zeros(len(at) + 2, np.int8)
-    member[1:-1] = ~_SPACE[at] if inside is None else inside[at]
-    edges = np.flatnonzero(np.diff(member))
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    member = np.zeros(len(at) + 2, bool)
+    member[1:-1] = np.frombuffer(
+        data.translate(_INSIDE if inside is None else inside.astype(bool).tobytes()), bool)
+    edges = np.flatnonzero(member[1:] != member[:-1])
     starts, ends = edges[::2], edges[1::2]
     sums = np.zeros(len(at) + 1, np.uint64)
-    np.cumsum(_BYTE[at] * _UP.upto(len(at)), out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * _BACK.upto(len(at))[starts])
+    scaled = _BYTE.take(at)
+    scaled *= _UP.upto(len(at))
+    np.cumsum(scaled, out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * _BACK.upto(len(at))[starts]), starts
+
+
+def words_of_texts(texts: list[str | None], most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one text after the other, A-Z lower-cased, and the number
+    of words of each. Hashes do not depend on the place, so short texts are hashed together, in
+    joined runs of about ``most`` bytes that stay in the cache."""
+    parts, sizes, held, length = [], [], [], 0
+
+    def told():
+        hashes, starts = _words(b" ".join(held).translate(LOWER_BYTES))
+        ends = np.cumsum([len(t) + 1 for t in held])
+        parts.append(hashes)
+        sizes.append(np.diff(np.searchsorted(starts, ends), prepend=0))
+
+    for text in texts:
+        held.append(text.encode() if text else b"")
+        length += len(held[-1])
+        if length >= most:
+            told()
+            held, length = [], 0
+    if held:
+        told()
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(parts), np.concatenate(sizes)
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
