@@ -92,7 +92,7 @@ def _signatures(docs: DataFrame, levels, size: int, percent: int, doc_id: str,
                 text: str) -> DataFrame:
     """Per document: id, hash of the text, number of the set, its size, block keys and bitmap.
 
-    Equal sets have equal keys, so a task leaves out the keys of a set that it has just told.
+    Equal sets have equal ones, so a task leaves out keys and bitmap of a set that it has just told.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"),
                          F.col(text).alias("text"))
@@ -113,12 +113,13 @@ def _signatures(docs: DataFrame, levels, size: int, percent: int, doc_id: str,
                 sets.append(int.from_bytes(
                     blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True))
                 sizes.append(n)
-                keys.append(order.view(np.int64)[:0 if sets[-1] in told else None])
+                again = not n or sets[-1] in told
+                keys.append(order.view(np.int64)[:0 if again else None])
                 if len(told) > _TOLD:
                     told.clear()
                 told.add(sets[-1])
                 kinds.append(size_class(n, percent))
-                bits.append(bitmap(tokens, bitmap_bytes(kinds[-1], percent)) if n else b"")
+                bits.append(None if again else bitmap(tokens, bitmap_bytes(kinds[-1], percent)))
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sets, pa.int64()),
@@ -143,7 +144,7 @@ def _blocks(signatures: DataFrame) -> DataFrame:
             .filter("lo <> hi").drop("hi").distinct())
 
 
-def _allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _allowed(pairs: DataFrame, sets: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (u, v) whose sizes and bitmaps allow a link.
 
     Sizes are compared first; bitmaps move for the pairs that are left.
@@ -154,7 +155,7 @@ def _allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .filter(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)"))
     near = materialise(near.select("u", "v", "n_u", "n_v"), "near")
     bits = materialise(_bits_of(near.select(F.col("u").alias("set_id")).union(near.select("v")),
-                                sets), "bits")
+                                bitmaps), "bits")
     both = (near.join(bits.selectExpr("set_id as u", "bits as bits_u"), "u")
             .join(bits.selectExpr("set_id as v", "bits as bits_v"), "v")
             .select("u", "v", "n_u", "n_v", "bits_u", "bits_v"))
@@ -169,17 +170,20 @@ def _allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def _bits_of(named: DataFrame, sets: DataFrame) -> DataFrame:
-    """(set_id, bits) of the named sets; a filter of fixed size keeps most others unshuffled."""
+def _bits_of(named: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """(set_id, bits) of the named sets; a filter of fixed size keeps most others unshuffled.
+
+    ``bitmaps`` may have a set several times, once for each task that met it.
+    """
     named = named.distinct()
-    wanted = sets.sparkSession.sparkContext.broadcast(_filter_of(named, "set_id"))
+    wanted = bitmaps.sparkSession.sparkContext.broadcast(_filter_of(named, "set_id"))
 
     def run(batches):
         for batch in batches:
             yield batch.filter(_passes(batch.column(0), wanted.value))
 
-    some = sets.select("set_id", "bits").mapInArrow(run, "set_id long, bits binary")
-    return some.join(named, "set_id", "left_semi")
+    some = bitmaps.mapInArrow(run, "set_id long, bits binary")
+    return some.join(named, "set_id", "left_semi").groupBy("set_id").agg(F.max("bits").alias("bits"))
 
 
 def _passes(hashes: pa.Array, wanted: np.ndarray) -> pa.Array:
@@ -280,7 +284,8 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
             .selectExpr("u", "v", "least(c_u, c_v) as a", "greatest(c_u, c_v) as b"))
 
 
-def _tree_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _tree_pairs(members: DataFrame, sets: DataFrame, bitmaps: DataFrame, labels: DataFrame,
+                percent: int) -> DataFrame:
     """Pairs (u, v) from blocks with several components, by dual traversal of signature trees."""
     # A set stands in the tree of its own size class and, as a partner, in that of the one below.
     rows = (_labelled(members, labels)
@@ -299,7 +304,7 @@ def _tree_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, percent:
         F.min(F.struct("key", "a")).alias("one"))
     chosen = once.select("one.key", "tree", F.col("one.a").alias("anchor"), F.ceil(F.col("held") / CHUNK).cast("int").alias("chunks"))
     narrow = materialise(rows.join(chosen, ["key", "tree"]), "trees")
-    wide = _bits_of(narrow.select("set_id"), sets)
+    wide = _bits_of(narrow.select("set_id"), bitmaps)
     spread = (narrow.join(wide, "set_id")
               .withColumn("chunk", F.pmod(F.xxhash64("set_id"), "chunks").cast("int"))
               .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
@@ -363,13 +368,13 @@ def _placed(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
     signatures = materialise(_signatures(docs, levels, size, percent, doc_id, text), "signatures")
     sets = materialise(signatures.filter("n > 0").groupBy("set_id").agg(
         F.max("n").alias("n"), F.max("size_class").alias("size_class"),
-        F.min("text_hash").alias("text_hash"),
-        F.max("bits").alias("bits")), "sets")
+        F.min("text_hash").alias("text_hash")), "sets")
+    bitmaps = signatures.filter("bits is not null").select("set_id", "bits")
 
     blocks = materialise(_blocks(signatures), "blocks")
     members = blocks.filter("rows > 2").select("key", "set_id")
     spine = blocks.filter("lo <> set_id").selectExpr("lo as u", "set_id as v").distinct()
-    tested = materialise(_allowed(spine, sets, percent), "tested")
+    tested = materialise(_allowed(spine, sets, bitmaps, percent), "tested")
 
     def linked(pairs: DataFrame) -> DataFrame:
         return materialise(_linked(pairs, docs, sets, size, percent, text), "links")
@@ -382,11 +387,11 @@ def _placed(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
         if turn < SPINES:
             drawn = _drawn(members, turn)
             fresh = materialise(_allowed(drawn.join(tested, ["u", "v"], "left_anti"), sets,
-                                         percent), "tested")
+                                         bitmaps, percent), "tested")
             tested = tested.union(fresh)
             labels = _merged(labels, linked(fresh))
             continue
-        left = materialise(_tree_pairs(members, sets, labels, percent)
+        left = materialise(_tree_pairs(members, sets, bitmaps, labels, percent)
                            .join(tested, ["u", "v"], "left_anti"), "left")
         # One pair for every two components first; its links spare most of the others.
         first = materialise(_across(left, labels).groupBy("a", "b").agg(

@@ -23,7 +23,7 @@ def test_blocks_move_their_keys_once_and_hold_every_set(spark):
         for s in set(held))
 
 
-def test_a_task_tells_the_keys_of_a_set_once(spark):
+def test_a_task_tells_keys_and_bitmap_of_a_set_once(spark):
     text = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame(
         [(1, text), (2, text.upper()), (3, text + " more"), (4, None), (5, text)],
@@ -32,4 +32,13 @@ def test_a_task_tells_the_keys_of_a_set_once(spark):
     signed = jaccard_join._signatures(docs, levels, 5, 80, "doc_id", "text").collect()
     assert [(r.doc_id, r.n, len(r.keys) > 0) for r in signed] == [
         (1, 36, True), (2, 36, False), (3, 37, True), (4, 0, False), (5, 36, False)]
+    assert [r.bits is not None for r in signed] == [True, False, True, False, False]
     assert len({r.set_id for r in signed}) == 3
+
+
+def test_bitmaps_of_several_tasks_give_one_row(spark):
+    bitmaps = spark.createDataFrame([(s, bytes([s])) for s in (1, 2, 2, 3, 2, 4)],
+                                    "set_id long, bits binary").repartition(3)
+    named = spark.createDataFrame([(2,), (3,), (2,)], "set_id long")
+    got = jaccard_join._bits_of(named, bitmaps).collect()
+    assert sorted((r.set_id, bytes(r.bits)) for r in got) == [(2, b"\x02"), (3, b"\x03")]
